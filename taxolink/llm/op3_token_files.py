@@ -11,43 +11,38 @@ shard; a shard holds one block in memory.  Reading back is local to a block, exc
 cross a block's border (at most two per block), whose pieces meet again by document.  The
 global start of a document is its start in the shard plus the shard's own start, from one row per shard.
 
-Encoding calls the tokenizer once per distinct chunk of a task, not once per occurrence: the tokenizer's
-normaliser and splitter never join text across white space, so the ids of a text are the ids of its chunks in
-order.  Texts with code points outside ``PLAIN`` (where that is not certain), or with a special token's text, go through the
-tokenizer whole.
+The library encodes each distinct piece of text once per worker (see ``tokens``).
 
 Null and empty texts have only the end id.  Null ids sort first; rows that repeat an id stay rows of their own, ordered by text.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxolink.llm.common import small_batches, staged, table
+from taxolink.llm.tokens import WordIds, opened
 
 #: Appended to every document.
 END_ID = 2
 #: Ids in a block; a multiple of 8.
 BLOCK_IDS = 65_536
-#: Distinct chunks remembered by a task.
-MEMO = 300_000
-#: White space, visible ASCII, and letters and marks of Latin, Cyrillic, CJK and Hangul that have been in Unicode unchanged for long and
-#: that no normaliser composes with a neighbour.
-PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-¬®-ɏЀ-ҁҊ-ԯ‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]")
-
 BLOCKS = (
     "shard int, block int, first_id long, n_ids int, planes array<binary>, "
     "docs array<struct<doc_id: long, doc: long, doc_start: long, doc_ids: long, offset: int, count: int>>"
 )
 
+_DOC = pa.struct([("doc_id", pa.int64()), ("doc", pa.int64()), ("doc_start", pa.int64()), ("doc_ids", pa.int64()), ("offset", pa.int32()), ("count", pa.int32())])
+_BLOCK_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int32()), ("planes", pa.list_(pa.binary())), ("docs", pa.list_(_DOC))])
+_PIECE_SCHEMA = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("doc", pa.int64()), ("doc_start", pa.int64()), ("n_tokens", pa.int64()), ("crc", pa.int64()), ("part", pa.binary()), ("block_at", pa.int32())])
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -55,33 +50,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, with a memo of chunks."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
-        for text in texts:
-            if PLAIN.search(text) or any(s in text for s in self.special):
-                yield self.whole([text])[0]
-                continue
-            chunks = text.split()
-            fresh = list({c for c in chunks if c not in self.memo})
-            if fresh:
-                if len(self.memo) + len(fresh) > MEMO:
-                    self.memo, fresh = {}, list(set(chunks))
-                self.memo.update(zip(fresh, self.whole(fresh), strict=True))
-            yield b"".join(map(self.memo.__getitem__, chunks))
-
-
 def to_planes(ids: np.ndarray, bits: bool = False, level: int = 3) -> list[bytes]:
     """The zstandard-compressed planes of unsigned 32-bit ids: 4 byte planes or 32 bit planes, low first."""
     import zstandard
@@ -110,27 +78,27 @@ def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_i
     """``docs(doc_id, text)`` as block rows in ascending ``doc_id`` order; a shard is a range of ids."""
     end = np.asarray([end_id], "<u4").tobytes()
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, shard = opened(WordIds, tokenizer), TaskContext.get().partitionId()
         block, done, doc = 0, 0, 0
         held, pieces = bytearray(), []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal block, done, pieces
             cut = bytes(held[: 4 * block_ids])
             del held[: 4 * block_ids]
             n = len(cut) // 4
-            row = pd.DataFrame({"shard": [shard], "block": [block], "first_id": [done], "n_ids": [n], "planes": [to_planes(np.frombuffer(cut, "<u4"), bits)], "docs": [pieces]})
+            row = [[shard], [block], [done], [n], [to_planes(np.frombuffer(cut, "<u4"), bits)], [pieces]]
             block, done, pieces = block + 1, done + n, []
-            return row
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _BLOCK_SCHEMA, strict=True)], schema=_BLOCK_SCHEMA)
 
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"], encode(batch["text"]), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 ids += end
                 total, start, at = len(ids) // 4, done + len(held) // 4, 0
                 while at < total:
                     count = min(total - at, block_ids - len(held) // 4)
-                    pieces.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "doc": doc, "doc_start": start, "doc_ids": total, "offset": len(held) // 4, "count": count})
+                    pieces.append({"doc_id": doc_id, "doc": doc, "doc_start": start, "doc_ids": total, "offset": len(held) // 4, "count": count})
                     held += ids[4 * at : 4 * (at + count)]
                     at += count
                     if len(held) == 4 * block_ids:
@@ -141,7 +109,7 @@ def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_i
 
     # Without a partition count, adaptive execution may join small neighbouring ranges; their order stays.
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ranged.mapInPandas(pack, BLOCKS)
+    return ranged.mapInArrow(pack, BLOCKS)
 
 
 def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -150,17 +118,17 @@ def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
     The checksum runs over the decoded ids, so it proves the round trip.
     """
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, block, n, planes, docs in batch.itertuples(index=False, name=None):
-                raw, rows = from_planes(planes, n).tobytes(), []
-                for d in docs:
+            for row in batch.to_pylist():
+                raw, rows = from_planes(row["planes"], row["n_ids"]).tobytes(), []
+                for d in row["docs"]:
                     part = raw[4 * d["offset"] : 4 * (d["offset"] + d["count"])]
                     inside = d["count"] == d["doc_ids"]
-                    rows.append((shard, d["doc_id"], d["doc"], d["doc_start"], d["doc_ids"], zlib.crc32(part) if inside else None, part if with_ids or not inside else None, block))
-                yield pd.DataFrame(rows, columns=["shard", "doc_id", "doc", "doc_start", "n_tokens", "crc", "part", "block_at"]).astype({"doc_id": "Int64", "crc": "Int64"})
+                    rows.append((row["shard"], d["doc_id"], d["doc"], d["doc_start"], d["doc_ids"], zlib.crc32(part) if inside else None, part if with_ids or not inside else None, row["block"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE_SCHEMA, strict=True)], schema=_PIECE_SCHEMA)
 
-    pieces = blocks.select("shard", "block", "n_ids", "planes", "docs").mapInPandas(
+    pieces = blocks.select("shard", "block", "n_ids", "planes", "docs").mapInArrow(
         unpack, "shard int, doc_id long, doc long, doc_start long, n_tokens long, crc long, part binary, block_at int"
     )
     shards = blocks.groupBy("shard").agg(F.sum(F.col("n_ids").cast("long")).alias("_n"))

@@ -8,9 +8,7 @@ How it runs at scale: copies are reduced to one text by a grouped ``any_value``
 so a group of copies sends at most one text per map task; the texts then move once, by digest.  Counts return by a join of
 narrow rows on the digest, which adaptive execution splits where one digest is hot.
 
-Within a task, counts are remembered per chunk: the byte-level splitter cuts a text at white space into
-pieces whose tokens do not depend on their neighbours, so a text's count is the sum over its chunks.
-Texts with code points outside ``PLAIN`` or with a special token's text go through the tokenizer whole.
+The library encodes each distinct piece of text once per worker (see ``tokens``).
 
 Null and empty texts count 0 tokens; rows that repeat an id stay rows of their own.
 """
@@ -18,51 +16,22 @@ Null and empty texts count 0 tokens; rows that repeat an id stay rows of their o
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxolink.llm.common import shared_dir, small_batches, table
-from taxolink.llm.op3_token_files import MEMO, PLAIN, tokenizer_path
+from taxolink.llm.op3_token_files import tokenizer_path
+from taxolink.llm.tokens import ByteCounts, opened
 
 #: Counts above this are flagged.
 LIMIT = 512
-#: Chunks of the byte-level splitter: white space joins the next word only as one leading space.
-CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-
 CACHE = "digest string, n_tokens long"
 
 
-class Counter:
-    """Token counts of whole texts as the tokenizers library gives them."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, int] = {}
-
-    def whole(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: Iterable[str]) -> Iterator[int]:
-        for text in texts:
-            if PLAIN.search(text) or any(s in text for s in self.special):
-                yield self.whole([text])[0]
-                continue
-            chunks = CHUNK.findall(text)
-            fresh = list({c for c in chunks if c not in self.memo})
-            if fresh:
-                if len(self.memo) + len(fresh) > MEMO:
-                    self.memo, fresh = {}, list(set(chunks))
-                self.memo.update(zip(fresh, self.whole(fresh), strict=True))
-            yield sum(map(self.memo.__getitem__, chunks))
-
-
 def tokenizer_digest(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
@@ -86,12 +55,12 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: st
     known = read_cache(spark, cache, tokenizer)
     misses = texts if known is None else texts.join(known.select("digest"), "digest", "left_anti")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = Counter(tokenizer)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = opened(ByteCounts, tokenizer)
         for batch in batches:
-            yield pd.DataFrame({"digest": batch["digest"], "n_tokens": list(count(batch["text"]))})
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(list(count(batch.column("text").to_pylist())), pa.int64())], ["digest", "n_tokens"])
 
-    misses.mapInPandas(encode, CACHE).write.mode("append").parquet(f"{cache.rstrip('/')}/tokenizer={tokenizer_digest(tokenizer)}")
+    misses.mapInArrow(encode, CACHE).write.mode("append").parquet(f"{cache.rstrip('/')}/tokenizer={tokenizer_digest(tokenizer)}")
     # Two runs at once may both store a text; its counts are equal, and one is taken.
     counts = read_cache(spark, cache, tokenizer).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     slim = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
@@ -100,8 +69,6 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: st
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache of its own, so that every run counts all distinct texts."""
-    import uuid
-
     cache = f"{shared_dir(spark)}/taxolink-{uuid.uuid4().hex}/token_counts"
     got = count_tokens(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), cache)
     return got.withColumn("over_limit", F.col("n_tokens") > LIMIT)

@@ -7,9 +7,15 @@ from importlib import import_module
 #: Module and function of each query; the function has the query's name.
 MODULES = {
     "op1_mix_sources": "op1_mixing",
+    "op2_near_duplicates": "op2_near_duplicates",
     "op3_token_files": "op3_token_files",
     "op4_token_counts": "op4_token_counts",
     "op5_line_dedup": "op5_line_dedup",
+    "op6_license_scan": "op6_license_scan",
+    "op7_decontamination": "op7_decontamination",
+    "op8_exact_top_k": "op8_exact_top_k",
+    "op9_quality_scores": "op9_quality",
+    "op10_secret_scan": "op10_secrets",
 }
 
 
