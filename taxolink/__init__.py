@@ -1,0 +1 @@
+"""Taxonomies, mapping tables and link graphs as Spark jobs."""
