@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: The most rows a side may have to be broadcast by hand; a side over it is joined by shuffle.
 BROADCAST_ROWS = 20_000
-#: Rows of one Arrow batch; long texts make larger batches costly.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch; long texts make larger batches costly.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -13,13 +13,19 @@ How it runs at scale:
   copies become one row before anything is paired.
 * In a bucket (one value of one band) every member is compared with one leader, not with
   every other.  Verified links are joined into components, and after ``STAR_ROUNDS`` leaders only
-  members of *different* components that still share a bucket are compared with each other.  So
+  members of *different* components that still share a bucket are compared with each other.  The
+  leader is the member that shares most places in buckets, which is nearest to all others.  So
   a bucket of any size is handled completely, without a cap, and a large group of near copies
   costs about its size.
+  Where that leaves many members of one bucket, they are compared in blocks of bounded size, by products of 0/1
+  matrices over full sets, which return links only.
+* Inside the joins that make pairs, a pair must also pass a test on a few bits of all coordinates of both sketches, so pairs that only share a
+  passage are never made.
 * What moves: 16-byte digests and band values per document; texts move only for candidate pairs.
   Hot buckets and classes meet in joins, which adaptive execution splits, and in partial sums.
 
-A pair at similarity s is proposed unless all 32 bands miss: (1 - s^5)^32, 3e-6 at 0.8 and 7e-9 at 0.85.
+A pair at similarity s is proposed unless all 32 bands miss: (1 - s^5)^32, 3e-6 at 0.8 and 7e-9 at 0.85; the test
+on bits refuses it with probability 3e-6 at 0.8, and less above.
 
 Null, empty and white-space-only texts have an empty set and are linked with nothing.  Texts with fewer words than a
 shingle are one shingle.  Rows that share an id count as one node.  Rows with a null id are kept and
@@ -40,8 +46,12 @@ from taxolink.llm.common import components, small_batches, staged, table
 #: Words in a shingle and similarity, unless the caller says otherwise.
 WORDS, THRESHOLD = 5, 80
 BANDS, ROWS = 32, 5
+#: Bits of each coordinate that go with a document to its buckets, and the deviations that a pair may be off in them.
+BITS, DEVIATIONS = 3, 4.5
 #: Leaders that the members of a bucket are compared with before the rest is paired.
 STAR_ROUNDS = 2
+#: Buckets of so many members are paired one by one; larger ones are compared in blocks of so many members and set items.
+SMALL_BUCKET, BLOCK_MEMBERS, BLOCK_ITEMS = 32, 256, 200_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 ORACLE_SQL = r"""
@@ -111,8 +121,25 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def packed_bits(sketch: np.ndarray) -> np.ndarray:
+    """``BITS`` bits of every coordinate, as rows of 64-bit integers."""
+    low = (_mixed(sketch, 77)[:, :, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).reshape(len(sketch), -1)
+    raw = np.packbits(low, axis=1)
+    return np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.int64)
+
+
+def most_differing_bits(size: int, threshold: int) -> int:
+    """Bits that differ at most between sketches of sets that reach the threshold, but for ``DEVIATIONS`` standard deviations.
+
+    Of ``size`` coordinates a binomial number differ, and each bit of those differs with probability 1/2.
+    """
+    p = 1 - threshold / 100
+    mean = size * p * BITS / 2
+    return int(mean + DEVIATIONS * (size * (p * (1 - p) * BITS**2 / 4 + p * BITS / 4)) ** 0.5)
+
+
 def sketch_table(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n, d1, d2, keys`` of ``docs(doc_id, text)``: set size, digest of the set, band keys (null for empty sets)."""
+    """``doc_id, n, d1, d2, keys, bits`` of ``docs(doc_id, text)``: set size, digest of the set, band keys, packed bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest, xxh3_128_digest
@@ -120,12 +147,15 @@ def sketch_table(docs: DataFrame, words: int, bands: int = BANDS, rows: int = RO
         for batch in batches:
             sets = [np.sort(np.fromiter(map(xxh3_64_intdigest, s), np.uint64, len(s))) for s in (shingles(t, words) for t in batch.column("text").to_pylist())]
             digests = np.frombuffer(b"".join(xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
-            keys = band_keys(sketches(sets, bands * rows), bands, rows).view(np.int64)
+            sketch = sketches(sets, bands * rows)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))
+                for x in (band_keys(sketch, bands, rows).view(np.int64), packed_bits(sketch))
+            ]
             n = np.array([len(s) for s in sets], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sets) + 1) * bands, bands), pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], ["doc_id", "n", "d1", "d2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *lists], ["doc_id", "n", "d1", "d2", "keys", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -147,6 +177,70 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
     return sided.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
+def set_table(texts: DataFrame, words: int) -> DataFrame:
+    """``doc_id, items``: the sorted 64-bit hashes of a document's full set, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            sets = [np.sort(np.fromiter(map(xxh3_64_intdigest, s), np.uint64, len(s))).tobytes() for s in (shingles(t, words) for t in batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "items"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, items binary")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The sizes of all intersections of two lists of sorted sets, by products of 0/1 matrices over the items that both lists have."""
+    xs, ys = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(xs, ys)
+    out = np.zeros((len(a), len(b)), np.float32)  # exact up to 2^24
+    rows, cols = [], []
+    for items, sets, made in ((xs, a, rows), (ys, b, cols)):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(common, items), max(len(common) - 1, 0))
+        hit = common[at] == items if len(common) else np.zeros(len(items), bool)
+        order = np.argsort(at[hit], kind="stable")
+        made += [owner[hit][order], at[hit][order]]
+    for start in range(0, len(common), width):
+        left, right = (np.zeros((len(s), min(width, len(common) - start)), np.float32) for s in (a, b))
+        for m, (owner, at) in ((left, rows), (right, cols)):
+            i, j = np.searchsorted(at, [start, start + width])
+            m[owner[i:j], at[i:j] - start] = 1
+        out += left @ right.T
+    return out
+
+
+def block_links(spark: SparkSession, members: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Links ``(u, v)`` between members of different components in large buckets ``(key, rep, component, c, items)``.
+
+    A bucket is cut into blocks of bounded size, and every pair of blocks is one row: a task holds two blocks, computes all intersections of
+    their full sets at once and returns the links alone.  Pairs are neither made as rows nor left out.
+    """
+    sets = set_table(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+    n_blocks = F.ceil(F.greatest(F.col("c") / BLOCK_MEMBERS, F.col("items") / BLOCK_ITEMS)).cast("int")
+    placed = members.select("key", "rep", "component", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("rep"), n_blocks).cast("int").alias("block"))
+    filled = placed.join(sets.withColumnRenamed("doc_id", "rep"), "rep").groupBy("key", "n_blocks", "block").agg(F.collect_list(F.struct("rep", "component", "items")).alias("a"))
+    filled = staged(spark, filled, "blocks")
+    left = filled.withColumn("block", F.explode(F.sequence("block", F.col("n_blocks") - 1)))
+    met = left.join(filled.select("key", "block", F.col("a").alias("b")), ["key", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                sides = [batch.column(c)[i].as_py() for c in "ab"]
+                a, b = ([np.frombuffer(m["items"], np.uint64) for m in side] for side in sides)
+                both = overlaps(a, b)
+                size = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
+                ok = (both > 0) & (100 * both >= threshold * (size - both))
+                ok &= np.array([m["component"] for m in sides[0]])[:, None] != np.array([m["component"] for m in sides[1]])[None, :]
+                u, v = (np.array([m["rep"] for m in side], np.int64) for side in sides)
+                x, y = np.nonzero(ok)
+                yield pa.RecordBatch.from_arrays([pa.array(u[x]), pa.array(v[y])], ["u", "v"])
+
+    return met.select("a", "b").mapInArrow(run, "u long, v long")
+
+
 def _in_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         return members.withColumn("component", F.col("rep"))
@@ -158,41 +252,54 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = staged(spark, sketch_table(docs, words), "sketches")
-    classes = sketched.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
-    buckets = staged(spark, classes.select("rep", "n", F.explode("keys").alias("key")), "buckets")
-    crowded = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = staged(spark, buckets.join(crowded, "key"), "members")
+    classes = sketched.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"))
+    reps = staged(spark, classes, "classes")
+    buckets = reps.select("rep", F.explode("keys").alias("key"))
+    crowded = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = staged(spark, buckets.join(crowded, "key"), "shared")
+    # Who shares most places in buckets is most like all others, so it leads: one leader then links most of a large group.
+    degree = shared.groupBy("rep").agg(F.sum("c").alias("degree"))
+    members = staged(spark, shared.drop("c").join(degree, "rep").join(reps.select("rep", "n", "bits"), "rep"), "members")
     texts = docs.where("doc_id is not null")
     tested, links, found = None, None, None
 
     def close(a: str, b: str) -> Column:
-        return F.expr(f"100 * least({a}, {b}) >= {threshold} * greatest({a}, {b})")
+        """Sizes within the threshold of each other, and sketches no further apart than it allows; a test inside the join."""
+        differ = " + ".join(f"bit_count(bits{a}[{i}] ^ bits{b}[{i}])" for i in range(-(-BANDS * ROWS * BITS // 64)))
+        return F.expr(f"100 * least(n{a}, n{b}) >= {threshold} * greatest(n{a}, n{b}) and {differ} <= {most_differing_bits(BANDS * ROWS, threshold)}")
 
     def test(pairs: DataFrame) -> None:
         """Verify the untested ``pairs(u, v)``, add the links and renew the components."""
         nonlocal tested, links, found
         pairs = pairs.select("u", "v").distinct()
         pairs = staged(spark, pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        if pairs.isEmpty() and links is not None:
+            return
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = staged(spark, verified(pairs, texts, words, threshold), "links")
         links = new if links is None else links.unionByName(new)
         found = components(spark, links)
 
-    for turn in range(STAR_ROUNDS):
+    for _ in range(STAR_ROUNDS):
         open_ = _in_components(members, found)
-        rank = F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("first"), "rep", "n", "component")
-        leaders = open_.groupBy("key").agg(F.min(rank).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        leaders = leaders.select("key", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.component").alias("leader_component"))
-        test(open_.join(leaders, "key").where("component <> leader_component").where(close("n", "leader_n")).select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v")))
+        best = F.max(F.struct("degree", (-F.col("rep")).alias("first"), "n", "component", "bits"))
+        leaders = open_.groupBy("key").agg(best.alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        leaders = leaders.select("key", (-F.col("l.first")).alias("leader"), F.col("l.n").alias("n2"), F.col("l.bits").alias("bits2"), F.col("l.component").alias("component2"))
+        test(open_.join(leaders, "key").where(F.expr("component <> component2") & close("", "2")).select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v")))
     open_ = staged(spark, _in_components(members, found), "open")
-    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = open_.join(mixed, "key")
-    other = rest.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    test(rest.join(other, "key").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & close("n", "n2")).select(F.col("rep").alias("u"), F.col("rep2").alias("v")))
+    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("items")).where("lo < hi")
+    rest = staged(spark, open_.join(mixed.select("key", "c", "items"), "key"), "rest")
+    small = rest.where(F.col("c") <= SMALL_BUCKET).drop("c", "items", "degree")
+    other = small.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("component").alias("component2"))
+    test(small.join(other, "key").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & close("", "2")).select(F.col("rep").alias("u"), F.col("rep2").alias("v")))
+    large = rest.where(F.col("c") > SMALL_BUCKET)
+    if not large.isEmpty():
+        links = links.unionByName(staged(spark, block_links(spark, large, texts, words, threshold), "links"))
+        found = components(spark, links)
 
     joined = (
         sketched.select("doc_id", "n", "d1", "d2")
-        .join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left")
+        .join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left")
         .join(found.withColumnRenamed("node", "rep"), "rep", "left")
     )
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
