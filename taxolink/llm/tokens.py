@@ -10,13 +10,14 @@ The memo lives as long as the Python worker and is emptied when it has ``MEMO``
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Entries of a memo.
-MEMO = 400_000
+MEMO = 200_000
 #: Words given to the library in one text.
 JOINED = 256
 #: White space, visible ASCII, and letters and marks of Latin, Cyrillic, CJK and Hangul that have been in Unicode unchanged for
@@ -41,6 +42,7 @@ class Pieces:
     glue: str
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks; the library's threads would only add memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
