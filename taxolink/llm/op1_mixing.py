@@ -30,7 +30,7 @@ MAX_REPEATS = 3.0
 #: Weights of the query, dealt to the sources in code-point order.
 CYCLE = (1, 2, 3)
 #: Seeds tried for the copies that a rate's fraction gives.
-N_SEEDS = 16
+N_SEEDS = 64
 
 
 def targets(sizes: DataFrame, total: Column | None = None, max_repeats: float = MAX_REPEATS) -> DataFrame:
