@@ -47,7 +47,7 @@ def cumulative_path(c: Column, delimiters: str = ".-(", legacy: bool = False) ->
     prefixes = F.transform(at, lambda i: F.substring(c, F.lit(1), i - 1))
     if legacy:
         return F.flatten(F.transform(prefixes, lambda p: F.array(p, c)))
-    return F.array_distinct(F.filter(F.concat(prefixes, F.array(c)), lambda p: F.length(p) > 0))
+    return F.when(c.isNotNull(), F.array_distinct(F.filter(F.concat(prefixes, F.array(c)), lambda p: F.length(p) > 0)))
 
 
 def split_path(c: Column) -> Column:

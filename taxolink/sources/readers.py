@@ -96,5 +96,5 @@ def read_sheets(spark: SparkSession, sheets: dict[str, str], views: bool = True,
 
 def read_notes(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """``path, text`` of every note below a folder."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
