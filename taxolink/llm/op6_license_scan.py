@@ -5,9 +5,8 @@ known licences by the cosine of TF-IDF vectors.  A file whose whole text is clos
 licence file, is a licence file and speaks for its directory.  A document without a header of its own inherits from the nearest ancestor
 directory that has a licence file.  Only DataFrame functions are used.
 
-How it runs at scale: document frequencies are counted over all documents, for the terms of notices and headers; the words of
-a text are exploded only within a partition, where they meet that vocabulary (broadcast if counted to be
-small, else by a shuffle after partial counts).  Vectors exist for headers only.  Inheritance is resolved
+How it runs at scale: document frequencies are counted over all documents, for the terms of notices and headers; words
+are counted within a partition before they are shuffled, and then meet that vocabulary.  Vectors exist for headers only.  Inheritance is resolved
 once per distinct directory, by equi-joins on its ancestors' paths, so a directory with a third of all documents is
 one row until the last, narrow join.
 
@@ -21,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolink.llm.common import broadcast_if_small, staged, table
+from taxolink.llm.common import staged, table
 
 #: Notices of known licences, as published with them.
 NOTICES = {
@@ -67,7 +66,8 @@ def cosines(spark: SparkSession, units: DataFrame, files: DataFrame, notices: di
     notice_tf = split(notice_table(spark, notices), "license")
     vocabulary = staged(spark, unit_tf.select("term").unionByName(notice_tf.select("term")).distinct(), "vocabulary")
     words = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    df = words.join(broadcast_if_small(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # Counted first, so each map task sends a word once; the vocabulary then picks what it needs.
+    df = words.groupBy("term").agg(F.count("*").alias("df")).join(vocabulary, "term", "left_semi")
     n = files.count()
     idf = staged(spark, vocabulary.join(df, "term", "left").select("term", (F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")), "idf")
     weigh = lambda tf: tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
