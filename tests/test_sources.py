@@ -62,4 +62,4 @@ def test_note_files(spark, tmp_path):
     S.write_files(notes, str(tmp_path / "out"))
     got = {r["path"].rsplit("/out/")[-1]: r["text"] for r in R.read_notes(spark, f"file://{tmp_path}/out").collect()}
     assert got == {"a/b.md": "---\n{}\n---\n\ntext\n", "c.md": '---\n{"x":"1"}\n---\n\nt\n'}
-    assert S.export({"a name that is far too long for a sheet": notes}, f"file://{tmp_path}/x").popitem()[1].endswith("/a_name_that_is_far_too_long_for_")
+    assert S.export({"a name that is far too long for a sheet": notes}, f"file://{tmp_path}/x").popitem()[1].endswith("/a_name_that_is_far_too_long_for")
