@@ -142,3 +142,11 @@ def compare_columns(a: DataFrame, b: DataFrame) -> DataFrame:
     status = F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").otherwise("matched")
     return both.select("tbl", F.coalesce("a", "b").alias("name"), status.alias("status"))
 
+
+
+def fuzzy_columns(a: DataFrame, b: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``name, suggestion, score``: for each distinct name of catalog ``a(name)`` the most similar one of ``b(name)``."""
+    one = lambda df: df.select(F.col("name").alias("id"), F.regexp_replace("name", r"(?<=[a-z0-9])(?=[A-Z])", " ").alias("value")).distinct()
+    pairs = match(one(a), one(b), "jaccard", threshold=threshold)
+    best = pairs.groupBy("left_id").agg(F.max(F.struct("score", "right_id")).alias("b"))
+    return best.select(F.col("left_id").alias("name"), F.col("b.right_id").alias("suggestion"), F.col("b.score").alias("score"))
