@@ -8,12 +8,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space in the Unicode sense.
-WS = r"[\s\p{Z}]"
+#: White space in the Unicode sense (fixed values).
+WS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c.cast("string"), f"^{WS}+|{WS}+$", "")
+    return F.btrim(c.cast("string"), F.lit(WS))
 
 
 def blank_to_null(c: Column) -> Column:
