@@ -137,8 +137,19 @@ def test_sketch_agreement_estimates_similarity():
         assert abs((s[0] == s[1]).mean() - both / (n + m - both)) < 0.07
 
 
-def test_near_duplicates_of_large_groups(spark):
-    """Chains of drifting copies, one group of copies and texts that share much but not enough."""
+def test_overlaps_are_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 40, 200, 250, 5)]
+    for width in (7, 4096):
+        assert (o2.overlaps(sets, sets[::-1], width) == [[len(np.intersect1d(a, b)) for b in sets[::-1]] for a in sets]).all()
+    assert (o2.overlaps(sets[:1], sets[:1]) == 0).all()
+
+
+@pytest.mark.parametrize("small, block", [(32, 256), (1, 8)])
+def test_near_duplicates_of_large_groups(spark, monkeypatch, small, block):
+    """Chains of drifting copies, one group of copies and texts that share much but not enough; the second run compares all buckets in blocks."""
+    monkeypatch.setattr(o2, "SMALL_BUCKET", small)
+    monkeypatch.setattr(o2, "BLOCK_MEMBERS", block)
     rnd = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, text = [], [rnd.choice(vocabulary) for _ in range(60)]
