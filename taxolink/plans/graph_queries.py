@@ -34,11 +34,11 @@ def orphans(spark, sf):
     return G.orphans(table(spark, sf, "customer").select(F.col("c_custkey").alias("node_id")), table(spark, sf, "orders").select(F.col("o_custkey").alias("dst_id")))
 
 
-_TWO_WAY = "SELECT l_suppkey % 97 AS src_id, l_partkey % 97 AS dst_id FROM lineitem WHERE l_orderkey % 5 = 0"
+_TWO_WAY = "SELECT l_suppkey % 97 AS src_id, l_partkey % 97 AS dst_id FROM lineitem"
 
 
 def _two_way(spark, sf):
-    return table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select((F.col("l_suppkey") % 97).alias("src_id"), (F.col("l_partkey") % 97).alias("dst_id"))
+    return table(spark, sf, "lineitem").select((F.col("l_suppkey") % 97).alias("src_id"), (F.col("l_partkey") % 97).alias("dst_id"))
 
 
 @query(f"WITH e AS (SELECT DISTINCT * FROM ({_TWO_WAY})) SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.src_id = e.dst_id AND f.dst_id = e.src_id)")
@@ -89,16 +89,15 @@ def level_totals(spark, sf):
     return G.level_totals(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
-_PAIRS = "SELECT user_id AS src_id, 100000 + event_id % 5000 AS dst_id FROM events WHERE event_id % 9 = 0"
-
-
-@query(f"""
-WITH RECURSIVE e AS ({_PAIRS}), b AS (SELECT src_id AS a, dst_id AS b FROM e UNION SELECT dst_id, src_id FROM e),
-n AS (SELECT DISTINCT a AS id FROM b), r AS (SELECT id, id AS c FROM n UNION SELECT b.b, r.c FROM r JOIN b ON b.a = r.id)
-SELECT id, min(c) AS component FROM r GROUP BY id""")
+@query("""
+SELECT -1 - n_nationkey AS id, -1 - n_nationkey AS component FROM nation UNION ALL SELECT c_custkey, -1 - c_nationkey FROM customer
+UNION ALL SELECT 1000000000000 + o_orderkey, -1 - c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey""")
 def graph_components(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 9 = 0").select(F.col("user_id").alias("src_id"), (F.lit(100000) + F.col("event_id") % 5000).alias("dst_id"))
-    return G.components(spark, e, e.select(F.explode(F.array("src_id", "dst_id")).alias("id")))
+    """Orders, their customers and the customers' nations: every component has one nation, whose id is least."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("src_id"), (F.lit(-1) - F.col("c_nationkey")).cast("long").alias("dst_id"))
+    o = table(spark, sf, "orders").select((F.lit(10**12) + F.col("o_orderkey")).alias("src_id"), F.col("o_custkey").alias("dst_id"))
+    nodes = c.select("src_id").unionByName(o.select("src_id")).unionByName(table(spark, sf, "nation").select((F.lit(-1) - F.col("n_nationkey")).cast("long").alias("src_id")))
+    return G.components(spark, c.unionByName(o), nodes.select(F.col("src_id").alias("id")))
 
 
 @query(f"""
@@ -152,10 +151,10 @@ def moved_nodes(spark, sf):
 
 
 @query("""
-WITH p AS (SELECT DISTINCT l_partkey % 500 AS old_id, l_suppkey AS new_id FROM lineitem WHERE l_orderkey % 50 = 0)
+WITH p AS (SELECT DISTINCT l_partkey % 500 AS old_id, l_suppkey AS new_id FROM lineitem)
 SELECT new_id AS id, 'merge' AS kind, count(*) AS n FROM p GROUP BY new_id HAVING count(*) > 1 UNION ALL SELECT old_id, 'split', count(*) FROM p GROUP BY old_id HAVING count(*) > 1""")
 def reshaped(spark, sf):
-    return V.reshaped(table(spark, sf, "lineitem").where("l_orderkey % 50 = 0").select((F.col("l_partkey") % 500).alias("old_id"), F.col("l_suppkey").alias("new_id")))
+    return V.reshaped(table(spark, sf, "lineitem").select((F.col("l_partkey") % 500).alias("old_id"), F.col("l_suppkey").alias("new_id")))
 
 
 @query("""
