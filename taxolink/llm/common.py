@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,21 +63,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def fixed_point(step: Callable[[DataFrame], DataFrame], edges: DataFrame, same: Callable[[DataFrame], tuple]) -> DataFrame:
-    """Apply ``step`` until ``same`` no longer changes."""
-    seen = same(edges)
-    while True:
-        edges = step(edges)
-        now = same(edges)
-        if now == seen:
-            return edges
-        seen = now
-
-
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)``: one row ``(node, component)`` per node, component its smallest node.
 
-    Alternates large-star and small-star steps, which end after about log(n) rounds; every round is a
+    Alternates large-star and small-star steps until only stars are left, about log(n) rounds; every round is a
     grouped minimum and a join on Spark, with its result written to the shared folder.  Nodes without an
     edge are not returned.  Self-loops, repeated and reversed edges change nothing.
     """
@@ -92,11 +80,14 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         small = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         return staged(spark, small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether every larger node has one edge, and to a node that has none of its own."""
+        return e.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").isEmpty() and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
 
     start = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    out = fixed_point(star, staged(spark, start, "edges"), mark)
+    out = staged(spark, start, "edges")
+    while not settled(out):
+        out = star(out)
     nodes = out.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = out.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots.join(nodes, "node", "left_anti"))

@@ -48,8 +48,8 @@ WORDS, THRESHOLD = 5, 80
 BANDS, ROWS = 32, 5
 #: Bits of each coordinate that go with a document to its buckets, and the deviations that a pair may be off in them.
 BITS, DEVIATIONS = 3, 4.5
-#: Leaders that the members of a bucket are compared with before the rest is paired.
-STAR_ROUNDS = 2
+#: Leaders that the members of a bucket are compared with before the rest is compared.
+STAR_ROUNDS = 1
 #: Buckets of so many members are paired one by one; larger ones are compared in blocks of so many members and set items.
 SMALL_BUCKET, BLOCK_MEMBERS, BLOCK_ITEMS = 32, 256, 200_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -269,8 +269,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         return F.expr(f"100 * least(n{a}, n{b}) >= {threshold} * greatest(n{a}, n{b}) and {differ} <= {most_differing_bits(BANDS * ROWS, threshold)}")
 
     def test(pairs: DataFrame) -> None:
-        """Verify the untested ``pairs(u, v)``, add the links and renew the components."""
-        nonlocal tested, links, found
+        """Verify the untested ``pairs(u, v)`` and add the links."""
+        nonlocal tested, links
         pairs = pairs.select("u", "v").distinct()
         pairs = staged(spark, pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty() and links is not None:
@@ -278,7 +278,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = staged(spark, verified(pairs, texts, words, threshold), "links")
         links = new if links is None else links.unionByName(new)
-        found = components(spark, links)
 
     for _ in range(STAR_ROUNDS):
         open_ = _in_components(members, found)
@@ -286,6 +285,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         leaders = open_.groupBy("key").agg(best.alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         leaders = leaders.select("key", (-F.col("l.first")).alias("leader"), F.col("l.n").alias("n2"), F.col("l.bits").alias("bits2"), F.col("l.component").alias("component2"))
         test(open_.join(leaders, "key").where(F.expr("component <> component2") & close("", "2")).select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v")))
+        found = components(spark, links)
     open_ = staged(spark, _in_components(members, found), "open")
     mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("items")).where("lo < hi")
     rest = staged(spark, open_.join(mixed.select("key", "c", "items"), "key"), "rest")
@@ -295,7 +295,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     large = rest.where(F.col("c") > SMALL_BUCKET)
     if not large.isEmpty():
         links = links.unionByName(staged(spark, block_links(spark, large, texts, words, threshold), "links"))
-        found = components(spark, links)
+    found = components(spark, links)
 
     joined = (
         sketched.select("doc_id", "n", "d1", "d2")
