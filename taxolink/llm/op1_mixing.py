@@ -30,7 +30,7 @@ MAX_REPEATS = 3.0
 #: Weights of the query, dealt to the sources in code-point order.
 CYCLE = (1, 2, 3)
 #: Seeds tried for the copies that a rate's fraction gives.
-N_SEEDS = 64
+N_SEEDS = 32
 
 
 def targets(sizes: DataFrame, total: Column | None = None, max_repeats: float = MAX_REPEATS) -> DataFrame:
@@ -78,13 +78,10 @@ def rates(spark: SparkSession, docs: DataFrame, weights: DataFrame | None = None
         weighed = sizes.join(weights.select(F.col("source").alias("_tl_s"), F.col("weight").cast("double")), F.col("source").eqNullSafe(F.col("_tl_s")), "left").drop("_tl_s").fillna(0.0, ["weight"])
     got = staged(spark, targets(weighed.where("weight > 0")).withColumn("rate", F.when(F.col("size") > 0, F.least(F.col("target") / F.col("size"), F.lit(MAX_REPEATS))).otherwise(0.0)), "rates")
     fraction = F.col("rate") - F.floor("rate")
-    per_seed = with_rates(docs, got.select("source", "rate")).groupBy("source").agg(
-        *(F.sum(F.when(_extra(F.col("key"), F.lit(s), fraction) == 1, F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(N_SEEDS))
-    )
-    off = per_seed.join(got.select(F.col("source").alias("_tl_s"), "size", "target", "rate"), F.col("source").eqNullSafe(F.col("_tl_s"))).select(
-        "source",
-        F.array_min(F.array(*(F.struct(F.abs(F.col(f"s{s}") + F.floor("rate") * F.col("size") - F.col("target")).alias("off"), F.lit(s).alias("seed")) for s in range(N_SEEDS))))["seed"].alias("seed"),
-    )
+    each = with_rates(docs, got.select("source", "rate")).select("source", "key", "size", fraction.alias("fraction"), F.explode(F.sequence(F.lit(0), F.lit(N_SEEDS - 1))).alias("seed"))
+    per_seed = each.groupBy("source", "seed").agg(F.sum(_extra(F.col("key"), F.col("seed"), F.col("fraction")) * F.col("size")).alias("extra"))
+    miss = F.abs(F.col("extra") + F.floor("rate") * F.col("size") - F.col("target"))
+    off = per_seed.join(got.select(F.col("source").alias("_tl_s"), "size", "target", "rate"), F.col("source").eqNullSafe(F.col("_tl_s"))).groupBy("source").agg(F.min(F.struct(miss.alias("off"), "seed"))["seed"].alias("seed"))
     return staged(spark, got.join(off.withColumnRenamed("source", "_tl_s"), F.col("source").eqNullSafe(F.col("_tl_s"))).drop("_tl_s"), "rates")
 
 
