@@ -58,7 +58,7 @@ def mapping_pairs(mapping: DataFrame, left: str, right: str, id_pattern: str | N
     return got.select(form(F.col("left_id")).alias("left_id"), form(T.blank_to_null(F.col("right_id"))).alias("right_id"), *keep).dropna(subset=["left_id", "right_id"])
 
 
-def crosswalk(source: DataFrame, source_id: str, pairs: DataFrame) -> DataFrame:
+def mapped_edges(source: DataFrame, source_id: str, pairs: DataFrame) -> DataFrame:
     """An edge for every source row and right id of its id: ``src_id, dst_id``, and what else ``pairs`` carries."""
     return source.select(F.col(source_id).alias("src_id")).join(pairs.withColumnRenamed("left_id", "src_id").withColumnRenamed("right_id", "dst_id"), "src_id")
 
@@ -113,7 +113,7 @@ def link_pass(source: DataFrame, source_id: str, target: DataFrame, target_id: s
     """The whole pass: right ids of each source id, existing targets only, written in the directions asked for."""
     sources = source.select(F.col(source_id).cast("string").alias("id")).distinct()
     targets = target.select(F.col(target_id).cast("string").alias("id"))
-    return directed(existing(crosswalk(sources, "id", pairs), targets, "id"), link)
+    return directed(existing(mapped_edges(sources, "id", pairs), targets, "id"), link)
 
 
 def link_counts(edges: DataFrame, distinct: bool = False) -> DataFrame:

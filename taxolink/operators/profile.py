@@ -83,7 +83,7 @@ def patterns(df: DataFrame, order: str, columns: Sequence[str] | None = None) ->
 
 
 def file_pattern(name: Column) -> Column:
-    """``NIST_800-53_rev5.csv`` -> ``nist****rev*`` as the reference text rules give it: separators, then digits, become stars."""
+    """``NIST_800-53_rev5.csv`` -> ``nist*****rev*``: separators, then digits, become stars."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), r"\.[^.]+$", ""), r"[_\-\s]+", "*"), r"\d+", "*")
 
 

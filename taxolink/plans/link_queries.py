@@ -125,7 +125,7 @@ def multi_value_mapping(spark, sf):
     """Right cells hold many ids in markup; ids are extracted before the join."""
     cells = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.lit("P-"), "l_partkey", F.lit(' [part](u "t")'))), "<br><br>").alias("cell"))
     pairs = J.mapping_pairs(cells, "l_orderkey", "cell", id_pattern=r"P-\d+")
-    got = J.crosswalk(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id")), "id", pairs)
+    got = J.mapped_edges(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id")), "id", pairs)
     return got.groupBy(F.col("src_id").cast("long").alias("order_id"), F.substring("dst_id", 3, 20).cast("long").alias("part_id")).agg(F.count("*").alias("n"))
 
 
