@@ -5,7 +5,7 @@ are those of its pieces in order, and only pieces never seen before go to the li
 That holds where this module's own splitting is certain to be the library's: in texts of ``PLAIN`` code
 points without a special token's text.  All other texts go to the library whole.
 
-The memo lives as long as the Python worker and is emptied when it has ``MEMO`` entries.
+The memo lives as long as the Python worker and is emptied when it is full.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Entries of a memo.
-MEMO = 200_000
+#: Entries of a memo, and of the larger one of the tokenizer that is slower and has shorter values.
+MEMO, MEMO_WORDS = 200_000, 400_000
 #: Words given to the library in one text.
 JOINED = 256
 #: White space, visible ASCII, and letters and marks of Latin, Cyrillic, CJK and Hangul that have been in Unicode unchanged for
@@ -40,6 +40,7 @@ class Pieces:
     #: What a chunk is cut into, and what stands between words that are encoded together.
     piece: re.Pattern
     glue: str
+    most = MEMO
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks; the library's threads would only add memory
@@ -78,9 +79,9 @@ class Pieces:
         fresh = {c for c in chunks if c not in self.chunks}
         if not fresh:
             return
-        if len(self.chunks) + len(fresh) > MEMO:
+        if len(self.chunks) + len(fresh) > self.most:
             self.chunks, fresh = {}, set(chunks)
-        if len(self.pieces) + len(fresh) > MEMO:
+        if len(self.pieces) + len(fresh) > self.most:
             self.pieces = {}
         cut = {c: self.piece.findall(c) for c in fresh}
         missing = list({p for ps in cut.values() for p in ps if p not in self.pieces})
@@ -98,6 +99,7 @@ class WordIds(Pieces):
 
     piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     glue = " "
+    most = MEMO_WORDS
 
     def is_word(self, piece: str) -> bool:
         return piece.isalpha()
