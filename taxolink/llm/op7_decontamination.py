@@ -6,12 +6,15 @@ pieces; k edits can touch at most k of them, so one piece must occur unchanged.
 are looked up in one pass over the text by an Aho-Corasick automaton, and around every hit the least edit
 distance of the whole item to a passage is computed by Myers' bit-parallel algorithm (Python integers hold the bit vectors of any item).
 
-How it runs at scale: documents are never shuffled; each is read once per block of items, whole.  A block holds at most
+Items of fewer than ``MIN_WORDS`` words and ``MIN_CHARS`` characters have no room for edits: they are found exactly, from word border to
+word border.  Between characters of scripts that are written without spaces every place is a border.
+
+How it runs at scale: documents are never shuffled; each is read once per block of items, whole.  A block is closed once it holds
 ``BLOCK_CHARS`` characters of items, so what is broadcast has a fixed bound however large the test set is.  Hits
 of one item at nearly the same place are verified once, in a window of at most m + 4 k characters around each hit.
 
 A document is reported once for each item that it holds, with the least distance.  Null and empty texts hold nothing.
-Items of fewer than ``MIN_WORDS`` words are too short to tell from ordinary text and match nothing; items
+Only items without a letter or digit match nothing: an item of one common word is in every document that has the word.  Items
 with the same normal form are all reported.  Rows that repeat an id are reported per row, and null ids are
 reported as null.
 """
@@ -31,11 +34,14 @@ from taxolink.llm.common import small_batches, table
 ERROR_RATE = 0.06
 #: Pieces are at least so long; an item's error budget shrinks until they are.
 MIN_PIECE = 12
-MIN_WORDS = 8
+#: Items with fewer words and fewer characters than these are matched exactly, at word borders.
+MIN_WORDS, MIN_CHARS = 8, 40
 #: Characters of normalised items in one block.
 BLOCK_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
+#: Scripts without spaces between words: Thai and Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normal(text: str | None) -> str:
@@ -46,6 +52,15 @@ def budget(m: int, rate: float = ERROR_RATE, min_piece: int = MIN_PIECE) -> int:
     return max(0, min(int(m * rate), m // min_piece - 1))
 
 
+def is_short(item: str) -> bool:
+    return item.count(" ") + 1 < MIN_WORDS and len(item) < MIN_CHARS
+
+
+def is_border(text: str, at: int) -> bool:
+    """Whether a word of the normal form ``text`` may begin or end before position ``at``."""
+    return at in (0, len(text)) or " " in text[at - 1 : at + 1] or bool(_UNSPACED.search(text, at - 1, at + 1))
+
+
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
     """``item`` cut into k + 1 pieces of nearly equal length: (offset, piece)."""
     cuts = [i * len(item) // (k + 1) for i in range(k + 2)]
@@ -93,7 +108,8 @@ class Matcher:
         self.items: dict[str, list[int]] = defaultdict(list)
         for item_id, item in items:
             self.items[item].append(item_id)
-        self.budget = {item: budget(len(item), rate, min_piece) for item in self.items}
+        self.short = set(filter(is_short, self.items))
+        self.budget = {item: 0 if item in self.short else budget(len(item), rate, min_piece) for item in self.items}
         self.patterns: dict[str, Pattern] = {}
         where: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for item in self.items:
@@ -112,7 +128,8 @@ class Matcher:
             return {}
         for end, (n, uses) in self.automaton.iter(text):
             for item, at in uses:
-                spots[item].add(end - n + 1 - at)
+                if item not in self.short or (is_border(text, end - n + 1) and is_border(text, end + 1)):
+                    spots[item].add(end - n + 1 - at)
         found = {}
         for item, starts in spots.items():
             k, reach, best = self.budget[item], -1, None
@@ -134,13 +151,13 @@ class Matcher:
         return found
 
 
-def blocks(items: DataFrame, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """Normalised ``items(item_id, text)`` in blocks of bounded size, streamed to the driver one partition at a time."""
     block, held = [], 0
     for item_id, text in items.select("item_id", "text").toLocalIterator():
         item = normal(text)
-        if item.count(" ") + 1 >= min_words:
-            if block and held + len(item) > block_chars:
+        if item:
+            if held >= block_chars:
                 yield block
                 block, held = [], 0
             block.append((item_id, item))

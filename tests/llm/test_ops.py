@@ -323,6 +323,16 @@ def test_decontamination_odd(spark, odd, sf_dir):
     assert len(list(o7.blocks(items, block_chars=10))) == 2
 
 
+def test_decontamination_short_items(spark):
+    """Short items are found exactly, at word borders; long items of few words as any other."""
+    long = "水的沸点随着海拔升高而降低请解释其中的原因并举出两个生活中的例子说明这一现象如何影响烹饪时间以及人们怎样应对"
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, long), (3, "水的沸点是多少？"), (4, "art"), (5, "?!"), (6, None)], "item_id long, text string")
+    texts = ["So: who wrote HAMLET, then", "who wrote hamlets", "start of the cart", "State of the art.", f"前面的话{long[:20]}很{long[21:]}后面的话", "请问水的沸点是多少呢", "水的沸点是多", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, o7.contaminated(spark, docs, items).collect())) == [(0, 1, 0), (3, 4, 0), (4, 2, 1), (5, 3, 0)]
+    assert sorted(r["doc_id"] for r in o7.decontaminate(spark, docs, items).collect()) == [1, 2, 6, 7]
+
+
 def test_decontamination_query(spark, sf_dir, documents):
     items = {r["item_id"]: o7.normal(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     exact = {(i, k) for i, d in documents.items() for k, x in items.items() if x.count(" ") >= 7 and x in o7.normal(d["text"])}
