@@ -426,3 +426,17 @@ def test_secrets_added(spark, odd):
     assert sum(len(got[200 + i]["added"]) for i in range(20)) >= 14
     assert all(not r["added"] and not r["base"] for r in o10.find_secrets(spark, odd).collect())
     assert o10.find_secrets(spark, odd.where("false")).count() == 0
+
+
+def test_secrets_short_or_over_a_base_span(spark):
+    """A learned format is found below 16 characters, and where a base span covers a part of the run only."""
+    rnd = random.Random(11)
+    digits = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    short, long = lambda: "Q" + digits(9, "0123456789"), lambda: "ghp_" + digits(24, "0123456789abcdef")
+    rows = [(i, f"token = {short()}", "en", "a", 1) for i in range(100, 160)] + [(i, f"secret: {long()}", "en", "a", 1) for i in range(200, 260)]
+    rows += [(300 + i, f"some {short()} words", "en", "a", 1) for i in range(20)] + [(400 + i, f"some {long()} words", "en", "a", 1) for i in range(20)]
+    got = {r["doc_id"]: r for r in o10.find_secrets(spark, docs_of(spark, rows)).collect()}
+    assert sum([(s["start"], s["end"]) for s in got[300 + i]["added"]] == [(5, 15)] for i in range(20)) >= 14
+    assert sum([(s["start"], s["end"]) for s in got[400 + i]["added"]] == [(5, 33)] for i in range(20)) >= 14
+    assert [s["kind"] for s in got[400]["base"]] == ["hex"]
+    assert not any(got[i]["added"] for i in (*range(100, 160), *range(200, 260)))
