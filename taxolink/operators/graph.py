@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ COMPOSED = {
 }
 #: Rounds after which a component search gives up; stars halve distances, so this is never near.
 MAX_ROUNDS = 50
+#: Hops after which the pairs seen so far are written as one table, so that plans of long chains stay small.
+CUT_HOPS = 10
 
 
 def closure(nodes: DataFrame, node: str = "node_id", path: str = "path") -> DataFrame:
@@ -55,17 +58,22 @@ def shared_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="taxolink-"))
 
 
-def reachable(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_hops: int = 10) -> DataFrame:
-    """``start, node, hops``: the least number of hops from each start, up to ``max_hops``; cycles end as seen pairs are dropped."""
+def reachable(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``start, node, hops``: the least number of hops from each start; cycles end as seen pairs are dropped.
+
+    Goes on until no pair is new; only a caller that gives ``max_hops`` gets nodes up to that many hops away.
+    """
     shared_folder(spark)
     e = edges.select(F.col("src_id").alias("_s"), F.col("dst_id").alias("_d")).distinct()
     seen = front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops")).distinct()
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         step = front.join(e, F.col("node") == F.col("_s")).select("start", F.col("_d").alias("node")).distinct()
         front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % CUT_HOPS == 0:
+            seen = seen.checkpoint()
     return seen
 
 

@@ -159,6 +159,14 @@ def test_composition_table(spark):
         assert G.compose(make(p), second(q)).first()["relation"] == want
 
 
+def test_reachable_to_the_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 3)], "src_id long, dst_id long")
+    starts = spark.createDataFrame([(0,)], "id long")
+    hops = lambda *limit: {r["node"]: r["hops"] for r in G.reachable(spark, edges, starts, *limit).collect()}
+    assert hops() == {i: i for i in range(13)}
+    assert hops(4) == {i: i for i in range(5)}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20], "src_id long, dst_id long")
     nodes = spark.createDataFrame([(i,) for i in range(42)], "id long")
