@@ -270,6 +270,23 @@ def test_license_scan(spark):
     assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "header"), 4: ("MIT", "inherited"), 5: (None, "none"), 6: (None, "none"), 7: ("GPL-3.0", "file"), 8: ("GPL-3.0", "inherited"), None: ("MIT", "inherited"), 9: (None, "none")}
 
 
+def test_license_forms(spark):
+    """SPDX lines, titles, notices over several lines and whole texts; and lines that name no known licence."""
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nimport os"
+    text = lambda name: (o6.TEXTS / f"{name}.txt").read_text().replace("<year>", "2019").replace("<copyright holders>", "Some Body")
+    code = "first = second + third\nfor each in every: print(each)\nreturn nothing\n"
+    want = [
+        ("// SPDX-License-Identifier: MIT\n" + code, "MIT"), ("SPDX-License-Identifier: Apache-2.0\n" + code, "Apache-2.0"), ("SPDX-License-Identifier: BSD-3-Clause\n" + code, "BSD-3-Clause"), ("SPDX-License-Identifier: GPL-2.0-or-later\n" + code, "GPL-2.0"),
+        ("SPDX-License-Identifier: MIT-0\n" + code, None), ("SPDX-License-Identifier: Zlib\n" + code, None), ("MIT License\n" + code, "MIT"), ("The MIT License (MIT)\n" + code, "MIT"), ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991\n" + code, "GPL-2.0"),
+        ("ISC License\n" + code, "ISC"), ("Eclipse Public License - v 2.0\n" + code, "EPL-2.0"), ("GNU Affero General Public License, version 3\n" + code, "AGPL-3.0"), (gpl, "GPL-3.0"), ("Copyright 2020 Some Body. All rights reserved.\n" + code, None), ("The driver must hold a valid license for version 2.\n" + code, None),
+        *((text(n), n) for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense")),
+    ]
+    files = spark.createDataFrame([(i, f"d{i}/f.txt", t) for i, (t, _) in enumerate(want)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["basis"]) for r in o6.scan_licenses(spark, files).collect()}
+    assert [got[i][0] for i in range(len(want))] == [w for _, w in want]
+    assert all(got[i][1] == "file" for i in range(15, len(want)))
+
+
 def test_license_query(spark, sf_dir, documents):
     phrase = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Released under the MIT License.": "MIT"}
     got = {r["doc_id"]: r for r in o6.op6_license_scan(spark, sf_dir).collect()}
