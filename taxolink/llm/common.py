@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: The most rows a side may have to be broadcast by hand; a side over it is joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: A key that more than one in so many rows have is hot, so there are never more hot keys than this.
+HOT_KEYS = 10_000
 #: Rows and bytes of one Arrow batch; long texts make larger batches costly.
 BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
@@ -21,14 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set to a new local one only where unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a new local one where it is unset and Spark runs in this process alone."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="taxolink-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores until no column of the tables has it."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def staged(spark: SparkSession, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage is cut, and a lost executor costs nothing."""
     path = f"{shared_dir(spark)}/taxolink-{uuid.uuid4().hex}/{name}"
@@ -50,13 +62,28 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
+def join_hot(spark: SparkSession, left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``left`` joined (inner or left) with ``right``, which has at most one row per key, so that no key's rows meet in one task.
+
+    Keys of more than one in ``HOT_KEYS`` rows are joined by broadcast, of at most ``HOT_KEYS`` rows of ``right``; rows with a null key go with
+    them; all others are joined by shuffle.  ``counts(*on, n)`` has the number of rows of each key, or at least of each hot one; both sides are read
+    more than once and should be tables.
+    """
+    if counts is None:
+        counts = left.groupBy(*on).agg(F.count("*").alias("n"))
+    limit = left.count() // HOT_KEYS
+    hot = F.broadcast(staged(spark, counts.where((F.col("n") > max(limit, 1)) & F.expr(" and ".join(f"{c} is not null" for c in on))).select(*on), "hot"))
+    few = F.broadcast(right.join(hot, on, "left_semi"))
+    rest = left.join(hot, on, "left_anti")
+    if how == "inner":
+        return left.join(few, on).unionByName(rest.join(right, on))
+    null = F.expr(" or ".join(f"{c} is null" for c in on))
+    apart = left.join(hot, on, "left_semi").unionByName(left.where(null))
+    return apart.join(few, on, "left").unionByName(rest.where(~null).join(right, on, "left"))
 
 
-def uniform(*cols: Column, seed: int) -> Column:
-    """A number in [0, 1) from the hash of ``cols``; the same on every run."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") / F.lit(float(1 << 53))
+def n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
 def ascii_lower(text: Column) -> Column:

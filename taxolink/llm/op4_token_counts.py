@@ -4,13 +4,14 @@ A text's key is the SHA-256 of its normalised content (null becomes empty; nothi
 change the count) with the digest of the tokenizer file.  Keys are joined to the stored counts; only distinct texts
 without a count are encoded, once each, and appended to the cache, which is a Parquet table partitioned by tokenizer digest.
 
-How it runs at scale: copies are reduced to one text by a grouped ``any_value`` with partial aggregation,
-so a group of copies sends at most one text per map task; the texts then move once, by digest.  Counts return by a join of
-narrow rows on the digest, which adaptive execution splits where one digest is hot.
+How it runs at scale: what is looked up in the cache are digests, each once.  Texts of missing digests are reduced to one by a grouped
+``any_value`` with partial aggregation, so a group of copies sends at most one text per map task, and move once, by digest; where
+few digests are missing, only their texts move.  Counts return by a join of narrow rows on the digest, hot ones apart (``join_hot``).
 
 The library encodes each distinct piece of text once per worker (see ``tokens``).
 
-Null and empty texts count 0 tokens; rows that repeat an id stay rows of their own.
+Null and empty texts count 0 tokens, very long ones count whole; rows that repeat an id, and rows with a null id, stay rows of their own.  An empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolink.llm.common import shared_dir, small_batches, table
+from taxolink.llm.common import BROADCAST_ROWS, join_hot, shared_dir, small_batches, staged, table
 from taxolink.llm.op3_token_files import tokenizer_path
 from taxolink.llm.tokens import ByteCounts, opened
 
@@ -46,14 +47,27 @@ def read_cache(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame | N
     return spark.read.schema(CACHE).parquet(path) if exists else None
 
 
-def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_bytes, n_tokens`` of every row of ``docs``; new counts are appended to ``cache`` first."""
+def keyed(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, digests)``, written: ``id, n_bytes, digest`` of every row, and ``digest, n`` with the number of its rows."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = staged(spark, docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest")), "rows")
+    return rows, staged(spark, rows.groupBy("digest").agg(F.count("*").alias("n")), "digests")
+
+
+def add_missing(spark: SparkSession, docs: DataFrame, digests: DataFrame, tokenizer: str, cache: str, text_col: str = "text") -> None:
+    """Encode the distinct texts of ``docs`` whose digest is in ``digests`` but not in the cache, and append their counts."""
     small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.sha2(text, 256)
-    texts = docs.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.any_value("text").alias("text"))
-    known = read_cache(spark, cache, tokenizer)
-    misses = texts if known is None else texts.join(known.select("digest"), "digest", "left_anti")
+    texts, known = docs.select(F.sha2(text, 256).alias("digest"), text.alias("text")), read_cache(spark, cache, tokenizer)
+    distinct = lambda df: df.groupBy("digest").agg(F.any_value("text").alias("text"))
+    if known is None:
+        misses = distinct(texts)
+    else:
+        missing = staged(spark, digests.select("digest").join(known.select("digest"), "digest", "left_anti"), "missing")
+        n = missing.limit(BROADCAST_ROWS + 1).count()
+        if not n:
+            return
+        misses = distinct(texts.join(F.broadcast(missing), "digest", "left_semi")) if n <= BROADCAST_ROWS else distinct(texts).join(missing, "digest", "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = opened(ByteCounts, tokenizer)
@@ -61,14 +75,20 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: st
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(list(count(batch.column("text").to_pylist())), pa.int64())], ["digest", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(f"{cache.rstrip('/')}/tokenizer={tokenizer_digest(tokenizer)}")
+
+
+def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_bytes, n_tokens`` of every row of ``docs``; new counts are appended to ``cache`` first."""
+    rows, digests = keyed(spark, docs, id_col, text_col)
+    add_missing(spark, docs, digests, tokenizer, cache, text_col)
     # Two runs at once may both store a text; its counts are equal, and one is taken.
-    counts = read_cache(spark, cache, tokenizer).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    slim = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest"))
-    return slim.join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
+    found = staged(spark, digests.select("digest").join(read_cache(spark, cache, tokenizer), "digest").groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "found")
+    return join_hot(spark, rows, found, ["digest"], counts=digests).select(id_col, "n_bytes", "n_tokens")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts with an empty cache of its own, so that every run counts all distinct texts."""
+    """Starts with an empty cache of its own and counts twice: the first pass encodes all distinct texts, the second finds them all in the cache."""
     cache = f"{shared_dir(spark)}/taxolink-{uuid.uuid4().hex}/token_counts"
-    got = count_tokens(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), cache)
-    return got.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    docs, tokenizer = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json")
+    add_missing(spark, docs, keyed(spark, docs, "doc_id", "text")[1], tokenizer, cache)
+    return count_tokens(spark, docs, tokenizer, cache).withColumn("over_limit", F.col("n_tokens") > LIMIT)

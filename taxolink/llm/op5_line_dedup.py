@@ -4,16 +4,16 @@ Lines are exploded, normalised and hashed; the distinct documents of each hash a
 the threshold is dropped everywhere except in the largest document id that holds it; documents are
 reassembled by position.  Only DataFrame functions are used.
 
-How it runs at scale: what is shuffled for counting is a 16-byte hash and the id, once per document
-and key.  Counting is two partially aggregated groupings, so a line that every document holds never
-meets in one task.  The table of shared keys goes back to the documents that hold them by a join on the
-hash (adaptive execution splits a hot one), and comes to the texts as one array of hashes per document.
-Texts move once, by id, and whether a line goes is decided inside its row, so order needs no sort.
+How it runs at scale: long lines are written once as narrow rows of document, position and a 16-byte hash.  Documents of a hash are counted by two
+partially aggregated groupings, so a line that every document holds never meets in one task; hot hashes are joined apart (``join_hot``).  What goes
+back to a document are the positions of its dropped lines, in order; its text moves once, to meet them, and the lines between dropped positions are
+put together again, in time linear in the text.
 
 Two independent 64-bit hashes identify a key: at 10^12 distinct lines one would collide.
 
-A null or empty text is one empty line.  Rows that share an id count as one document.  Rows with a null id
-keep all lines and are not counted, as no id says which of them is largest.
+A null or empty text is one empty line.  Rows that share an id count as one document, and each keeps its own lines (a row is known by its id and
+its text's hash).  Rows with a null id keep all lines and are not counted, as no id says which of them is largest.  An empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolink.llm.common import ascii_lower, staged, table
+from taxolink.llm.common import HOT_KEYS, ascii_lower, join_hot, staged, table
 
 #: Shorter keys are never dropped (code points).
 MIN_CHARS = 40
@@ -60,46 +60,50 @@ def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("taxolink"), key).alias("b"))
 
 
-def hashed_lines(text: Column, min_chars: int) -> Column:
-    """Every line with the hash of its key, null if the key is too short; each step is evaluated once per line."""
-    keyed = F.transform(lines_of(text), lambda x: F.struct(x.alias("line"), F.when(F.length(x) >= min_chars, line_key(x)).alias("key")))
-    return F.transform(keyed, lambda s: F.struct(s["line"].alias("line"), F.when(F.length(s["key"]) >= min_chars, key_hash(s["key"])).alias("hash")))
+def line_hashes(text: Column, min_chars: int) -> Column:
+    """The hash of every line's key, null if the key is too short; each step is evaluated once per line."""
+    keys = F.transform(lines_of(text), lambda x: F.when(F.length(x) >= min_chars, line_key(x)))
+    return F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, key_hash(k)))
 
 
-def shared_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """``(holders, shared)`` of ``docs(doc_id, text)``: each document's distinct long keys, and the shared keys with their keeper."""
-    holders = (
-        docs.where("doc_id is not null")
-        .select("doc_id", F.explode(F.array_distinct(F.transform(hashed_lines(F.col("text"), min_chars), lambda s: s["hash"]))).alias("k"))
-        .where("k is not null")
-        .select("doc_id", "k.a", "k.b")
-    )
-    holders = staged(spark, holders, "holders")  # read twice: to count, and to find who holds a shared key
-    shared = (
-        holders.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
-    )
-    return holders, shared
+def long_lines(spark: SparkSession, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``doc_id, h, pos, a, b``, written: the place and the hash of each long line of ``docs(doc_id, text)``; ``h`` is the text's hash."""
+    each = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(line_hashes(F.col("text"), min_chars)).alias("pos", "k"))
+    return staged(spark, each.where("k is not null").select("doc_id", "h", "pos", "k.a", "k.b"), "lines")
+
+
+def shared_keys(spark: SparkSession, lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``a, b, n, n_docs, keeper``, written, of the keys that are in ``min_docs`` documents, and of all hot ones: lines, documents, largest document."""
+    hot = lines.count() // HOT_KEYS
+    per_doc = lines.groupBy("a", "b", "doc_id").agg(F.count("*").alias("c"))
+    return staged(spark, per_doc.groupBy("a", "b").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where((F.col("n_docs") >= min_docs) | (F.col("n") > hot)), "shared")
+
+
+def without(text: Column, drop: Column) -> Column:
+    """``text`` less the lines at the 0-based positions ``drop`` (in order): the stretches between them, joined."""
+
+    def stretches(lines: Column) -> Column:
+        spans = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform(drop, lambda i: i + 1)).alias("a"), F.concat(drop, F.array(F.size(lines))).alias("b"))
+        return F.flatten(F.transform(spans, lambda s: F.slice(lines, s["a"] + 1, s["b"] - s["a"])))
+
+    return F.array_join(F.transform(F.array(lines_of(text)), stretches)[0], "\n")  # the outer transform splits the text once
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``doc_id, kept_text, n_lines, n_dropped`` of every row of ``docs``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    holders, shared = shared_lines(spark, docs, min_chars, min_docs)
-    drops = (
-        holders.join(shared, ["a", "b"]).where("doc_id <> keeper")
-        .groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
-    )
-    gone = lambda s: F.coalesce(F.array_contains(F.col("drop"), s["hash"]), F.lit(False))
-    kept = F.transform(F.filter(hashed_lines(F.col("text"), min_chars), lambda s: ~gone(s)), lambda s: s["line"])
-    joined = docs.join(drops, "doc_id", "left").withColumn("kept", F.when(F.col("drop").isNotNull(), kept))
-    n_lines = F.size(lines_of(F.col("text")))
+    lines = long_lines(spark, docs, min_chars)
+    keys = shared_keys(spark, lines, min_docs)
+    shared = keys.where(F.col("n_docs") >= min_docs).select("a", "b", "keeper")
+    gone = join_hot(spark, lines, shared, ["a", "b"], counts=keys).where("doc_id <> keeper")
+    drops = staged(spark, gone.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("pos")).alias("drop")), "drops")
+    joined = docs.withColumn("h", F.xxhash64("text")).join(drops, ["doc_id", "h"], "left")
+    text = F.coalesce("text", F.lit(""))
     return joined.select(
         "doc_id",
-        F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("kept", "\n")).alias("kept_text"),
-        n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("drop").isNull(), 0).otherwise(n_lines - F.size("kept")).cast("long").alias("n_dropped"),
+        F.when(F.col("drop").isNull(), text).otherwise(without(text, F.col("drop"))).alias("kept_text"),
+        F.size(lines_of(text)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -397,9 +397,9 @@ def test_quality_odd(spark, odd):
     kept = o9.keep_good(spark, odd, none)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
     some = spark.createDataFrame([(1, 1), (1, 1), (2, None), (5, 0), (6, 1), (8, 0), (None, 1), (3, 7)], "doc_id long, quality int")
-    got = o9.score(odd, o9.fit(odd.select("doc_id", "text"), some)).collect()
-    assert len(got) == len(ODD) and all(0 <= r["_tl_score"] <= 1 for r in got)
-    assert o9.score(odd.where("false"), None).count() == 0
+    got = o9.score(odd, o9.fit(odd.select("doc_id", "text"), some), out="quality_score").collect()
+    assert len(got) == len(ODD) and all(0 <= r["quality_score"] <= 1 for r in got)
+    assert o9.score(odd.where("false"), None, out="quality_score").count() == 0
 
 
 def brute_base(text):

@@ -27,7 +27,7 @@ def test_columns(stages):
 
 def test_quality_rejects(spark, sf_dir, stages):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    want = {r["doc_id"] for r in o9.score(stages[0], o9.fit(stages[0].select("doc_id", "text"), labels)).where(f"_tl_score >= {o9.CUT}").collect()}
+    want = {r["doc_id"] for r in o9.score(stages[0], o9.fit(stages[0].select("doc_id", "text"), labels)).where(f"score >= {o9.CUT}").collect()}
     assert set(ids(stages[1])) == want
     assert 0 < len(want) < stages[0].count()
 
