@@ -9,34 +9,38 @@ distance of the whole item to a passage is computed by Myers' bit-parallel algor
 Items of fewer than ``MIN_WORDS`` words and ``MIN_CHARS`` characters have no room for edits: they are found exactly, from word border to
 word border.  Between characters of scripts that are written without spaces every place is a border.
 
-How it runs at scale: documents are never shuffled; each is read once per block of items, whole.  A block is closed once it holds
-``BLOCK_CHARS`` characters of items, so what is broadcast has a fixed bound however large the test set is.  Hits
-of one item at nearly the same place are verified once, in a window of at most m + 4 k characters around each hit.
-
-A document is reported once for each item that it holds, with the least distance.  Null and empty texts hold nothing.
-Only items without a letter or digit match nothing: an item of one common word is in every document that has the word.  Items
+How it runs at scale: the distinct normal forms of the items are a table, cut by hash into blocks of about ``BLOCK_CHARS`` characters.  One block at a
+time comes to the driver and is broadcast, so both have a fixed bound however large the test set is; documents are never shuffled, each is read
+once per block, whole, and what a block gives is written before its broadcast goes and the next one comes.  Items with one normal form are looked for
+once; their ids are joined to what was found.  Hits of one item at nearly the same place are verified once, in a window of at most m + 4 k
+characters around each hit.
+
+A document is reported once for each item that it holds, with the least distance.  Null and empty texts hold nothing; empty tables of either kind
+find nothing.  Only items without a letter or digit match nothing: an item of one common word is in every document that has the word.  Items
 with the same normal form are all reported.  Rows that repeat an id are reported per row, and null ids are
-reported as null.
+reported as null.  Columns of any name pass through ``decontaminate``.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolink.llm.common import small_batches, table
+from taxolink.llm.common import broadcast_if_small, small_batches, staged, table
 
 ERROR_RATE = 0.06
 #: Pieces are at least so long; an item's error budget shrinks until they are.
 MIN_PIECE = 12
 #: Items with fewer words and fewer characters than these are matched exactly, at word borders.
 MIN_WORDS, MIN_CHARS = 8, 40
-#: Characters of normalised items in one block.
+#: Characters of normalised items in one block, about.
 BLOCK_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -100,7 +104,7 @@ class Pattern:
 
 
 class Matcher:
-    """All occurrences of a block of items ``[(item_id, normal form)]`` in texts."""
+    """All occurrences of a block of items ``[(number, normal form)]`` in texts."""
 
     def __init__(self, items: Iterable[tuple[int, str]], rate: float = ERROR_RATE, min_piece: int = MIN_PIECE):
         import ahocorasick
@@ -122,7 +126,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def __call__(self, text: str | None) -> dict[int, int]:
-        """``{item_id: least distance}`` of the items in ``text``."""
+        """``{number: least distance}`` of the items in ``text``."""
         text, spots = normal(text), defaultdict(set)
         if not text or not self.items:
             return {}
@@ -151,59 +155,67 @@ class Matcher:
         return found
 
 
-def blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """Normalised ``items(item_id, text)`` in blocks of bounded size, streamed to the driver one partition at a time."""
-    block, held = [], 0
-    for item_id, text in items.select("item_id", "text").toLocalIterator():
-        item = normal(text)
-        if item:
-            if held >= block_chars:
-                yield block
-                block, held = [], 0
-            block.append((item_id, item))
-            held += len(item)
-    yield block
+def normal_forms(spark: SparkSession, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(forms, members)``, written: ``number, form`` of the distinct normal forms of ``items(item_id, text)``, and ``item_id, number``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([normal(t) for t in batch.column("text").to_pylist()], pa.string())], ["item_id", "form"])
+
+    each = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "item_id long, form string").where("form <> ''")
+    each = staged(spark, each, "items")
+    forms = staged(spark, each.select("form").distinct().withColumn("number", F.monotonically_increasing_id()), "forms")
+    return forms, staged(spark, each.join(forms, "form").select("item_id", "number"), "members")
+
 
+def per_block(spark: SparkSession, forms: DataFrame, block_chars: int, run: Callable[[Broadcast, bool], None]) -> None:
+    """Call ``run(block, last)`` with each block of ``forms`` in turn; all but the last block's broadcasts are destroyed after it."""
+    n = max(1, -(-(forms.agg(F.sum(F.length("form"))).first()[0] or 0) // block_chars))
+    blocks = staged(spark, forms.withColumn("block", F.pmod(F.xxhash64("form"), F.lit(n)).cast("int")), "blocks", "block")
+    for i in range(n):
+        shared = spark.sparkContext.broadcast([(r["number"], r["form"]) for r in blocks.where(F.col("block") == i).select("number", "form").collect()])
+        run(shared, i == n - 1)
+        if i < n - 1:
+            shared.destroy()
 
-def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+
+def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, distance``: which documents hold which items of ``items(item_id, text)``."""
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    forms, members = normal_forms(spark, items)
+    found: list[DataFrame] = []
 
-    def search(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
+    def search(block: Broadcast, last: bool) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            match = Matcher(shared.value, rate)
+            match = Matcher(block.value, rate)
             for batch in batches:
-                rows = [(doc_id, item_id, d) for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True) for item_id, d in match(text).items()]
+                rows = [(doc_id, number, d) for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True) for number, d in match(text).items()]
                 columns = zip(*rows, strict=True) if rows else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "number", "distance"])
 
-        return docs.mapInArrow(run, "doc_id long, item_id long, distance int")
+        hits = docs.mapInArrow(run, "doc_id long, number long, distance int")
+        found.append(hits if last else staged(spark, hits, "hits"))
 
-    found = None
-    for block in blocks(items):
-        found = search(block) if found is None else found.unionByName(search(block))
-    return found
+    per_block(spark, forms, block_chars, search)
+    return reduce(DataFrame.unionByName, found).join(broadcast_if_small(members), "number").select("doc_id", "item_id", "distance")
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, text_col: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, columns unchanged; decided row by row, so no join is needed."""
     small_batches(spark)
 
-    def without(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
+    def without(block: Broadcast, last: bool) -> None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            match = Matcher(shared.value, rate)
+            match = Matcher(block.value, rate)
             for batch in batches:
                 yield batch.filter(pa.array([not match(t) for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        nonlocal docs
+        kept = docs.mapInArrow(run, docs.schema)
+        docs = kept if last else staged(spark, kept, "kept")
 
-    for block in blocks(items):
-        docs = without(docs, block)
+    per_block(spark, normal_forms(spark, items)[0], block_chars, without)
     return docs
 
 

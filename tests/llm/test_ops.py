@@ -9,6 +9,7 @@ from collections import defaultdict
 import compare
 import numpy as np
 import pytest
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import functions as F
 
 from taxolink.llm import op1_mixing as o1
@@ -337,7 +338,37 @@ def test_decontamination_odd(spark, odd, sf_dir):
     assert kept.columns == docs.columns and kept.count() == len(ODD)
     assert o7.decontaminate(spark, docs, items.where("false")).count() == len(ODD) + 1
     assert o7.contaminated(spark, docs.where("false"), items).count() == 0
-    assert len(list(o7.blocks(items, block_chars=10))) == 2
+    assert o7.contaminated(spark, docs, items.where("false")).count() == 0
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Many small blocks give what one gives, and no more than one broadcast is alive while the next one is made."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(60)]
+    made = [(i, " ".join(rnd.choice(words) for _ in range(12))) for i in range(12)]
+    items = spark.createDataFrame(made + [(100, made[3][1].upper()), (101, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(9)) + " " + made[i % 12][1] + " " + made[i % 5][1]) for i in range(30)] + [(99, "clean")], "doc_id long, text string")
+    alive, most = set(), []
+
+    def broadcast(self, value, make=SparkContext.broadcast):
+        b = make(self, value)
+        alive.add(id(b))
+        most.append(len(alive))
+        return b
+
+    def destroy(self, *args, drop=Broadcast.destroy):
+        alive.discard(id(self))
+        drop(self, *args)
+
+    one = sorted(map(tuple, o7.contaminated(spark, docs, items).collect()))
+    kept = sorted(r["doc_id"] for r in o7.decontaminate(spark, docs, items).collect())
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    assert sorted(map(tuple, o7.contaminated(spark, docs, items, block_chars=120).collect())) == one and (3, 100, 0) in one
+    assert len(most) > 3 and max(most) == 1
+    alive.clear()
+    assert sorted(r["doc_id"] for r in o7.decontaminate(spark, docs, items, block_chars=120).collect()) == kept == [99]
+    assert max(most) == 1
 
 
 def test_decontamination_short_items(spark):
@@ -360,19 +391,22 @@ def test_decontamination_query(spark, sf_dir, documents):
 # --- 8 -------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shard_rows, block_rows", [(7, 3), (50, 1000)])
-def test_top_k_is_brute_force(spark, shard_rows, block_rows):
+@pytest.mark.parametrize("shard_rows, wave_bytes", [(7, 200), (50, 1 << 20)])
+def test_top_k_is_brute_force(spark, monkeypatch, shard_rows, wave_bytes):
+    """Ties, repeated ids and rows, unusable and empty vectors, several lengths, columns with names that the operator uses inside; many waves or one."""
+    monkeypatch.setattr(o8, "LEAST_SHARD_ROWS", shard_rows)
     rnd = random.Random(7)
     rows = [(i, [rnd.choice([-1.0, -0.5, 0.0, 0.25, 0.5]) for _ in range(6)]) for i in range(120)] + [(200 + i, [0.5] * 6) for i in range(30)]
     rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [0.5] * 6), (350, [0.1, 0.2]), (7, rows[7][1]), (400, [0.5] * 6), (450, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    usable = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    rows += [(50, rows[3][1]), (50, rows[3][1]), (500, [0.3, 0.4])] + [(600 + i, [rnd.uniform(-1, 1) for _ in range(700)]) for i in range(0, 60, 25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("mark", F.lit("x")).withColumn("shard", F.lit(1)).withColumn("dim", F.lit(2))
+    usable = [(n, i, [int(np.floor(256 * float(np.float32(x)))) for x in e]) for n, (i, e) in enumerate(rows) if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     want = []
-    for q, v in usable:
+    for n, q, v in usable:
         if q % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in usable if c != q and len(w) == len(v))[:5]
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for m, c, w in usable if m != n and len(w) == len(v))[:5]
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scores)]
-    got = [tuple(r) for r in o8.top_k(spark, df, F.col("vec_id") % 50 == 0, shard_rows=shard_rows, block_rows=block_rows).select("query_id", "rank", "vec_id", "score").collect()]
+    got = [tuple(r) for r in o8.top_k(spark, df, F.col("vec_id") % 50 == 0, shard_rows=shard_rows, wave_bytes=wave_bytes).select("query_id", "rank", "vec_id", "score").collect()]
     assert sorted(got) == sorted(want)
 
 
