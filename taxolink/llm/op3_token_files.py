@@ -4,7 +4,7 @@ Documents are range-partitioned by id, encoded, ended with ``END_ID`` and packed
 ids.  A block's ids are transposed into byte planes (all low bytes, then all second bytes, ...) or
 bit planes, each plane is compressed with zstandard, and planes that are all zero are stored empty.  A file is a Parquet table
 whose rows are blocks; the columns beside the planes are the chunk index (first id of the block, number of
-ids, and for every document piece its place), so a reader fetches only the blocks that it needs.
+ids, and for every document piece its place), so a reader of a range of ids finds the blocks that hold it and decodes no others (``read_range``).
 
 How it runs at scale: one range shuffle of the texts, then everything up to the written file is local to a
 shard; a shard holds one block in memory.  Reading back is local to a block, except for documents that
@@ -13,7 +13,8 @@ global start of a document is its start in the shard plus the shard's own start,
 
 The library encodes each distinct piece of text once per worker (see ``tokens``).
 
-Null and empty texts have only the end id.  Null ids sort first; rows that repeat an id stay rows of their own, ordered by text.
+Null and empty texts have only the end id; a very long text runs over as many blocks as it needs.  Null ids sort first; rows that repeat an id stay rows
+of their own, ordered by text.  An empty table makes an empty file; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taxolink.llm.common import small_batches, staged, table
+from taxolink.llm.common import broadcast_if_small, small_batches, staged, table
 from taxolink.llm.tokens import WordIds, opened
 
 #: Appended to every document.
@@ -112,6 +113,34 @@ def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_i
     return ranged.mapInArrow(pack, BLOCKS)
 
 
+def shard_starts(blocks: DataFrame) -> DataFrame:
+    """``shard, shard_start``: the ids before each shard.  The window runs over one row per shard."""
+    shards = blocks.groupBy("shard").agg(F.sum(F.col("n_ids").cast("long")).alias("_n"))
+    return shards.select(F.col("shard"), F.coalesce(F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_start"))
+
+
+def read_range(blocks: DataFrame, first: int, count: int) -> DataFrame:
+    """``start, ids``: the ids from place ``first`` on, ``count`` of them at most, in pieces of one block each (little-endian unsigned 32-bit).
+
+    The index alone is read to find the blocks, whose numbers then go to the scan as filters on its columns.
+    """
+    begin = F.col("shard_start") + F.col("first_id")
+    index = blocks.select("shard", "block", "first_id", "n_ids").join(broadcast_if_small(shard_starts(blocks)), "shard").select("shard", "block", begin.alias("begin"), "n_ids")
+    needed = index.where((F.col("begin") < first + count) & (F.col("begin") + F.col("n_ids") > first)).collect()  # as many as the range has blocks
+    places = {(r["shard"], r["block"]): r["begin"] for r in needed}
+    shards, numbers = sorted({s for s, _ in places}), sorted({b for _, b in places})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, block, n, planes in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "n_ids", "planes")), strict=True):
+                if (at := places.get((shard, block))) is not None:
+                    a, b = max(0, first - at), min(n, first + count - at)
+                    yield pa.RecordBatch.from_arrays([pa.array([at + a], pa.int64()), pa.array([from_planes(planes, n)[a:b].tobytes()], pa.binary())], ["start", "ids"])
+
+    near = blocks.where(F.col("shard").isin(shards) & F.col("block").isin(numbers)) if places else blocks.where("false")
+    return near.select("shard", "block", "n_ids", "planes").mapInArrow(run, "start long, ids binary")
+
+
 def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
     """Documents of a written block table: ``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids`` (binary).
 
@@ -131,13 +160,12 @@ def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
     pieces = blocks.select("shard", "block", "n_ids", "planes", "docs").mapInArrow(
         unpack, "shard int, doc_id long, doc long, doc_start long, n_tokens long, crc long, part binary, block_at int"
     )
-    shards = blocks.groupBy("shard").agg(F.sum(F.col("n_ids").cast("long")).alias("_n"))
-    starts = shards.select(F.col("shard"), F.coalesce(F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shard_start"))
+    starts = shard_starts(blocks)
     whole = pieces.where("crc is not null").select("shard", "doc_id", "doc_start", "n_tokens", "crc", "part")
     # Only documents that cross a block's border are grouped: their pieces in order, one document per group.
     joined = F.expr("aggregate(array_sort(collect_list(struct(block_at, part))), cast('' as binary), (a, x) -> concat(a, x.part))")
     crossing = pieces.where("crc is null").groupBy("shard", "doc", "doc_id", "doc_start", "n_tokens").agg(joined.alias("part")).select("shard", "doc_id", "doc_start", "n_tokens", F.crc32("part").alias("crc"), "part")
-    got = whole.unionByName(crossing).join(F.broadcast(starts), "shard")  # one row per shard, a number that the writer chose
+    got = whole.unionByName(crossing).join(broadcast_if_small(starts), "shard")
     cols = ["doc_id", (F.col("doc_start") + F.col("shard_start")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32")]
     return got.select(*cols, *([F.col("part").alias("ids")] if with_ids else []))
 

@@ -2,22 +2,24 @@
 
 A pre-tokenizer cuts a text into pieces, and a piece's tokens do not depend on its neighbours.  So the tokens of a text
 are those of its pieces in order, and only pieces never seen before go to the library, many in one call.
-That holds where this module's own splitting is certain to be the library's: in texts of ``PLAIN`` code
-points without a special token's text.  All other texts go to the library whole.
+That holds where this module's own splitting is certain to be the library's: for tokenizer files whose normalizer and pre-tokenizer are the
+ones that a class knows, in texts without ``UNUSUAL`` code points or a special token's text.  All other texts, and all texts of other tokenizers, go to
+the library whole.
 
-The memo lives as long as the Python worker and is emptied when it is full.
+The memo lives as long as the Python worker and is emptied when it holds ``MEMO_BYTES``, whatever its entries' sizes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Entries of a memo, and of the larger one of the tokenizer that is slower and has shorter values.
-MEMO, MEMO_WORDS = 200_000, 400_000
+#: Bytes of one worker's memo, about, and what an entry costs beside its text and value.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 200
 #: Words given to the library in one text.
 JOINED = 256
 #: White space, visible ASCII, and letters and marks of Latin, Cyrillic, CJK and Hangul that have been in Unicode unchanged for
@@ -40,16 +42,23 @@ class Pieces:
     #: What a chunk is cut into, and what stands between words that are encoded together.
     piece: re.Pattern
     glue: str
-    most = MEMO
+    #: The parts of a tokenizer file that decide how it cuts texts, as the patterns here expect them.
+    cuts: dict
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks; the library's threads would only add memory
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.known = all(file.get(part) == value for part, value in self.cuts.items()) and not file["model"].get("dropout")
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,7 +68,7 @@ class Pieces:
         raise NotImplementedError
 
     def plain(self, text: str) -> bool:
-        return not UNUSUAL.search(text) and not any(s in text for s in self.special)
+        return self.known and not UNUSUAL.search(text) and not any(s in text for s in self.special)
 
     def _encode(self, pieces: list[str]) -> None:
         words = [p for p in pieces if self.is_word(p)]
@@ -79,16 +88,16 @@ class Pieces:
         fresh = {c for c in chunks if c not in self.chunks}
         if not fresh:
             return
-        if len(self.chunks) + len(fresh) > self.most:
-            self.chunks, fresh = {}, set(chunks)
-        if len(self.pieces) + len(fresh) > self.most:
-            self.pieces = {}
+        if self.held > MEMO_BYTES:
+            self.chunks, self.pieces, self.held, fresh = {}, {}, 0, set(chunks)
         cut = {c: self.piece.findall(c) for c in fresh}
         missing = list({p for ps in cut.values() for p in ps if p not in self.pieces})
         if missing:
             self._encode(missing)
         get = self.pieces.__getitem__
-        self.chunks.update((c, self.value(b"".join(map(get, ps)))) for c, ps in cut.items())
+        made = {c: b"".join(map(get, ps)) for c, ps in cut.items()}
+        self.chunks.update((c, self.value(ids)) for c, ids in made.items())
+        self.held += sum(map(len, made)) + sum(map(len, missing)) + 2 * sum(map(len, made.values())) + ENTRY_BYTES * (len(made) + len(missing))
 
     def value(self, ids: bytes):
         return ids
@@ -99,7 +108,13 @@ class WordIds(Pieces):
 
     piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     glue = " "
-    most = MEMO_WORDS
+    cuts = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    }
 
     def is_word(self, piece: str) -> bool:
         return piece.isalpha()
@@ -121,6 +136,7 @@ class ByteCounts(Pieces):
     chunk = re.compile(r" ?\S+|\s+(?!\S)|\s+")
     piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+")
     glue = ""
+    cuts = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 
     def is_word(self, piece: str) -> bool:
         return piece[0] == " " and piece[1:].isalpha()

@@ -1,6 +1,7 @@
 """The ten operators against brute-force versions, exact round trips, held-out accuracy and odd inputs."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -193,6 +194,31 @@ def test_memo_is_the_library():
     assert list(counts(texts)) == [len(counts.whole([t])[0]) // 4 for t in texts]
 
 
+def test_other_tokenizers_go_to_the_library(tmp_path):
+    """A file whose normalizer or pre-tokenizer is another one is not cut here."""
+    texts = ["Don't split ME like that, 123 times", "naïve  spaces\n", ""]
+    changed = {}
+    for name, part, value in (("byte_bpe_50k.json", "pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}), ("byte_bpe_50k.json", "normalizer", {"type": "Lowercase"}), ("word_bpe_49k.json", "normalizer", None)):
+        with open(o3.tokenizer_path(name), encoding="utf-8") as f:
+            changed = json.load(f) | {part: value}
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(changed))
+        for kind in (tokens.WordIds, tokens.ByteCounts):
+            t = kind(str(path))
+            assert not t.known
+            whole = [np.asarray(e.ids, "<u4").tobytes() for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            assert list(t(texts)) == (whole if kind is tokens.WordIds else [len(w) // 4 for w in whole])
+    assert tokens.WordIds(o3.tokenizer_path("word_bpe_49k.json")).known and not tokens.WordIds(o3.tokenizer_path("byte_bpe_50k.json")).known
+
+
+def test_memo_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 200_000)
+    t = tokens.WordIds(o3.tokenizer_path("word_bpe_49k.json"))
+    for i in range(40):
+        list(t(["漢字" * 2000 + str(i), "base64" * 1000 + "x" * i]))
+        assert t.held < 400_000
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(bits, n):
@@ -214,6 +240,12 @@ def test_token_files(spark, odd, block_ids, bits):
         ids = encode.whole([r[1] or ""])[0] + np.asarray([2], "<u4").tobytes()
         assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"], bytes(g["ids"])) == (r[0], start, len(ids) // 4, zlib.crc32(ids), ids)
         start += len(ids) // 4
+    blocks = o3.write_tokens(spark, odd, path, block_ids=max(block_ids, 64), bits=bits)
+    every = b"".join(bytes(r["ids"]) for r in o3.read_documents(blocks, with_ids=True).orderBy("start").collect())
+    assert len(every) > 4 * 30_000
+    for first, count in ((0, 5), (3, 200), (70, 1), (len(every) // 4 - 3, 99), (10**9, 5)):
+        got = o3.read_range(blocks, first, count).orderBy("start").collect()
+        assert b"".join(bytes(r["ids"]) for r in got) == every[4 * first : 4 * (first + count)]
     assert o3.read_documents(o3.write_tokens(spark, odd.where("false"), path)).count() == 0
 
 
