@@ -100,11 +100,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     def star(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = staged(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "low")
+        large = join_hot(spark, both.where("v > u"), low.drop("n"), ["u"], counts=low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = staged(spark, large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "down")
+        least = staged(spark, down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = join_hot(spark, down, least.drop("n"), ["u"], counts=least).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         return staged(spark, small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
 
     def settled(e: DataFrame) -> bool:

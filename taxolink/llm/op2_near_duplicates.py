@@ -17,19 +17,19 @@ How it runs at scale:
   leader is the member that shares most places in buckets, which is nearest to all others.  So
   a bucket of any size is handled completely, without a cap, and a large group of near copies
   costs about its size.
-  Where that leaves many members of one bucket, they are compared in blocks of bounded size, by products of 0/1
-  matrices over full sets, which return links only.
-* Inside the joins that make pairs, a pair must also pass a test on a few bits of all coordinates of both sketches, so pairs that only share a
-  passage are never made.
-* What moves: 16-byte digests and band values per document; texts move only for candidate pairs.
-  Hot buckets and classes meet in joins, which adaptive execution splits, and in partial sums.
+  Buckets with the same members are compared once.  Where many members of one bucket are left, they are compared in blocks of bounded size, by
+  products of 0/1 matrices over full sets, which return links only.
+* A pair must also pass a test on a few bits of all coordinates of both sketches, the same one for pairs of every kind; in joins
+  it stands inside the join, so pairs that only share a passage are never made.
+* What moves: 16-byte digests and band values per document; texts move once, and only candidates' are turned into sets of hashes.  A leader's set
+  moves once per ``GROUP`` of its members, not once per pair.  Hot buckets, leaders, classes and components are joined apart (``join_hot``).
 
 A pair at similarity s is proposed unless all 32 bands miss: (1 - s^5)^32, 3e-6 at 0.8 and 7e-9 at 0.85; the test
 on bits refuses it with probability 3e-6 at 0.8, and less above.
 
 Null, empty and white-space-only texts have an empty set and are linked with nothing.  Texts with fewer words than a
-shingle are one shingle.  Rows that share an id count as one node.  Rows with a null id are kept and
-linked with nothing (``component_id`` is null).
+shingle are one shingle; very long ones are read whole.  Rows that share an id are compared each by its own text.  Rows with a null id are kept and
+linked with nothing (``component_id`` is null).  An empty table gives no rows; columns of any name pass through ``keep_one``.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolink.llm.common import components, small_batches, staged, table
+from taxolink.llm.common import components, join_hot, small_batches, staged, table, unused
 
 #: Words in a shingle and similarity, unless the caller says otherwise.
 WORDS, THRESHOLD = 5, 80
@@ -50,8 +50,10 @@ BANDS, ROWS = 32, 5
 BITS, DEVIATIONS = 3, 4.5
 #: Leaders that the members of a bucket are compared with before the rest is compared.
 STAR_ROUNDS = 1
-#: Buckets of so many members are paired one by one; larger ones are compared in blocks of so many members and set items.
+#: Buckets of so many members are paired in a join; larger ones in blocks of so many members and set items.  Results do not hang on it.
 SMALL_BUCKET, BLOCK_MEMBERS, BLOCK_ITEMS = 32, 256, 200_000
+#: Members that meet their leader in one group.
+GROUP = 512
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 ORACLE_SQL = r"""
@@ -85,6 +87,21 @@ def shingles(text: str | None, words: int) -> set[bytes]:
     return {b" ".join(x) for x in zip(*(w[i:] for i in range(words)), strict=False)}
 
 
+def hashes(text: str | None, words: int) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's shingles."""
+    from xxhash import xxh3_64_intdigest
+
+    s = shingles(text, words)
+    return np.sort(np.fromiter(map(xxh3_64_intdigest, s), np.uint64, len(s)))
+
+
+def shared_items(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(b) else 0
+
+
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     """64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ np.uint64(seed)
@@ -139,13 +156,13 @@ def most_differing_bits(size: int, threshold: int) -> int:
 
 
 def sketch_table(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n, d1, d2, keys, bits`` of ``docs(doc_id, text)``: set size, digest of the set, band keys, packed bits."""
+    """``doc_id, h, n, d1, d2, keys, bits`` of ``docs(doc_id, h, text)``: set size, digest of the set, band keys, packed bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+        from xxhash import xxh3_128_digest
 
         for batch in batches:
-            sets = [np.sort(np.fromiter(map(xxh3_64_intdigest, s), np.uint64, len(s))) for s in (shingles(t, words) for t in batch.column("text").to_pylist())]
+            sets = [hashes(t, words) for t in batch.column("text").to_pylist()]
             digests = np.frombuffer(b"".join(xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
             sketch = sketches(sets, bands * rows)
             lists = [
@@ -153,48 +170,59 @@ def sketch_table(docs: DataFrame, words: int, bands: int = BANDS, rows: int = RO
                 for x in (band_keys(sketch, bands, rows).view(np.int64), packed_bits(sketch))
             ]
             n = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *lists], ["doc_id", "n", "d1", "d2", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *lists], ["doc_id", "h", "n", "d1", "d2", "keys", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, bits array<long>")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n long, d1 long, d2 long, keys array<long>, bits array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The ``pairs(u, v)`` whose full sets of shingles reach the threshold."""
+def set_table(spark: SparkSession, docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``node, items``, written: the sorted 64-bit hashes of the full set of each class of ``nodes(node)``, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, set()
         for batch in batches:
-            keep = []
-            for u, a, b in zip(batch.column("u").to_pylist(), batch.column("text_u").to_pylist(), batch.column("text_v").to_pylist(), strict=True):
-                if (u, a) != last:
-                    last, left = (u, a), shingles(a, words)
-                right = shingles(b, words)
-                both = len(left & right)
-                keep.append(both > 0 and 100 * both >= threshold * (len(left) + len(right) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([hashes(t, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["node", "items"])
 
-    sided = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    return sided.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    wanted = classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), F.col("rep_h").alias("h"))
+    texts = docs.join(wanted, ["doc_id", "h"]).groupBy("node").agg(F.any_value("text").alias("text"))  # rows that repeat id and text give one
+    return staged(spark, texts.mapInArrow(run, "node long, items binary"), "sets")
 
 
-def set_table(texts: DataFrame, words: int) -> DataFrame:
-    """``doc_id, items``: the sorted 64-bit hashes of a document's full set, as bytes."""
+def verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The ``pairs(u, v)`` whose full sets of shingles reach the threshold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+    Pairs of one ``u`` come together in groups of about ``GROUP``, with the set of ``u`` once, ahead of those of each ``v``.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = np.empty(0, np.uint64)
         for batch in batches:
-            sets = [np.sort(np.fromiter(map(xxh3_64_intdigest, s), np.uint64, len(s))).tobytes() for s in (shingles(t, words) for t in batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "items"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, items binary")
+            us, vs = [], []
+            for u, v, raw in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "items")), strict=True):
+                items = np.frombuffer(raw, np.uint64)
+                if v is None:
+                    left = items
+                    continue
+                both = shared_items(left, items)
+                if both and 100 * both >= threshold * (len(left) + len(items) - both):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    many = staged(spark, pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "many")
+    cut = join_hot(spark, pairs, many.withColumnRenamed("n", "c"), ["u"], "left", many)
+    part = F.coalesce(F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / GROUP)), F.lit(0)).cast("int")
+    parted = staged(spark, cut.select("u", part.alias("part"), "v"), "parted")
+    followers = parted.join(sets.withColumnRenamed("node", "v"), "v").select("u", "part", "v", "items")
+    heads = parted.select("u", "part").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "items")
+    met = heads.unionByName(followers).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    return met.select("u", "v", "items").mapInArrow(run, "u long, v long")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """The sizes of all intersections of two lists of sorted sets, by products of 0/1 matrices over the items that both lists have."""
     xs, ys = np.concatenate(a), np.concatenate(b)
     common = np.intersect1d(xs, ys)
-    out = np.zeros((len(a), len(b)), np.float32)  # exact up to 2^24
+    out = np.zeros((len(a), len(b)), np.int64)
     rows, cols = [], []
     for items, sets, made in ((xs, a, rows), (ys, b, cols)):
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -207,20 +235,20 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.
         for m, (owner, at) in ((left, rows), (right, cols)):
             i, j = np.searchsorted(at, [start, start + width])
             m[owner[i:j], at[i:j] - start] = 1
-        out += left @ right.T
+        out += (left @ right.T).astype(np.int64)  # one product's sums are at most ``width``, which float32 holds exactly
     return out
 
 
-def block_links(spark: SparkSession, members: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Links ``(u, v)`` between members of different components in large buckets ``(key, rep, component, c, items)``.
+def block_links(spark: SparkSession, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links ``(u, v)`` between members of different components in large buckets ``(key, node, component, bits, c, items)``.
 
     A bucket is cut into blocks of bounded size, and every pair of blocks is one row: a task holds two blocks, computes all intersections of
     their full sets at once and returns the links alone.  Pairs are neither made as rows nor left out.
     """
-    sets = set_table(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words)
+    most = most_differing_bits(BANDS * ROWS, threshold)
     n_blocks = F.ceil(F.greatest(F.col("c") / BLOCK_MEMBERS, F.col("items") / BLOCK_ITEMS)).cast("int")
-    placed = members.select("key", "rep", "component", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("rep"), n_blocks).cast("int").alias("block"))
-    filled = placed.join(sets.withColumnRenamed("doc_id", "rep"), "rep").groupBy("key", "n_blocks", "block").agg(F.collect_list(F.struct("rep", "component", "items")).alias("a"))
+    placed = members.select("key", "node", "component", "bits", n_blocks.alias("n_blocks"), F.pmod(F.xxhash64("node"), n_blocks).cast("int").alias("block"))
+    filled = placed.join(sets, "node").groupBy("key", "n_blocks", "block").agg(F.collect_list(F.struct("node", "component", "bits", "items")).alias("a"))
     filled = staged(spark, filled, "blocks")
     left = filled.withColumn("block", F.explode(F.sequence("block", F.col("n_blocks") - 1)))
     met = left.join(filled.select("key", "block", F.col("a").alias("b")), ["key", "block"])
@@ -234,33 +262,30 @@ def block_links(spark: SparkSession, members: DataFrame, texts: DataFrame, words
                 size = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
                 ok = (both > 0) & (100 * both >= threshold * (size - both))
                 ok &= np.array([m["component"] for m in sides[0]])[:, None] != np.array([m["component"] for m in sides[1]])[None, :]
-                u, v = (np.array([m["rep"] for m in side], np.int64) for side in sides)
+                p, q = (np.array([m["bits"] for m in side], np.int64) for side in sides)
+                ok &= np.bitwise_count((p[:, None, :] ^ q[None, :, :]).view(np.uint64)).sum(axis=2) <= most
+                u, v = (np.array([m["node"] for m in side], np.int64) for side in sides)
                 x, y = np.nonzero(ok)
                 yield pa.RecordBatch.from_arrays([pa.array(u[x]), pa.array(v[y])], ["u", "v"])
 
     return met.select("a", "b").mapInArrow(run, "u long, v long")
 
 
-def _in_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return members.withColumn("component", F.col("rep"))
-    return members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def class_table(spark: SparkSession, sketched: DataFrame) -> DataFrame:
+    """The distinct sets, written: ``node, d1, d2, rep, rep_h, rows, n, keys, bits``; ``rep`` is the smallest id, ``rep_h`` that row's text hash."""
+    known = sketched.where("n > 0 and doc_id is not null")
+    grouped = known.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.count("*").alias("rows"), *(F.any_value(c).alias(c) for c in ("n", "keys", "bits")))
+    return staged(spark, grouped.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_h"), "rows", "n", "keys", "bits"), "classes")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row; documents whose sets reach ``threshold`` percent are linked."""
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = staged(spark, sketch_table(docs, words), "sketches")
-    classes = sketched.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"))
-    reps = staged(spark, classes, "classes")
-    buckets = reps.select("rep", F.explode("keys").alias("key"))
-    crowded = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = staged(spark, buckets.join(crowded, "key"), "shared")
+def linked_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, words: int, threshold: int) -> DataFrame:
+    """``node, component`` of the classes that are linked with another one."""
+    buckets = classes.select("node", F.explode("keys").alias("key"))
+    crowded = staged(spark, buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
+    shared = staged(spark, join_hot(spark, buckets, crowded.withColumnRenamed("n", "c"), ["key"], counts=crowded), "shared")
     # Who shares most places in buckets is most like all others, so it leads: one leader then links most of a large group.
-    degree = shared.groupBy("rep").agg(F.sum("c").alias("degree"))
-    members = staged(spark, shared.drop("c").join(degree, "rep").join(reps.select("rep", "n", "bits"), "rep"), "members")
-    texts = docs.where("doc_id is not null")
+    of = classes.select("node", "n", "bits").join(shared.groupBy("node").agg(F.sum("c").alias("degree")), "node")
+    members = staged(spark, shared.drop("c").join(of, "node"), "members")
     tested, links, found = None, None, None
 
     def close(a: str, b: str) -> Column:
@@ -268,53 +293,84 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         differ = " + ".join(f"bit_count(bits{a}[{i}] ^ bits{b}[{i}])" for i in range(-(-BANDS * ROWS * BITS // 64)))
         return F.expr(f"100 * least(n{a}, n{b}) >= {threshold} * greatest(n{a}, n{b}) and {differ} <= {most_differing_bits(BANDS * ROWS, threshold)}")
 
+    def in_components() -> DataFrame:
+        if found is None:
+            return members.withColumn("component", F.col("node"))
+        return staged(spark, members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "open")
+
     def test(pairs: DataFrame) -> None:
-        """Verify the untested ``pairs(u, v)`` and add the links."""
+        """Verify the untested ``pairs(u, v)``, ``u`` the one of higher degree, and add the links."""
         nonlocal tested, links
-        pairs = pairs.select("u", "v").distinct()
+        pairs = pairs.distinct()
         pairs = staged(spark, pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty() and links is not None:
             return
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = staged(spark, verified(pairs, texts, words, threshold), "links")
+        sets = set_table(spark, docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("node")), words)
+        new = staged(spark, verified(spark, pairs, sets, threshold), "links")
         links = new if links is None else links.unionByName(new)
 
     for _ in range(STAR_ROUNDS):
-        open_ = _in_components(members, found)
-        best = F.max(F.struct("degree", (-F.col("rep")).alias("first"), "n", "component", "bits"))
+        open_ = in_components()
+        best = F.max(F.struct("degree", (-F.col("node")).alias("first"), "n", "component", "bits"))
         leaders = open_.groupBy("key").agg(best.alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        leaders = leaders.select("key", (-F.col("l.first")).alias("leader"), F.col("l.n").alias("n2"), F.col("l.bits").alias("bits2"), F.col("l.component").alias("component2"))
-        test(open_.join(leaders, "key").where(F.expr("component <> component2") & close("", "2")).select(F.least("rep", "leader").alias("u"), F.greatest("rep", "leader").alias("v")))
+        leaders = staged(spark, leaders.select("key", (-F.col("l.first")).alias("u"), F.col("l.n").alias("n2"), F.col("l.bits").alias("bits2"), F.col("l.component").alias("component2")), "leaders")
+        test(join_hot(spark, open_, leaders, ["key"], counts=crowded).where(F.expr("component <> component2") & close("", "2")).select("u", F.col("node").alias("v")))
         found = components(spark, links)
-    open_ = staged(spark, _in_components(members, found), "open")
-    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("items")).where("lo < hi")
-    rest = staged(spark, open_.join(mixed.select("key", "c", "items"), "key"), "rest")
-    small = rest.where(F.col("c") <= SMALL_BUCKET).drop("c", "items", "degree")
-    other = small.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("component").alias("component2"))
-    test(small.join(other, "key").where((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & close("", "2")).select(F.col("rep").alias("u"), F.col("rep2").alias("v")))
+    open_ = in_components()
+    prints = (F.bit_xor(F.xxhash64("node")).alias("p1"), F.bit_xor(F.xxhash64(F.lit("b"), "node")).alias("p2"))
+    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("items"), *prints).where("lo < hi")
+    once = staged(spark, mixed.groupBy("p1", "p2", "c", "items").agg(F.min("key").alias("key")).select("key", "c", "items"), "mixed")  # buckets of the same members count once
+    rest = staged(spark, join_hot(spark, open_, once, ["key"], counts=once.select("key", F.col("c").alias("n"))), "rest")
+    small = rest.where(F.col("c") <= SMALL_BUCKET).select("key", "node", "degree", "n", "bits", "component")
+    other = small.toDF("key", *(f"{c}2" for c in small.columns[1:]))
+    leads = F.expr("degree > degree2 or (degree = degree2 and node < node2)")
+    test(small.join(other, "key").where(leads & (F.col("component") != F.col("component2")) & close("", "2")).select(F.col("node").alias("u"), F.col("node2").alias("v")))
     large = rest.where(F.col("c") > SMALL_BUCKET)
     if not large.isEmpty():
-        links = links.unionByName(staged(spark, block_links(spark, large, texts, words, threshold), "links"))
-    found = components(spark, links)
+        sets = set_table(spark, docs, classes, large.select("node"), words)
+        links = links.unionByName(staged(spark, block_links(spark, large, sets, threshold), "links"))
+    return components(spark, links)
+
+
+def grouped(spark: SparkSession, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """``doc_id, h, n, component, component_id`` of the rows of ``docs(doc_id, h, text)``; component is null where nothing can be linked."""
+    small_batches(spark)
+    sketched = staged(spark, sketch_table(docs, words), "sketches")
+    classes = class_table(spark, sketched)
+    found = linked_classes(spark, docs.where("doc_id is not null"), classes, words, threshold)
+    placed = staged(spark, classes.select("node", "d1", "d2", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    least = staged(spark, placed.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    labelled = staged(spark, join_hot(spark, placed, least, ["component"]).select("d1", "d2", "component", "component_id"), "labelled")
+    rows = sketched.select("doc_id", "h", "n", "d1", "d2")
+    able = F.expr("n > 0 and doc_id is not null")
+    linked = join_hot(spark, rows.where(able), labelled, ["d1", "d2"], counts=classes.select("d1", "d2", F.col("rows").alias("n"))).drop("d1", "d2")
+    alone = rows.where(~able).drop("d1", "d2").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    return linked.unionByName(alone)
+
 
-    joined = (
-        sketched.select("doc_id", "n", "d1", "d2")
-        .join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left")
-        .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    )
-    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row; documents whose sets reach ``threshold`` percent are linked."""
+    got = grouped(spark, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")), words, threshold)
+    return got.select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)`` with one row of each group of near duplicates, columns unchanged.
 
-    The row of the group's smallest id stays; of rows that share an id one stays; rows with a null id all stay.
+    The row of the group's smallest id stays (of several, that with the least text hash).  Rows without words stay, of those that share id and text
+    one; rows with a null id all stay.
     """
-    kept = near_duplicates(spark, docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("_tl_id")).distinct()
-    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    one = docs.groupBy("doc_id", alone.alias("_tl_alone")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_tl_row"))
-    return one.join(kept, F.col("doc_id") == F.col("_tl_id"), "left").where("_tl_id is not null or doc_id is null").select("_tl_row.*")
+    h, row = unused("_tl_h", docs), unused("_tl_row", docs)
+    rows = staged(spark, grouped(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text"), words, threshold).where("doc_id is not null"), "groups")
+    first = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("r.doc_id", "r.h")
+    kept = first.unionByName(rows.where("component is null").select("doc_id", "h").distinct())
+    times = rows.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    kept = staged(spark, kept.join(times, ["doc_id", "h"]).withColumnRenamed("h", h), "kept")
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    once = hashed.join(kept.where("n = 1"), ["doc_id", h], "left_semi").select(*docs.columns)
+    again = hashed.join(kept.where("n > 1"), ["doc_id", h], "left_semi").groupBy("doc_id", h).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row)).select(f"{row}.*")
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,16 @@ def test_near_duplicates_odd(spark, odd):
     assert kept.columns == odd.columns
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, [1, 2, 3, 4, 5, 7, 8, None, None]))
     assert o2.near_duplicates(spark, odd.where("false")).count() == 0
+    assert o2.keep_one(spark, odd.where("false")).count() == 0
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    """Rows that share an id go only if another row of their own group stays."""
+    rows = [(1, "a b c d e f", "x"), (1, "quite another text of seven words", "y"), (1, "a b c d e f", "z"), (2, "A B C D E F", "x"), (3, "quite another text of seven words", "x"), (4, "alone with its own words here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _tl_h string")
+    kept = o2.keep_one(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, "a b c d e f"), (1, "quite another text of seven words"), (4, "alone with its own words here")]
 
 
 # --- 3, 4 ----------------------------------------------------------------------------------------
