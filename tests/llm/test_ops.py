@@ -503,6 +503,26 @@ def test_automata_know_their_format():
     assert not any(map(a.accepts, ["thisisanordinarylongword", "0123456789012345", "ghp" + "z" * 20, "configuration_of_things"]))
 
 
+def test_formats_held_out(sf_dir):
+    """Unseen credentials of formats mixed within one kind are found (0.9 or more), what else stands in the documents is not."""
+    import duckdb
+
+    rnd = random.Random(3)
+    any_of = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    low, digits, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+    formats = [
+        lambda: "Q" + any_of(9, digits), lambda: "ghp_" + any_of(24, hexa), lambda: any_of(24, low.upper() + digits), lambda: "sk-" + any_of(20, low + low.upper() + digits),
+        lambda: "-".join(any_of(n, hexa) for n in (8, 4, 4, 4, 12)), lambda: f"xoxb-{any_of(11, digits)}-{any_of(24, low + digits)}",
+    ]
+    texts = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '{sf_dir}/documents.parquet'").fetchall()]
+    words = sorted({w for t in texts for w in o10._ORDINARY.findall(t)}, key=o10._hash)[: o10.SAMPLE]
+    grammar = o10.grammar_of({"assign": [f() for f in formats for _ in range(40)]}, words)
+    recall = [np.mean([grammar.accepts(f()) for _ in range(200)]) for f in formats]
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.9
+    others = {v for t in texts for *_, v in o10.candidate_spans(t, o10.base_spans(t))} | {"2023-11-05", "192.168.100.20", "index.html", "foo_bar_baz", "v1.2.3-rc1", "/usr/local/bin", "12345678", "ABCDEFGH", "some-hyphen-word"}
+    assert len(others) > 1000 and not [v for v in others if grammar.accepts(v)]
+
+
 def test_secret_query(spark, sf_dir, documents):
     for r in o10.op10_secret_scan(spark, sf_dir).collect():
         base = brute_base(documents[r["doc_id"]]["text"] or "")
@@ -516,7 +536,7 @@ def test_secrets_added(spark, odd):
     make = lambda: "".join(rnd.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24))
     rows = [(i, f"token = {make()}", "en", "a", 1) for i in range(100, 160)] + [(200 + i, f"some words {make()} and more", "en", "a", 1) for i in range(20)]
     got = {r["doc_id"]: r for r in o10.find_secrets(spark, docs_of(spark, rows)).collect()}
-    assert sum(len(got[200 + i]["added"]) for i in range(20)) >= 14
+    assert sum(len(got[200 + i]["added"]) for i in range(20)) >= 18
     assert all(not r["added"] and not r["base"] for r in o10.find_secrets(spark, odd).collect())
     assert o10.find_secrets(spark, odd.where("false")).count() == 0
 
@@ -529,7 +549,7 @@ def test_secrets_short_or_over_a_base_span(spark):
     rows = [(i, f"token = {short()}", "en", "a", 1) for i in range(100, 160)] + [(i, f"secret: {long()}", "en", "a", 1) for i in range(200, 260)]
     rows += [(300 + i, f"some {short()} words", "en", "a", 1) for i in range(20)] + [(400 + i, f"some {long()} words", "en", "a", 1) for i in range(20)]
     got = {r["doc_id"]: r for r in o10.find_secrets(spark, docs_of(spark, rows)).collect()}
-    assert sum([(s["start"], s["end"]) for s in got[300 + i]["added"]] == [(5, 15)] for i in range(20)) >= 14
-    assert sum([(s["start"], s["end"]) for s in got[400 + i]["added"]] == [(5, 33)] for i in range(20)) >= 14
+    assert sum([(s["start"], s["end"]) for s in got[300 + i]["added"]] == [(5, 15)] for i in range(20)) >= 18
+    assert sum([(s["start"], s["end"]) for s in got[400 + i]["added"]] == [(5, 33)] for i in range(20)) >= 18
     assert [s["kind"] for s in got[400]["base"]] == ["hex"]
     assert not any(got[i]["added"] for i in (*range(100, 160), *range(200, 260)))
