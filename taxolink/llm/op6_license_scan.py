@@ -8,22 +8,24 @@ directory that has a licence file.  Only DataFrame functions are used.
 
 How it runs at scale: document frequencies are counted over all documents, for the terms of notices and headers; words
 are counted within a partition before they are shuffled, and then meet that vocabulary.  Vectors exist for headers only.  Inheritance is resolved
-once per distinct directory, by equi-joins on its ancestors' paths, so a directory with a third of all documents is
-one row until the last, narrow join.
+once per distinct directory, by equi-joins on its ancestors' paths; the root is above all others.  A directory with a third of all documents is
+one row until the last, narrow join, where hot directories, like hot ancestors before, are joined apart (``join_hot``).
 
-Null and empty texts have no header.  A null path has no directory and inherits nothing.  Between licences with equal scores the
+Null and empty texts have no header; long ones are read whole; an empty table gives no rows; other columns are not read.  A null path has no directory
+and inherits nothing.  Between licences with equal scores the
 smaller name wins; between licence files of a directory the higher score, then the smaller name.  Rows that repeat an id and
 path are rows of their own with the same result as their twins (texts are told apart by their hash).
 """
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolink.llm.common import staged, table
+from taxolink.llm.common import broadcast_if_small, join_hot, staged, table
 
 #: Notices and titles of known licences, as (license, words that a header must have, notice).
 NOTICES = [
@@ -131,13 +133,13 @@ def cosines(spark: SparkSession, units: DataFrame, files: DataFrame, templates:
     weigh = lambda tf: tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     u, t = weigh(unit_tf), weigh(notice_tf)
     norm = lambda df, name, *by: df.groupBy(*by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    # Templates are a fixed, short list, so their vectors are broadcast.  Whole texts are compared with whole files only.
+    # Templates are a short list that the driver holds; their vectors are broadcast if counted small.  Whole texts are compared with whole files only.
     must = F.array_contains(F.split("words", r"\s+"), F.col("term"))
     tw = t.select("term", "template", "is_text", F.col("w").alias("tw"), must.cast("int").alias("must"))
     fits = (F.col("u.term") == F.col("t.term")) & (~F.col("is_text") | (F.col("unit") < 0))
-    dots = u.alias("u").join(F.broadcast(tw.alias("t")), fits).groupBy("key", "unit", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum("must").alias("has"))
+    dots = u.alias("u").join(broadcast_if_small(tw).alias("t"), fits).groupBy("key", "unit", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum("must").alias("has"))
     norms = t.groupBy(*of).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"), F.sum(must.cast("int")).alias("needs"))
-    scored = dots.join(F.broadcast(norms), "template").where("has = needs").join(norm(u, "un", "key", "unit"), ["key", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("tn") / F.col("un"), 6))
+    scored = dots.join(broadcast_if_small(norms), "template").where("has = needs").join(norm(u, "un", "key", "unit"), ["key", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("tn") / F.col("un"), 6))
     best = scored.groupBy("key", "unit", "is_text").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     return best.select("key", "unit", "is_text", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
@@ -147,9 +149,9 @@ def directory(path: Column) -> Column:
 
 
 def ancestors(folder: Column) -> Column:
-    """``[(path, depth)]`` of a directory and everything above it."""
-    parts = F.split(folder, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("above"), i.alias("depth")))
+    """``[(path, depth)]`` of a directory and everything above it, up to the root, whose path is empty."""
+    parts = F.when(folder == "", F.array().cast("array<string>")).otherwise(F.split(folder, "/"))
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("above"), i.alias("depth")))
 
 
 def scan_licenses(spark: SparkSession, files: DataFrame, templates: list[tuple[str, bool, str, str]] = TEMPLATES, header: float = HEADER, whole: float = WHOLE, whole_text: float = TEXT) -> DataFrame:
@@ -165,13 +167,12 @@ def scan_licenses(spark: SparkSession, files: DataFrame, templates: list[tuple[s
     )
     whole_file = F.col("all").isNotNull()
     best = staged(spark, best.select("key", F.when(whole_file, F.lit("file")).when(F.col("own").isNotNull(), F.lit("header")).alias("basis"), F.when(whole_file, F.col("all")).otherwise(F.col("own")).alias("b"), (whole_file | (named & F.col("own").isNotNull())).alias("speaks")).where("b is not null"), "licensed")
-    folder = directory(F.col("path"))
-    speakers = best.where("speaks and key.path is not null").groupBy(directory(F.col("key.path")).alias("above")).agg(F.min("b").alias("b"))
-    folders = files.where("path is not null").select(folder.alias("folder")).distinct()
-    above = folders.select("folder", F.inline(ancestors(F.col("folder"))))
-    inherited = above.join(speakers, "above").groupBy("folder").agg(F.max_by("b", "depth").alias("inherited"))
-    rows = files.select(key.alias("key"), folder.alias("folder"))
-    got = rows.join(best.drop("speaks"), "key", "left").join(inherited, "folder", "left")
+    speakers = staged(spark, best.where("speaks and key.path is not null").groupBy(directory(F.col("key.path")).alias("above")).agg(F.min("b").alias("b")), "speakers")
+    rows = staged(spark, files.select(key.alias("key"), F.when(F.col("path").isNotNull(), directory(F.col("path"))).alias("folder")), "rows")
+    folders = staged(spark, rows.where("folder is not null").groupBy("folder").agg(F.count("*").alias("n")), "folders")
+    above = staged(spark, folders.select("folder", F.inline(ancestors(F.col("folder")))), "above")
+    inherited = staged(spark, join_hot(spark, above, speakers, ["above"]).groupBy("folder").agg(F.max_by("b", "depth").alias("inherited")), "inherited")
+    got = join_hot(spark, rows.join(best.drop("speaks"), "key", "left"), inherited, ["folder"], "left", folders)
     chosen = F.coalesce("b", "inherited")
     return got.select(
         "key.doc_id",
@@ -187,3 +188,61 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("_")), F.lit(".txt")))
     return scan_licenses(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), "text"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _sql_form(text: str) -> str:
+    """``spdx_terms`` of a template."""
+    line = re.search(r"(?i)spdx-license-identifier:[^\n]*", text)
+    return re.sub(r"(?<=[A-Za-z0-9])[-.](?=[A-Za-z0-9])", "zz", re.sub(r"\b(OR|AND|WITH)\b", " ", line[0])) if line else text
+
+
+#: The whole query.  What the patterns above say by looking around is said by marks: chr(1) keeps what follows a tag's colon, chr(2) ends a block.
+ORACLE_SQL = rf"""
+WITH files AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') || '.txt' AS path FROM documents),
+cued AS (SELECT k, text, regexp_replace(text, '(?i)((?:identifier|icen[cs]e):)', '' || chr(1), 'g') AS kept FROM files WHERE regexp_matches(text, {_quoted(CUE)})),
+lines AS (SELECT k, unnest(string_split(regexp_replace(kept, '([.;:!?])[ 	
+]+', '' || chr(10), 'g'), chr(10))) AS part FROM cued),
+blocks AS (SELECT k, unnest(string_split(regexp_replace(kept, '
+[^\p{{L}}\p{{N}}
+]*
+', chr(2) || chr(10), 'g'), chr(2))) AS block FROM cued),
+sentences AS (SELECT k, unnest(string_split(regexp_replace(block, '([.;:!?])[ 	
+]+', '' || chr(2), 'g'), chr(2))) AS part FROM blocks WHERE contains(block, chr(10)) AND regexp_matches(block, {_quoted(CUE)})),
+parts AS (SELECT k, part FROM lines UNION ALL SELECT k, part FROM sentences WHERE contains(part, chr(10))),
+spdx AS (SELECT k, part, regexp_extract(part, '(?i)spdx-license-identifier:[^
+]*') AS line FROM parts WHERE regexp_matches(part, {_quoted(CUE)})),
+units AS MATERIALIZED (
+  SELECT k, row_number() OVER () AS unit, CASE WHEN line = '' THEN part ELSE regexp_replace(regexp_replace(regexp_replace(line, '(OR|AND|WITH)', ' ', 'g'),
+    '([A-Za-z0-9])[-.]([A-Za-z0-9])', 'zz', 'g'), '([A-Za-z0-9])[-.]([A-Za-z0-9])', 'zz', 'g') END AS text FROM spdx
+  UNION ALL SELECT k, -1, text FROM cued),
+given AS (SELECT * FROM (VALUES {{templates}}) AS v(template, license, is_text, words, text)),
+u_tf AS (SELECT k, unit, term, count(*) AS tf FROM (SELECT k, unit, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM units) GROUP BY ALL),
+t_tf AS (SELECT template, license, is_text, words, term, count(*) AS tf FROM (SELECT template, license, is_text, words, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM given) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS term FROM files) GROUP BY term),
+idf AS (SELECT term, ln(((SELECT count(*) FROM files) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT term FROM u_tf UNION SELECT term FROM t_tf) LEFT JOIN df USING (term)),
+u AS (SELECT u_tf.*, tf * idf AS w FROM u_tf JOIN idf USING (term)),
+t AS (SELECT t_tf.*, tf * idf AS w, list_contains(string_split(words, ' '), term) AS must FROM t_tf JOIN idf USING (term)),
+un AS (SELECT k, unit, sqrt(sum(w * w)) AS un FROM u GROUP BY ALL),
+tn AS (SELECT template, license, is_text, sqrt(sum(w * w)) AS tn, count(*) FILTER (must) AS needs FROM t GROUP BY ALL),
+dots AS (SELECT k, unit, template, sum(u.w * t.w) AS dot, count(*) FILTER (must) AS has FROM u JOIN t ON u.term = t.term AND (NOT is_text OR unit < 0) GROUP BY ALL),
+scored AS (SELECT k, unit, is_text, license, round(dot / tn / un, 6) AS score FROM dots JOIN tn USING (template) JOIN un USING (k, unit) WHERE has = needs),
+own AS (SELECT k, score, license, row_number() OVER (PARTITION BY k ORDER BY score DESC, license) AS n FROM scored WHERE unit >= 0 AND score >= {HEADER}),
+whole AS (SELECT k, score, license, row_number() OVER (PARTITION BY k ORDER BY score DESC, license) AS n FROM scored WHERE unit < 0 AND score >= CASE WHEN is_text THEN {TEXT} ELSE {WHOLE} END),
+best AS (
+  SELECT files.k, doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, coalesce(whole.license, own.license) AS license, CASE WHEN whole.k IS NOT NULL THEN whole.score ELSE own.score END AS score,
+    CASE WHEN whole.k IS NOT NULL THEN 'file' WHEN own.k IS NOT NULL THEN 'header' END AS basis
+  FROM files LEFT JOIN own ON own.k = files.k AND own.n = 1 LEFT JOIN whole ON whole.k = files.k AND whole.n = 1),
+speakers AS (
+  SELECT folder AS above, license, score, row_number() OVER (PARTITION BY folder ORDER BY score DESC, license) AS n FROM best WHERE basis = 'file' OR (basis = 'header' AND regexp_matches(path, {_quoted(FILE_NAME)}))),
+above AS (SELECT folder, unnest(range(len(string_split(folder, '/')) + 1)) AS depth FROM (SELECT DISTINCT folder FROM best)),
+inherited AS (
+  SELECT a.folder, s.license, s.score, row_number() OVER (PARTITION BY a.folder ORDER BY depth DESC) AS n
+  FROM above a JOIN speakers s ON s.n = 1 AND s.above = array_to_string(string_split(a.folder, '/')[1:depth], '/'))
+SELECT doc_id, path, coalesce(best.license, i.license) AS license, coalesce(basis, CASE WHEN i.folder IS NOT NULL THEN 'inherited' ELSE 'none' END) AS basis, round(CASE WHEN basis IS NOT NULL THEN best.score ELSE i.score END, 4) AS score
+FROM best LEFT JOIN inherited i ON i.folder = best.folder AND i.n = 1
+""".replace("{templates}", ", ".join(f"({i}, {_quoted(name)}, {is_text}, {_quoted(words)}, {_quoted(_text)})" for i, (name, is_text, words, _text) in enumerate((n, t, w, x if t else _sql_form(x)) for n, t, w, x in TEMPLATES)))

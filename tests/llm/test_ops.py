@@ -313,6 +313,22 @@ def test_license_scan(spark):
     assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "header"), 4: ("MIT", "inherited"), 5: (None, "none"), 6: (None, "none"), 7: ("GPL-3.0", "file"), 8: ("GPL-3.0", "inherited"), None: ("MIT", "inherited"), 9: (None, "none")}
 
 
+def test_license_odd(spark):
+    """A licence file at the root speaks for all below; nulls, ties, repeated rows, an empty table, long texts and further columns."""
+    code = "first = second + third\nfor each in every: print(each)\n"
+    rows = [
+        (1, "LICENSE", (o6.TEXTS / "MIT.txt").read_text(), "x"), (2, "src/a.py", code, "x"), (2, "src/a.py", code, "x"), (3, "a.py", None, None), (4, "src/deep/er/b.py", "", "x"), (None, None, None, None),
+        (5, "lib/COPYING", (o6.TEXTS / "Apache-2.0.txt").read_text(), "x"), (6, "lib/x/y.py", code * 20_000, "x"), (7, "two/c.py", "MIT License\nISC License\n" + code * 9, "x"), (None, "src/d.py", code, "x"),
+    ]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string, folder string").withColumn("key", F.lit("k")).withColumn("b", F.lit(1))
+    got = sorted((str(r["doc_id"]), str(r["path"]), str(r["license"]), r["basis"]) for r in o6.scan_licenses(spark, files).collect())
+    assert got == sorted([
+        ("1", "LICENSE", "MIT", "file"), ("2", "src/a.py", "MIT", "inherited"), ("2", "src/a.py", "MIT", "inherited"), ("3", "a.py", "MIT", "inherited"), ("4", "src/deep/er/b.py", "MIT", "inherited"), ("None", "None", "None", "none"),
+        ("5", "lib/COPYING", "Apache-2.0", "file"), ("6", "lib/x/y.py", "Apache-2.0", "inherited"), ("7", "two/c.py", "ISC", "header"), ("None", "src/d.py", "MIT", "inherited"),
+    ])
+    assert o6.scan_licenses(spark, files.where("false")).count() == 0
+
+
 def test_license_forms(spark):
     """SPDX lines, titles, notices over several lines and whole texts; and lines that name no known licence."""
     gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nimport os"
