@@ -65,21 +65,24 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def join_hot(spark: SparkSession, left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``left`` joined (inner or left) with ``right``, which has at most one row per key, so that no key's rows meet in one task.
 
-    Keys of more than one in ``HOT_KEYS`` rows are joined by broadcast, of at most ``HOT_KEYS`` rows of ``right``; rows with a null key go with
-    them; all others are joined by shuffle.  ``counts(*on, n)`` has the number of rows of each key, or at least of each hot one; both sides are read
-    more than once and should be tables.
+    Keys of more than one in ``HOT_KEYS`` rows are joined by broadcast, of about ``HOT_KEYS`` rows of ``right`` at most; rows with a null key go with
+    them; all others are joined by shuffle.  Keys are told by their hashes, which come to the driver.  ``counts(*on, n)`` has the number of rows of each
+    key, or at least of each hot one; both sides are read more than once and should be tables.
     """
     if counts is None:
         counts = left.groupBy(*on).agg(F.count("*").alias("n"))
-    limit = left.count() // HOT_KEYS
-    hot = F.broadcast(staged(spark, counts.where((F.col("n") > max(limit, 1)) & F.expr(" and ".join(f"{c} is not null" for c in on))).select(*on), "hot"))
-    few = F.broadcast(right.join(hot, on, "left_semi"))
-    rest = left.join(hot, on, "left_anti")
+    set_ = F.expr(" and ".join(f"`{c}` is not null" for c in on))
+    limit = max(1, left.count() // HOT_KEYS)
+    hot = [r["h"] for r in counts.where((F.col("n") > limit) & set_).select(F.xxhash64(*on).alias("h")).distinct().collect()]
+    if not hot and how == "inner":
+        return left.join(right, on)
+    apart = set_ & F.expr(f"xxhash64({', '.join(f'`{c}`' for c in on)}) in ({', '.join(map(str, hot)) or 'null'})")
+    apart = F.coalesce(apart, F.lit(False))
+    few = F.broadcast(right.where(apart))
     if how == "inner":
-        return left.join(few, on).unionByName(rest.join(right, on))
-    null = F.expr(" or ".join(f"{c} is null" for c in on))
-    apart = left.join(hot, on, "left_semi").unionByName(left.where(null))
-    return apart.join(few, on, "left").unionByName(rest.where(~null).join(right, on, "left"))
+        return left.where(apart).join(few, on).unionByName(left.where(~apart).join(right, on))
+    apart_or_null = apart | ~set_
+    return left.where(apart_or_null).join(few, on, "left").unionByName(left.where(~apart_or_null).join(right, on, "left"))
 
 
 def n_words(text: Column) -> Column:
