@@ -23,8 +23,8 @@ def multi_map(df: DataFrame, left: str, right: str, order: str) -> DataFrame:
 
 
 def link_lists(edges: DataFrame, keys: Sequence[str] = ("src_fw", "src_id", "prop"), item: str = "rendered") -> DataFrame:
-    """Per note and property the distinct link texts in order."""
-    return edges.select(*keys, item).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("links"))
+    """Per note and property the distinct link texts in order: one shuffle, of sets that are already partial."""
+    return edges.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("links"))
 
 
 def merge_lists(notes: DataFrame, new: DataFrame, key: Sequence[str], nested: bool = False, link_key: str = "link") -> DataFrame:
@@ -51,6 +51,7 @@ def folder_children(paths: DataFrame, path: str = "path") -> DataFrame:
     return got.select("folder", F.when(F.col("folder") != "", T.parent_path(F.col("folder"))).alias("parent"), "children")
 
 
-def status_counts(results: DataFrame) -> DataFrame:
-    """Rows per status of a run."""
-    return results.groupBy("status").agg(F.count("*").alias("n"))
+def status_counts(results: DataFrame, started: str | None = None, ended: str | None = None) -> DataFrame:
+    """Rows per status of a run and, where the results have the times of each row, from its first start to its last end, ``seconds``."""
+    spent = [(F.unix_micros(F.max(ended)) - F.unix_micros(F.min(started))) / 1e6] if started and ended else []
+    return results.groupBy("status").agg(F.count("*").alias("n"), *(c.alias("seconds") for c in spent))

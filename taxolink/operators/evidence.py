@@ -11,6 +11,28 @@ from pyspark.sql import functions as F
 STALE_DAYS = 30
 
 
+#: The fields of an evidence link, and what enumerated ones may hold.
+FIELDS = "link_type string, evidence string, control string, framework string, status string, confidence double, evidence_type string, method string, reviewer string, review_date date, responsible string, collected date, expires date"
+ALLOWED = {
+    "link_type": ("evidence-control",),
+    "status": ("implemented", "partial", "planned", "alternative", "not-applicable"),
+    "evidence_type": ("policy-document", "automated-scan", "test-result", "configuration", "log-export", "interview", "architecture-review", "attestation"),
+    "method": ("EXAMINE", "INTERVIEW", "TEST"),
+}
+
+
+def valid_links(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(valid, quarantined)`` of evidence links with the fields of ``FIELDS``; quarantined ones say in ``problems`` what is wrong.
+
+    Link type, evidence and control are required; confidence is within 0 and 1; nothing expires before it was collected.
+    """
+    tests = {f"no {c}": F.col(c).isNull() for c in ("link_type", "evidence", "control")}
+    tests |= {f"unknown {c}": ~F.col(c).isin(*values) for c, values in ALLOWED.items()}
+    tests |= {"confidence": ~F.col("confidence").between(0, 1), "expires before collected": F.col("expires") < F.col("collected")}
+    found = edges.withColumn("problems", F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in tests.items())), lambda x: x.isNotNull()))
+    return found.where(F.size("problems") == 0).drop("problems"), found.where(F.size("problems") > 0)
+
+
 def checked(edges: DataFrame, required: Sequence[str], allowed: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
     """``(valid, quarantined)``: required fields are set and enumerated ones (null allowed) have a known value."""
     ok = F.lit(True)

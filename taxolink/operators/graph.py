@@ -19,8 +19,6 @@ COMPOSED = {
     ("subset", "none"): "none",
     ("none", "superset"): "none",
 }
-#: Rounds after which a component search gives up; stars halve distances, so this is never near.
-MAX_ROUNDS = 50
 #: Hops after which the pairs seen so far are written as one table, so that plans of long chains stay small.
 CUT_HOPS = 10
 
@@ -53,9 +51,16 @@ def chain(first: DataFrame, *more: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go where ``spark.checkpoint.dir`` says; a local folder is made only where it is unset."""
+    """Checkpoints go where ``spark.checkpoint.dir`` says; a local folder is made only where it is unset and Spark runs in this process alone."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="taxolink-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
+
+
+def shared_root(spark: SparkSession) -> str:
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (root or "file://" + tempfile.mkdtemp(prefix="taxolink-")).rstrip("/")
 
 
 def reachable(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -86,7 +91,7 @@ def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataF
     pair = edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
     both = pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     label = nodes.select("id", F.col("id").alias("component")).distinct()
-    for _ in range(MAX_ROUNDS):
+    while True:
         around = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
         near = label.join(around, F.col("id") == F.col("a"), "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         jump = near.join(near.select(F.col("id").alias("_i"), F.col("low").alias("_l")), F.col("low") == F.col("_i"), "left")
@@ -94,7 +99,6 @@ def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataF
         label = after.select("id", "component")
         if after.where("was <> component").isEmpty():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -143,10 +147,25 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     return got.select(F.col("left_id").alias("src_id"), "dst_id", relation.alias("relation"), (F.col("confidence") * F.col("_c")).alias("confidence"), F.col("right_id").alias("via"), F.least("dated", "_d").alias("dated"))
 
 
+#: A mapping row: required fields first.
+MAPPING = "subject string, predicate string, object string, justification string, confidence double, author string, dated date, tool string, modifier string"
+
+
 def valid_mappings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(valid, quarantined)`` of mapping rows: subject, predicate, object and justification are required, confidence is within 0 and 1."""
-    ok = F.coalesce(F.col("subject").isNotNull() & F.col("predicate").isin(*RELATIONS) & F.col("object").isNotNull() & F.col("justification").isNotNull() & (F.col("confidence").isNull() | F.col("confidence").between(0, 1)), F.lit(False))
-    return rows.where(ok), rows.where(~ok)
+    """``(valid, quarantined)`` of mapping rows with the fields of ``MAPPING``; quarantined ones say in ``problems`` what is wrong.
+
+    Subject, predicate, object and justification are required, the predicate is a known relation, confidence is within 0 and 1, and the only modifier is ``Not``.
+    Fields that the table lacks count as null.
+    """
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    tests = {
+        **{f"no {c}": have(c).isNull() for c in ("subject", "predicate", "object", "justification")},
+        "unknown predicate": ~have("predicate").isin(*RELATIONS),
+        "confidence": ~have("confidence").between(0, 1),
+        "modifier": have("modifier") != "Not",
+    }
+    found = rows.withColumn("problems", F.filter(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in tests.items())), lambda x: x.isNotNull()))
+    return found.where(F.size("problems") == 0).drop("problems"), found.where(F.size("problems") > 0)
 
 
 def blast_radius(derived: DataFrame) -> DataFrame:

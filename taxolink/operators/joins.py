@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from taxolink.functions import text as T
 
@@ -50,12 +51,14 @@ def premerge(core: DataFrame, mapping: DataFrame, core_key: str, left: str, righ
 def mapping_pairs(mapping: DataFrame, left: str, right: str, id_pattern: str | None = None, normalize: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """``left_id, right_id`` of a mapping table, stripped and without nulls.
 
-    With ``id_pattern`` a right cell may hold many ids in markup, and every match is one.
+    With ``id_pattern`` a right cell may hold many ids in markup, and every match is one.  Numeric ids stay numbers, and are joined as such.
     """
     form = T.normalize_id if normalize else lambda c: c
+    text = {f.name: isinstance(f.dataType, StringType) for f in mapping.schema.fields}
+    clean = lambda c, is_text: form(T.blank_to_null(F.col(c))) if is_text or normalize else F.col(c)
     rights = F.explode(F.regexp_extract_all(F.col(right).cast("string"), F.lit(id_pattern), F.lit(0))) if id_pattern else F.col(right)
-    got = mapping.select(T.blank_to_null(F.col(left)).alias("left_id"), rights.alias("right_id"), *keep)
-    return got.select(form(F.col("left_id")).alias("left_id"), form(T.blank_to_null(F.col("right_id"))).alias("right_id"), *keep).dropna(subset=["left_id", "right_id"])
+    got = mapping.select(F.col(left).alias("left_id"), rights.alias("right_id"), *keep)
+    return got.select(clean("left_id", text[left]).alias("left_id"), clean("right_id", bool(id_pattern) or text[right]).alias("right_id"), *keep).dropna(subset=["left_id", "right_id"])
 
 
 def mapped_edges(source: DataFrame, source_id: str, pairs: DataFrame) -> DataFrame:
@@ -97,8 +100,10 @@ class LinkPass:
 def directed(edges: DataFrame, link: LinkPass) -> DataFrame:
     """Edges as they are written: ``link_name, src_fw, src_id, dst_fw, dst_id, prop, rendered``; ``both`` has each edge twice.
 
-    One scan feeds both directions: each row explodes into its one or two directions.
+    One scan feeds both directions: each row explodes into its one or two directions.  Ids of different types become text.
     """
+    if edges.schema["src_id"].dataType != edges.schema["dst_id"].dataType:
+        edges = edges.withColumns({c: F.col(c).cast("string") for c in ("src_id", "dst_id")})
     one = lambda a, i, b, j: F.struct(F.lit(a).alias("src_fw"), F.col(i).alias("src_id"), F.lit(b).alias("dst_fw"), F.col(j).alias("dst_id"))
     ways = []
     if link.write_to in ("source", "both"):
@@ -111,8 +116,8 @@ def directed(edges: DataFrame, link: LinkPass) -> DataFrame:
 
 def link_pass(source: DataFrame, source_id: str, target: DataFrame, target_id: str, pairs: DataFrame, link: LinkPass) -> DataFrame:
     """The whole pass: right ids of each source id, existing targets only, written in the directions asked for."""
-    sources = source.select(F.col(source_id).cast("string").alias("id")).distinct()
-    targets = target.select(F.col(target_id).cast("string").alias("id"))
+    sources = source.select(F.col(source_id).cast(pairs.schema["left_id"].dataType).alias("id")).distinct()
+    targets = target.select(F.col(target_id).cast(pairs.schema["right_id"].dataType).alias("id"))
     return directed(existing(mapped_edges(sources, "id", pairs), targets, "id"), link)
 
 

@@ -7,13 +7,14 @@ its own, and none compares all pairs where an index on equal values can stand fo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxolink.functions import text as T
+from taxolink.operators.graph import shared_folder
 
 #: Match modes by name.
 MODES: dict = {}
@@ -48,19 +49,24 @@ def _contains(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 @mode("regex")
-def _regex(left: DataFrame, right: DataFrame, flags: str = "", max_patterns: int = 10_000) -> DataFrame:
+def _regex(left: DataFrame, right: DataFrame, flags: str = "", block: int = 10_000) -> DataFrame:
     """The left value is a pattern that occurs in the right.  A pattern cannot be hashed, so every pattern meets every value.
 
-    Patterns are distinct, checked to be few and go to all tasks; more than ``max_patterns`` are an error.
-    Values are distinct too, so equal texts are tested once.
+    Distinct patterns go to all tasks in blocks of about ``block``; with more than one block, each one's hits are written (to the
+    checkpoint folder) before the next one comes.  Values are distinct too, so equal texts are tested once.
     """
-    patterns = left.select("left").distinct()
-    if patterns.limit(max_patterns + 1).count() > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns")
-    patterns = patterns.withColumn("p", F.concat(F.lit(f"(?{flags})" if flags else ""), F.col("left")))
+    patterns = left.select("left").distinct().withColumn("p", F.concat(F.lit(f"(?{flags})" if flags else ""), F.col("left")))
     values = right.select("right").distinct()
-    hits = values.join(F.broadcast(patterns), F.expr("right rlike p")).select("left", "right")
-    return left.join(hits, "left").join(right, "right").select("left_id", "right_id")
+    n = max(1, -(-patterns.count() // block))
+    numbered = patterns.withColumn("_b", F.pmod(F.xxhash64("left"), F.lit(n)))
+    hits = []
+    for i in range(n):
+        some = values.join(F.broadcast(numbered.where(F.col("_b") == i)), F.expr("right rlike p")).select("left", "right")
+        if n > 1:
+            shared_folder(left.sparkSession)
+            some = some.checkpoint()
+        hits.append(some)
+    return left.join(reduce(DataFrame.unionByName, hits), "left").join(right, "right").select("left_id", "right_id")
 
 
 def _tokens(df: DataFrame, name: str) -> DataFrame:
@@ -97,17 +103,33 @@ def _jaccard(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataF
 def _seqratio(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``difflib`` ratio >= threshold of lower-cased distinct values.
 
-    ratio = 2 M / (la + lb) with M at most the shared characters, so lengths must be within t / (2 - t) of each other: lengths are joined in
-    bands of that width.  Surviving pairs are filtered by their shared characters and then by ``difflib`` in Arrow batches.
+    ratio = 2 M / (la + lb), and M is at most the number of characters, as a multiset, that both have.  So a pair shares at least t / (2 - t) of the
+    characters of either side, and the same exact prefix filter as for token sets holds: with (character, occurrence) pairs ordered from rare to
+    frequent, both share one among their first la - ceil(la t / (2 - t)) + 1.  A pair is made where its first shared one is, inside the join, with lengths within
+    the bound; ``difflib`` decides in Arrow batches after a count of shared characters.  Two empty texts are equal.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    least = threshold / (2 - threshold)
-    width = max(-log(least), 1e-6)
-    low = lambda df, c: df.select(c).distinct().withColumn("l" + c, F.lower(c)).withColumn("n" + c, F.length(c)).withColumn("band", F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / width))
-    a = low(left, "left")
-    b = low(right, "right").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    near = a.join(b, "band").where(2 * F.least("nleft", "nright") >= threshold * (F.col("nleft") + F.col("nright"))).select("left", "right", "lleft", "lright")
+    part = threshold / (2 - threshold)
+
+    def characters(df: DataFrame, c: str) -> DataFrame:
+        low = F.col("low")
+        times = lambda x: F.length(low) - F.length(F.replace(low, x, F.lit("")))
+        each = F.flatten(F.transform(F.array_distinct(F.split(low, "")), lambda x: F.transform(F.sequence(F.lit(1), times(x)), lambda k: F.concat(x, k.cast("string")))))
+        return df.select(c).distinct().withColumn("low", F.lower(c)).select(c, "low", F.length("low").alias("n"), F.when(F.length("low") == 0, F.array(F.lit(""))).otherwise(each).alias("set"))
+
+    a, b = characters(left, "left"), characters(right, "right")
+    df = a.select("set").unionByName(b.select("set")).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def prefixes(side: DataFrame, c: str) -> DataFrame:
+        ranked = side.select(c, "low", "n", F.explode("set").alias("token")).join(df, "token").groupBy(c, "low", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+        keep = F.greatest(F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1, F.lit(1))
+        first = ranked.select(F.col(c), F.col("low").alias("l" + c), F.col("n").alias("n" + c), F.transform(F.slice("ranked", F.lit(1), keep.cast("int")), lambda x: x["token"]).alias("p" + c))
+        return first.withColumn("token", F.explode("p" + c))
+
+    fits = 2 * F.least("nleft", "nright") >= threshold * (F.col("nleft") + F.col("nright"))
+    once = F.col("token") == F.array_intersect("pleft", "pright")[0]
+    near = prefixes(a, "left").join(prefixes(b, "right"), "token").where(fits & once).select("left", "right", "lleft", "lright")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -134,7 +156,6 @@ def nearest(left: DataFrame, right: DataFrame, threshold: float = 0.4) -> DataFr
     best = pairs.groupBy("left_id").agg(F.max(F.struct("score", "right_id")).alias("b"))
     return best.select("left_id", F.col("b.right_id").alias("suggestion"), F.col("b.score").alias("score"))
 
-
 def compare_columns(a: DataFrame, b: DataFrame) -> DataFrame:
     """``tbl, name, status`` of two catalogs ``(tbl, name)``: matched, missing (only in a) or extra (only in b), ignoring case."""
     one = lambda df, n: df.select("tbl", F.lower("name").alias("k"), F.col("name").alias(n)).groupBy("tbl", "k").agg(F.min(n).alias(n))

@@ -93,6 +93,21 @@ def render(df: DataFrame, m: NoteMapping, row: str, source: str = "", **known: s
     )
 
 
+def level_notes(df: DataFrame, code: str, base: str, fields: Mapping[str, str], level: str, level_fields: Mapping[str, Mapping[str, str]], cumulative: bool = False, tags: str | None = None) -> DataFrame:
+    """``path, node_id, frontmatter (JSON)`` of a coded hierarchy: a folder for each segment of the code, or for each of its prefixes if ``cumulative``.
+
+    ``fields`` (column -> key) are in every note, those of ``level_fields`` only where the column ``level`` has their value; blank ones are left out.  ``tags`` is a
+    column of tags separated by white space; without any the list is empty.
+    """
+    c = F.col(f"`{code}`")
+    folders = T.cumulative_path(c, ".-") if cumulative else T.split_path(c)
+    path = F.concat_ws("/", F.lit(base), F.array_join(folders, "/"), F.concat(c, F.lit(".md")))
+    none = F.create_map().cast("map<string,string>")
+    extra = [F.when(F.col(f"`{level}`") == value, frontmatter(more)).otherwise(none) for value, more in level_fields.items()]
+    listed = F.filter(F.split(T.clean(F.col(f"`{tags}`")), r"\s+"), lambda t: t != "") if tags else F.lit(None).cast("array<string>")
+    return df.select(path.alias("path"), c.alias("node_id"), F.to_json(F.struct(F.map_concat(frontmatter(fields), *extra).alias("properties"), listed.alias("tags"))).alias("frontmatter"))
+
+
 def split_errors(df: DataFrame, required: Column, message: str) -> tuple[DataFrame, DataFrame]:
     """Rows that satisfy ``required``, and the others with ``status`` and ``message``."""
     ok = F.coalesce(required, F.lit(False))

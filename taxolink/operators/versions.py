@@ -111,17 +111,38 @@ def replay(events: DataFrame, key: str, state: Sequence[str], order: Sequence[st
     return events.where(F.col(time) <= until).groupBy(key).agg(F.max_by(F.struct(*state), F.struct(*order)).alias("_s")).select(key, "_s.*")
 
 
-def recommend(df: DataFrame) -> DataFrame:
-    """``strategy`` from ``cadence, id_stability, history, audit``: bitemporal where both times matter, else by what must be kept."""
+#: The fields that say how a framework changes, and what they may hold.
+EVOLUTION = {
+    "release_cadence": ("ad_hoc", "annual", "biannual", "quarterly", "continuous"),
+    "breaking_change_policy": ("forbidden", "rare", "managed", "unrestricted"),
+    "id_stability": ("immutable", "additive", "evolving", "unstable"),
+    "changelog_format": ("none", "prose_only", "structured_incomplete", "structured_complete"),
+    "hierarchy_stability": ("frozen", "conservative", "dynamic", "radical"),
+    "scope_expansion": ("none", "incremental", "major", "metamorphic"),
+    "deprecation_mechanism": ("none", "soft_delete", "versioned_chain", "forward_migration"),
+    "crosswalk_maintenance": ("self_maintained", "submission_based", "pivot_hub", "delegated"),
+}
+
+
+def recommend(df: DataFrame, archive_only: Column | None = None) -> DataFrame:
+    """``scd_type`` (6, 4, 3, 2, 1 or 0) and ``valid`` from the fields of ``EVOLUTION``, by the documented tree; ``valid`` is false where a field is null or unknown.
+
+    The document leaves two choices open.  "2 or 3": immutable ids give 3 (an alias column is enough), additive ones 2, as its own profiles have it.  "1 or 0":
+    1, but 0 where the caller says that a table is only archived.
+    """
+    breaking, ids = F.col("breaking_change_policy"), F.col("id_stability")
     rule = (
-        F.when((F.col("history") == "full") & (F.col("audit") == "regulatory"), "bitemporal")
-        .when(F.col("history") == "full", "scd2")
-        .when((F.col("history") == "previous") & (F.col("id_stability") == "stable"), "scd3")
-        .when((F.col("history") == "previous") | (F.col("id_stability") == "unstable"), "scd6")
-        .when(F.col("cadence") == "continuous", "event_log")
-        .otherwise("scd1")
+        F.when((breaking == "forbidden") & (F.col("changelog_format") == "structured_complete"), 6)
+        .when(breaking.isin("rare", "managed") & (F.col("deprecation_mechanism") == "versioned_chain"), 4)
+        .when((breaking == "managed") & (ids == "immutable"), 3)
+        .when((breaking == "managed") & (ids == "additive"), 2)
+        .when(archive_only if archive_only is not None else F.lit(False), 0)
+        .otherwise(1)
     )
-    return df.withColumn("strategy", rule)
+    known = F.lit(True)
+    for name, values in EVOLUTION.items():
+        known = known & F.coalesce(F.col(name).isin(*values), F.lit(False))
+    return df.withColumn("scd_type", rule).withColumn("valid", known)
 
 
 def review_queue(edges: DataFrame, changes: DataFrame) -> DataFrame:

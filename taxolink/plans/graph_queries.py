@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -19,8 +18,7 @@ from taxolink.streaming import jobs as J
 
 def _shared(spark, name):
     """A new folder below the one all executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/') if root else 'file://' + tempfile.mkdtemp(prefix='taxolink-')}/taxolink-{uuid.uuid4().hex}/{name}"
+    return f"{G.shared_root(spark)}/taxolink-{uuid.uuid4().hex}/{name}"
 
 
 @query("SELECT o_orderkey AS src_id, o_custkey AS dst_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
@@ -29,21 +27,19 @@ def dangling(spark, sf):
     return G.dangling(edges, table(spark, sf, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("node_id")))
 
 
-@query("SELECT c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey AS node_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def orphans(spark, sf):
-    return G.orphans(table(spark, sf, "customer").select(F.col("c_custkey").alias("node_id")), table(spark, sf, "orders").select(F.col("o_custkey").alias("dst_id")))
+    """Orders that no returned line links to."""
+    return G.orphans(table(spark, sf, "orders").select(F.col("o_orderkey").alias("node_id")), table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("dst_id")))
 
 
-_TWO_WAY = "SELECT l_suppkey % 97 AS src_id, l_partkey % 97 AS dst_id FROM lineitem"
-
-
-def _two_way(spark, sf):
-    return table(spark, sf, "lineitem").select((F.col("l_suppkey") % 97).alias("src_id"), (F.col("l_partkey") % 97).alias("dst_id"))
-
-
-@query(f"WITH e AS (SELECT DISTINCT * FROM ({_TWO_WAY})) SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.src_id = e.dst_id AND f.dst_id = e.src_id)")
+@query("""
+WITH e AS (SELECT 'S' || l_suppkey AS src_id, 'P' || l_partkey AS dst_id FROM lineitem UNION SELECT 'P' || l_partkey, 'S' || l_suppkey FROM lineitem WHERE l_returnflag <> 'R')
+SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.src_id = e.dst_id AND f.dst_id = e.src_id)""")
 def asymmetric(spark, sf):
-    return G.asymmetric(_two_way(spark, sf))
+    """Suppliers link to their parts, and parts back unless all lines of the pair were returned."""
+    li = table(spark, sf, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src_id"), F.concat(F.lit("P"), "l_partkey").alias("dst_id"), "l_returnflag")
+    return G.asymmetric(li.select("src_id", "dst_id").unionByName(li.where("l_returnflag <> 'R'").select(F.col("dst_id").alias("src_id"), F.col("src_id").alias("dst_id"))))
 
 
 @query("""
@@ -100,13 +96,16 @@ def graph_components(spark, sf):
     return G.components(spark, c.unionByName(o), nodes.select(F.col("src_id").alias("id")))
 
 
-@query(f"""
-WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_TWO_WAY})), r AS (SELECT DISTINCT src_id AS start, src_id AS node, 0 AS hops FROM e WHERE src_id < 3
-  UNION SELECT r.start, e.dst_id, r.hops + 1 FROM r JOIN e ON r.node = e.src_id WHERE r.hops < 2)
-SELECT start, node, min(hops) AS hops FROM r GROUP BY start, node""")
+@query("""
+WITH o AS (SELECT 'O' || o_orderkey AS a, 'C' || o_custkey AS b, 'N' || c_nationkey AS c, 'R' || n_regionkey AS d FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT a AS start, a AS node, 0 AS hops FROM o UNION ALL SELECT a, b, 1 FROM o UNION ALL SELECT a, c, 2 FROM o UNION ALL SELECT a, d, 3 FROM o UNION ALL SELECT a, 'top', 4 FROM o""")
 def reachable(spark, sf):
-    e = _two_way(spark, sf)
-    return G.reachable(spark, e, e.where("src_id < 3").select(F.col("src_id").alias("id")), 2)
+    """From every order by its customer, nation and region to the top, and from there round in a cycle."""
+    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), x).alias("src_id"), F.concat(F.lit(b), y).alias("dst_id"))
+    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    regions = n.select(F.concat(F.lit("R"), "n_regionkey").alias("src_id"), F.lit("top").alias("dst_id")).distinct()
+    e = edge(o, "O", "o_orderkey", "C", "o_custkey").unionByName(edge(c, "C", "c_custkey", "N", "c_nationkey")).unionByName(edge(n, "N", "n_nationkey", "R", "n_regionkey")).unionByName(regions).unionByName(regions.select(F.col("dst_id").alias("src_id"), F.lit("top").alias("dst_id")))
+    return G.reachable(spark, e, o.select(F.concat(F.lit("O"), "o_orderkey").alias("id")))
 
 
 _CUT = "1997-01-01"
@@ -151,10 +150,10 @@ def moved_nodes(spark, sf):
 
 
 @query("""
-WITH p AS (SELECT DISTINCT l_partkey % 500 AS old_id, l_suppkey AS new_id FROM lineitem)
+WITH p AS (SELECT DISTINCT l_partkey AS old_id, l_suppkey AS new_id FROM lineitem)
 SELECT new_id AS id, 'merge' AS kind, count(*) AS n FROM p GROUP BY new_id HAVING count(*) > 1 UNION ALL SELECT old_id, 'split', count(*) FROM p GROUP BY old_id HAVING count(*) > 1""")
 def reshaped(spark, sf):
-    return V.reshaped(table(spark, sf, "lineitem").select((F.col("l_partkey") % 500).alias("old_id"), F.col("l_suppkey").alias("new_id")))
+    return V.reshaped(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("old_id"), F.col("l_suppkey").alias("new_id")))
 
 
 @query("""
@@ -226,10 +225,12 @@ def evidence_checks(spark, sf):
     return good.select(F.lit(True).alias("valid")).unionByName(bad.select(F.lit(False).alias("valid"))).groupBy("valid").agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey")
+@query("""
+WITH h AS (SELECT l_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(CAST(l_partkey AS VARCHAR))) AS h, string_agg(l_orderkey, ',' ORDER BY l_linenumber, l_orderkey) AS orders FROM lineitem GROUP BY l_partkey)
+SELECT l_partkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || format('{:x}', (('0x' || h[17])::INT & 3) | 8) || h[18:20] || '-' || h[21:32] AS id, orders FROM h""")
 def interchange(spark, sf):
     got = E.interchange(table(spark, sf, "lineitem"), "l_partkey", ["l_orderkey"], "l_linenumber", "6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-    return got.select("l_partkey", F.size(F.from_json("components", "array<struct<l_orderkey:long>>")).cast("long").alias("n"))
+    return got.select("l_partkey", "id", F.array_join(F.transform(F.from_json("components", "array<struct<l_orderkey:long>>"), lambda x: x["l_orderkey"].cast("string")), ",").alias("orders"))
 
 
 _MAPPING = N.NoteMapping(base="vault", levels=["region", "nation"], frontmatter={"c_name": "name", "c_mktsegment": "segment"}, links=["related"], body={"c_mktsegment": "quote"}, title="c_name", framework="customers", version="1")
@@ -295,36 +296,51 @@ def conflict_merge(spark, sf):
     return notes.select("path", F.col("props")["own"].alias("own"), F.col("props")["name"].alias("name"))
 
 
-@query(f"SELECT n_name AS fw, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+@query(f"SELECT n_name AS fw, {_PATH} AS path, {_NEW_BODY} AS body FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def note_sink(spark, sf):
-    """Notes written with one folder per framework, and read back."""
+    """Notes written with one folder per framework over an older set, and read back: a full refresh."""
     out = _shared(spark, "notes")
-    S.write_notes(_notes(spark, sf).withColumn("fw", F.element_at(F.split("path", "/"), -2)), out)
-    return spark.read.parquet(out).groupBy("fw").agg(F.count("*").alias("n"))
+    notes = _notes(spark, sf).withColumn("fw", F.element_at(F.split("path", "/"), -2))
+    S.write_notes(notes.withColumn("body", F.lit("old")), out)
+    S.write_notes(notes, out)
+    return spark.read.parquet(out).select("fw", "path", "body")
 
 
-@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id) AS k FROM events) WHERE k = 1")
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('week', ts), event_id) AS k FROM events) WHERE k = 1")
 def incremental_ingest(spark, sf):
-    """Events arrive in three files, one per batch; the first of each user is kept."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    """Events arrive in files by week, one week a batch; the first of each user is kept."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
     src, out = _shared(spark, "in"), _shared(spark, "out")
-    for i in range(3):
-        e.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(src)
-    J.ingest_new(J.file_stream(spark, src, e.schema, files_per_batch=1), out, "user_id", ["event_id"], _shared(spark, "checkpoint")).awaitTermination()
-    return spark.read.option("basePath", out).parquet(out).select("event_id", "user_id", "event_type")
+    weeks = [r["m"] for r in e.select(F.date_trunc("week", "ts").alias("m")).distinct().orderBy("m").collect()]  # a batch for each
+    for m in weeks:
+        e.where(F.date_trunc("week", "ts") == F.lit(m)).write.mode("append").parquet(src)
+        J.ingest_new(J.file_stream(spark, src, e.schema), out, "user_id", ["event_id"], f"{out}-checkpoint").awaitTermination()
+    return J.ingested(spark, out, e.schema).select("event_id", "user_id", "event_type")
+
+
+def _run(spark, made, keys):
+    """Run a stream to a folder of the changes of each batch; the last row of each key."""
+    out = _shared(spark, "changes")
+    J.run_to_folder(made, out, f"{out}-checkpoint").awaitTermination()
+    return J.latest(spark, out, made.schema, keys)
 
 
 @query("SELECT event_type AS fw, count(*) AS n_links FROM events GROUP BY event_type")
 def running_counts(spark, sf):
     stream = J.file_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema).select(F.col("event_type").alias("fw"))
-    name = f"counts_{uuid.uuid4().hex}"
-    J.run_to_table(J.running_counts(stream, ["fw"]), name, _shared(spark, "checkpoint")).awaitTermination()
-    return spark.table(name)
+    return _run(spark, J.running_counts(stream, ["fw"]), ["fw"])
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type AS fw, count(*) AS n_links FROM events GROUP BY ALL")
 def windowed_counts(spark, sf):
     stream = J.file_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("fw"))
-    name = f"windows_{uuid.uuid4().hex}"
-    J.run_to_table(J.windowed_counts(stream, "ts", ["fw"]), name, _shared(spark, "checkpoint")).awaitTermination()
-    return spark.table(name)
+    return _run(spark, J.windowed_counts(stream, "ts", ["fw"]), ["start", "fw"])
+
+
+@query("""
+WITH n AS (SELECT user_id, max(ts) AS changed, arg_max(CAST(ts AS DATE) + CAST(event_id % 90 AS INTEGER) - 20, ts) AS expires, CAST(max(ts) AS DATE) AS today FROM events GROUP BY user_id)
+SELECT user_id, changed, CASE WHEN expires < today THEN 'expired' WHEN expires - 30 <= today THEN 'stale' ELSE 'fresh' END AS freshness FROM n""")
+def streaming_freshness(spark, sf):
+    """Evidence as a stream: the newest event of each user says how fresh the user's evidence is."""
+    stream = J.file_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema).select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("collected"), F.date_add(F.to_date("ts"), (F.col("event_id") % 90 - 20).cast("int")).alias("expires"))
+    return _run(spark, J.freshness_changes(stream, "user_id", "collected", "expires", "ts"), ["user_id"])

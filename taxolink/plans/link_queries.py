@@ -42,7 +42,7 @@ FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND l_partkey
 def link_lists(spark, sf):
     pairs = J.mapping_pairs(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
     edges = J.link_pass(table(spark, sf, "orders"), "o_orderkey", table(spark, sf, "part"), "p_partkey", pairs, J.LinkPass("op", "orders", "parts", write_to="source", prefix="P-"))
-    return A.link_lists(edges).select("src_id", F.array_join("links", " ").alias("links"))
+    return A.link_lists(edges).select(F.col("src_id").cast("string").alias("src_id"), F.array_join("links", " ").alias("links"))
 
 
 @query("""
@@ -74,31 +74,31 @@ def premerge(spark, sf):
 
 
 @query("""
-SELECT a.n_nationkey AS key_ctrl, b.n_nationkey AS key_assess, 'AA-' || a.n_nationkey AS merge_key
-FROM nation a LEFT JOIN nation b ON a.n_nationkey = b.n_nationkey AND b.n_nationkey % 3 <> 0""")
+SELECT a.c_custkey AS key_ctrl, b.c_custkey AS key_assess, 'AA-' || a.c_custkey AS merge_key
+FROM customer a LEFT JOIN customer b ON a.c_custkey = b.c_custkey AND b.c_custkey % 3 <> 0""")
 def key_normalize_join(spark, sf):
-    n = table(spark, sf, "nation")
-    left = n.select(F.col("n_nationkey").alias("key"), F.format_string("AA-%02d", "n_nationkey").alias("code"))
-    right = n.where("n_nationkey % 3 <> 0").select(F.col("n_nationkey").alias("key"), F.concat(F.lit("AA-"), "n_nationkey").alias("ref"))
+    n = table(spark, sf, "customer")
+    left = n.select(F.col("c_custkey").alias("key"), F.format_string("AA-%02d", "c_custkey").alias("code"))
+    right = n.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("key"), F.concat(F.lit("AA-"), "c_custkey").alias("ref"))
     return J.join_on_derived(left, right, T.normalize_id(F.col("code")), T.normalize_id(F.col("ref")), ("_ctrl", "_assess")).select("key_ctrl", "key_assess", "merge_key")
 
 
 @query("""
-SELECT p_partkey, l.l_orderkey FROM part LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1) l ON p_partkey = l.l_partkey""")
+SELECT p_partkey, l.l_orderkey FROM part LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l ON p_partkey = l.l_partkey""")
 def label_join(spark, sf):
-    labels = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.concat(F.lit(" P"), "l_partkey").alias("label")).distinct()
+    labels = table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit(" P"), "l_partkey").alias("label")).distinct()
     part = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("P"), "p_partkey", F.lit("  ")).alias("name"))
     return J.label_join(part, labels, "name", "label").select("p_partkey", "l_orderkey")
 
 
 @query("""
-SELECT 'part' AS fw, p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)
-UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+SELECT 'part' AS fw, p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O')
+UNION ALL SELECT 'order', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O')""")
 def unmapped(spark, sf):
-    pairs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("left_id"), F.col("l_partkey").alias("right_id"))
-    bought = table(spark, sf, "orders").select(F.col("o_custkey").alias("left_id"))
+    """Parts and orders that the mapping of returned open lines lacks."""
+    pairs = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_linestatus = 'O'").select(F.col("l_orderkey").alias("left_id"), F.col("l_partkey").alias("right_id"))
     part = J.unmapped(table(spark, sf, "part"), "p_partkey", pairs, "right_id").select(F.lit("part").alias("fw"), "id")
-    return part.unionByName(J.unmapped(table(spark, sf, "customer"), "c_custkey", bought).select(F.lit("customer").alias("fw"), "id"))
+    return part.unionByName(J.unmapped(table(spark, sf, "orders"), "o_orderkey", pairs).select(F.lit("order").alias("fw"), "id"))
 
 
 @query("""
@@ -206,8 +206,8 @@ def broken_links(spark, sf):
     pages = table(spark, sf, "pages")
     notes = pages.select(F.col("page_id").alias("path"), F.regexp_replace("html", r'href="/([^"]+)"', "[[$1]]").alias("text"))
     nodes = pages.where("page_id % 2 = 0").select(F.regexp_extract("url", r"/(\w+)(\?|$)", 1).alias("name"))
-    targets = L.wikilinks(notes.withColumn("text", F.concat_ws("\n", F.regexp_extract_all("text", F.lit(r"\[\[[^\]]+\]\]"), F.lit(0)))))
-    return targets.join(nodes.select(F.col("name").alias("target")), "target", "left_anti").groupBy("target").agg(F.count("*").alias("n_links"))
+    rendered = notes.withColumn("text", F.concat_ws("\n", F.regexp_extract_all("text", F.lit(r"\[\[[^\]]+\]\]"), F.lit(0))))
+    return L.broken_links(rendered, nodes).groupBy("target").agg(F.count("*").alias("n_links"))
 
 
 @query("""

@@ -47,10 +47,10 @@ def note_paths(spark, sf):
 
 
 @query("""
-SELECT r_regionkey AS id, CASE r_name WHEN 'ASIA' THEN 'AS' WHEN 'EUROPE' THEN 'EU' END AS code, CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE '' END AS last FROM region""")
+SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'BU' WHEN 'MACHINERY' THEN 'MA' END AS code, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END AS last FROM customer""")
 def map_codes(spark, sf):
-    r = table(spark, sf, "region")
-    return r.select(F.col("r_regionkey").alias("id"), T.code_map(F.col("r_name"), {"Asia": "AS", "Europe": "EU"}, lower=True).alias("code"), T.last_level(F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("x / "), "r_name")).otherwise(F.col("r_name"))).alias("last"))
+    c = table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("id"), T.code_map(F.col("c_mktsegment"), {"Building": "BU", "Machinery": "MA"}, lower=True).alias("code"), T.last_level(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("x / "), "c_name")).otherwise(F.col("c_name"))).alias("last"))
 
 
 @query("""
@@ -89,13 +89,16 @@ def tag_lists(spark, sf):
     return A.tags(e.select("user_id", F.array_join("t", " ").alias("t")), "user_id", ["t"])
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, '\"a\", ' || s_nationkey AS note, row_number() OVER (ORDER BY s_suppkey) AS source_row FROM supplier")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, '\"a\", ' || c_mktsegment AS note, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS source_row FROM customer")
 def csv_round_trip(spark, sf):
-    """Written as delimited text with quoted cells and padded headers, and read back with row numbers."""
+    """A file for each nation, as delimited text with quoted cells, padded headers and blank lines, read back with row numbers within each file."""
     out = _shared(spark, "csv")
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias(" id "), F.col("s_name").alias("name"), F.concat(F.lit('"a", '), "s_nationkey").alias("note"))
-    s.orderBy(" id ").coalesce(1).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out)
-    return R.read_csv(spark, out, provenance=True, multi_line=False).drop("source_file")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.concat(F.col("c_custkey").cast("string"), F.lit(","), "c_name", F.lit(',"""a"", '), "c_mktsegment", F.lit('"')).alias("line"))
+    head = c.select(F.lit(-1).cast("long").alias("c_custkey"), "c_nationkey", F.lit(" id ,name , note").alias("line")).distinct()
+    blank = c.where("c_custkey % 10 = 0").withColumn("line", F.lit(""))
+    every = head.unionByName(c).unionByName(blank).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey", F.desc("line"))
+    every.select("c_nationkey", F.col("line").alias("value")).write.partitionBy("c_nationkey").text(out)
+    return R.read_csv(spark, out, provenance=True, multi_line=False).select("id", "name", "note", "source_row")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name FROM supplier")
@@ -106,41 +109,49 @@ def header_row(spark, sf):
     return R.promote_header(top.unionByName(s), "r", 1).drop("r")
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation")
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS id, CAST(l_partkey AS VARCHAR) AS part FROM lineitem")
 def json_records(spark, sf):
+    """A record for each order with its lines below ``rows``."""
     out = _shared(spark, "x.jsonl")
-    table(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("rows")).write.json(out)
-    return R.read_any(spark, out, root="rows").select("id", "name")
+    table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"))).alias("rows")).write.json(out)
+    return R.read_any(spark, out, root="rows").select("id", "part")
 
 
-@query("SELECT r_regionkey AS id, r_name AS name, 'about ' || r_name AS body FROM region")
+@query("SELECT s_suppkey AS id, s_name AS name, 'about ' || s_nationkey AS body FROM supplier")
 def note_corpus(spark, sf):
     """One text file per note, read whole, split into header and body."""
     out = _shared(spark, "notes")
-    r = table(spark, sf, "region").select(F.col("r_regionkey").cast("string").alias("k"), F.concat(F.lit("---\nid: "), "r_regionkey", F.lit("\nname: '"), "r_name", F.lit("'\n---\nabout "), "r_name").alias("value"))
+    r = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), F.concat(F.lit("---\nid: "), "s_suppkey", F.lit("\nname: '"), "s_name", F.lit("'\n---\nabout "), "s_nationkey").alias("value"))
     r.repartition("k").write.partitionBy("k").option("lineSep", "\x00").text(out)
     got = L.split_note(R.read_notes(spark, out, "*.txt")).withColumn("h", L.header_pairs(F.col("header")))
-    return got.select(F.col("h")["id"].cast("int").alias("id"), F.col("h")["name"].alias("name"), F.regexp_replace("body", r"[\x00\n]+$", "").alias("body"))
+    return got.select(F.col("h")["id"].cast("long").alias("id"), F.col("h")["name"].alias("name"), F.regexp_replace("body", r"[\x00\n]+$", "").alias("body"))
 
 
-@query("""
-SELECT 'customer' AS tbl, 'c_custkey' AS name, 'matched' AS status UNION ALL SELECT 'customer', 'c_phone', 'missing' UNION ALL SELECT 'customer', c, 'extra' FROM (SELECT unnest(['c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS c)""")
+#: What the events of a type should carry: ``Click`` and ``view`` are known types in another case, ``gone`` is none.
+_SAVED = "(VALUES ('click', 'K'), ('click', 'j'), ('gone', 'k'))"
+
+
+@query(f"""
+WITH s AS (SELECT event_type AS tbl, unnest(json_keys(props)) AS name FROM events), h AS (SELECT tbl, lower(name) AS k, min(name) AS b FROM s GROUP BY ALL), c AS (SELECT tbl, lower(name) AS k, name AS a FROM {_SAVED} AS v(tbl, name))
+SELECT tbl, coalesce(a, b) AS name, CASE WHEN a IS NULL THEN 'extra' WHEN b IS NULL THEN 'missing' ELSE 'matched' END AS status FROM c FULL JOIN h USING (tbl, k)""")
 def column_compare(spark, sf):
-    """A saved schema against the table's columns; each column of the table is a row made from its cells."""
-    c = table(spark, sf, "customer")
-    have = P.unpivot(c.withColumn("_r", F.lit(0)), "_r", c.columns).select(F.lit("customer").alias("tbl"), F.col("col").alias("name")).distinct()
-    saved = spark.createDataFrame([("customer", "C_CUSTKEY"), ("customer", "c_phone")], "tbl string, name string")
-    got = M.compare_columns(saved, have)
-    return got.withColumn("name", F.lower("name"))
+    """The keys that each type of event has, over all records, against a saved schema."""
+    have = table(spark, sf, "events").select(F.col("event_type").alias("tbl"), F.explode(F.json_object_keys("props")).alias("name")).distinct()
+    saved = spark.sql(f"SELECT * FROM {_SAVED} AS v(tbl, name)")
+    return M.compare_columns(saved, have)
 
 
-@query("""
-SELECT 'c_custkey' AS name, 'frontmatter' AS role, 'id' AS output UNION ALL SELECT 'c_name', 'link', 'n2' UNION ALL SELECT 'c_nationkey', 'skip', 'c_nationkey' UNION ALL SELECT 'c_acctbal', 'skip', 'c_acctbal' UNION ALL SELECT 'c_mktsegment', 'title', 't'""")
+_ROLES = "(VALUES ('PART 1', 'frontmatter', 'id'), ('Part 2', 'title', 'n0'), ('Part 2', 'hierarchy', 'n1'), ('part 2', 'link', 'n2'), ('Part 3', 'title', 't'), ('nowhere', 'body', 'b'))"
+
+
+@query(f"""
+WITH c AS (SELECT DISTINCT 'Part ' || l_partkey % 50 AS name FROM lineitem), r AS (SELECT *, CASE role WHEN 'title' THEN 1 WHEN 'hierarchy' THEN 2 WHEN 'frontmatter' THEN 3 WHEN 'link' THEN 4 ELSE 5 END AS p FROM {_ROLES} AS v(col, role, output)),
+b AS (SELECT lower(col) AS k, arg_max(role, p) AS role, arg_max(output, p) AS output FROM r GROUP BY 1)
+SELECT name, coalesce(role, 'skip') AS role, coalesce(output, name) AS output FROM c LEFT JOIN b ON lower(name) = k""")
 def config_roles(spark, sf):
-    c = table(spark, sf, "customer")
-    have = P.unpivot(c.withColumn("_r", F.lit(0)), "_r", c.columns).select(F.col("col").alias("name")).distinct()
-    saved = spark.createDataFrame([("C_CUSTKEY", "frontmatter", "id"), ("c_name", "title", "n0"), ("c_name", "hierarchy", "n1"), ("c_name", "link", "n2"), ("c_mktsegment", "title", "t")], "column string, role string, output string")
-    return P.config_roles(saved, have)
+    """Names that the lines use, with the roles that a saved mapping gives them."""
+    have = table(spark, sf, "lineitem").select(F.concat(F.lit("Part "), F.col("l_partkey") % 50).alias("name")).distinct()
+    return P.config_roles(spark.sql(f"SELECT * FROM {_ROLES} AS v(column, role, output)"), have)
 
 
 @query("""
@@ -159,11 +170,16 @@ def relation_lists(spark, sf):
     return got.select("fw", F.size("relations").cast("long").alias("n"), F.array_join(F.transform("relations", lambda x: x["c_custkey"].cast("string")), ",").alias("customers"))
 
 
-@query("SELECT l_quantity < 40 AND l_discount <= 0.05 AS valid, count(*) AS n FROM lineitem GROUP BY 1")
+@query("""
+WITH m AS (SELECT CASE WHEN l_quantity < 40 THEN 1 ELSE 0 END + CASE WHEN l_discount <= 0.05 THEN 2 ELSE 0 END + CASE WHEN l_linenumber % 3 = 0 THEN 4 ELSE 0 END AS x FROM lineitem)
+SELECT x & 3 = 3 AND x & 4 = 0 AS valid, concat_ws(',', CASE WHEN x & 1 = 0 THEN 'no justification' END, CASE WHEN x & 2 = 0 THEN 'confidence' END, CASE WHEN x & 4 > 0 THEN 'modifier' END) AS problems, count(*) AS n FROM m GROUP BY ALL""")
 def mapping_checks(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("subject"), F.lit("equal").alias("predicate"), F.col("l_partkey").alias("object"), F.when(F.col("l_quantity") < 40, "manual").alias("justification"), F.when(F.col("l_discount") <= 0.05, F.col("l_discount")).otherwise(2.0).alias("confidence"))
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("subject"), F.lit("equal").alias("predicate"), F.col("l_partkey").cast("string").alias("object"), F.when(F.col("l_quantity") < 40, "manual").alias("justification"), F.when(F.col("l_discount") <= 0.05, F.col("l_discount")).otherwise(2.0).alias("confidence"),
+        F.lit("a").alias("author"), F.to_date("l_shipdate").alias("dated"), F.lit(None).cast("string").alias("tool"), F.when(F.col("l_linenumber") % 3 == 0, "never").when(F.col("l_linenumber") % 3 == 1, "Not").alias("modifier"),
+    )
     good, bad = G.valid_mappings(rows)
-    return good.select(F.lit(True).alias("valid")).unionByName(bad.select(F.lit(False).alias("valid"))).groupBy("valid").agg(F.count("*").alias("n"))
+    return good.select(F.lit(True).alias("valid"), F.lit("").alias("problems")).unionByName(bad.select(F.lit(False).alias("valid"), F.array_join("problems", ",").alias("problems"))).groupBy("valid", "problems").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus END AS previous_s FROM orders")
@@ -182,10 +198,15 @@ def scd6(spark, sf):
     return V.scd6(after, "k", ["s"]).select("k", "s", "current_s")
 
 
-@query("SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id <= 500 AND (event_id + user_id % 400) > 500 GROUP BY ALL")
+@query("""
+SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate <= TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-01-01' < o_orderdate + CAST(o_custkey % 400 AS INTEGER) * INTERVAL 1 DAY
+  AND o_orderdate + INTERVAL 10 DAY <= TIMESTAMP '1997-01-05' AND (o_orderkey % 3 > 0 OR TIMESTAMP '1997-01-05' < o_orderdate + INTERVAL 100 DAY) GROUP BY ALL""")
 def as_of(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_type", F.col("event_id").alias("valid_from"), (F.col("event_id") + F.col("user_id") % 400).alias("valid_to"))
-    return V.as_of(e, F.lit(500)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    """What was valid on one day as it was known on another; every third row was withdrawn from the record after 100 days."""
+    later = lambda days: F.col("o_orderdate") + F.make_dt_interval(days)
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", F.col("o_orderdate").alias("valid_from"), later(F.col("o_custkey") % 400).alias("valid_to"), later(F.lit(10)).alias("recorded_from"), F.when(F.col("o_orderkey") % 3 == 0, later(F.lit(100))).alias("recorded_to"))
+    day = lambda x: F.lit(x).cast(o.schema["valid_from"].dataType)
+    return V.as_of(o, day("1997-01-01"), day("1997-01-05")).groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -199,18 +220,29 @@ def renamed_nodes(spark, sf):
 
 
 @query("""
-SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_orderstatus = 'F' THEN 'bitemporal' WHEN o_orderkey % 2 = 0 THEN 'scd2' ELSE 'scd1' END AS strategy FROM orders""")
+WITH f AS (SELECT o_orderkey AS id, ['forbidden', 'rare', 'managed', 'unrestricted', 'often'][o_orderkey % 5 + 1] AS breaking, ['immutable', 'additive', 'evolving', 'unstable'][o_custkey % 4 + 1] AS ids,
+  ['none', 'prose_only', 'structured_incomplete', 'structured_complete'][o_orderkey // 5 % 4 + 1] AS changelog, ['none', 'soft_delete', 'versioned_chain', 'forward_migration'][o_orderkey // 20 % 4 + 1] AS deprecation, o_orderstatus = 'P' AS archived FROM orders)
+SELECT id, CASE WHEN breaking = 'forbidden' AND changelog = 'structured_complete' THEN 6 WHEN breaking IN ('rare', 'managed') AND deprecation = 'versioned_chain' THEN 4
+  WHEN breaking = 'managed' AND ids = 'immutable' THEN 3 WHEN breaking = 'managed' AND ids = 'additive' THEN 2 WHEN archived THEN 0 ELSE 1 END AS scd_type, breaking <> 'often' AS valid FROM f""")
 def recommend(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("yearly").alias("cadence"), F.lit("stable").alias("id_stability"), F.when(F.col("o_orderkey") % 2 == 0, "full").otherwise("none").alias("history"), F.when(F.col("o_orderstatus") == "F", "regulatory").otherwise("none").alias("audit"))
-    return V.recommend(o).select("id", "strategy")
+    """Fields dealt to the orders by their keys; ``often`` is no known policy."""
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    k, of = F.col("o_orderkey"), V.EVOLUTION
+    o = table(spark, sf, "orders").select(
+        k.alias("id"), pick((*of["breaking_change_policy"], "often"), k).alias("breaking_change_policy"), pick(of["id_stability"], F.col("o_custkey")).alias("id_stability"), pick(of["changelog_format"], F.floor(k / 5)).alias("changelog_format"),
+        pick(of["deprecation_mechanism"], F.floor(k / 20)).alias("deprecation_mechanism"), *(F.lit(of[f][0]).alias(f) for f in ("release_cadence", "hierarchy_stability", "scope_expansion", "crosswalk_maintenance")), (F.col("o_orderstatus") == "P").alias("archived"),
+    )
+    return V.recommend(o, F.col("archived")).select("id", "scd_type", "valid")
 
 
-@query("SELECT name, n FROM (SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'a very long name of the customer', (SELECT count(*) FROM customer))")
+@query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'a_very_long_name_of_the_custome', count(*) FROM customer UNION ALL SELECT 'a_very_long_name_of_the_custo~2', count(*) FROM part")
 def table_export(spark, sf):
+    """Two of the names are the same when cut."""
     long = "a very long name of the customer table"
-    paths = S.export({"orders": table(spark, sf, "orders"), long: table(spark, sf, "customer")}, _shared(spark, "export"))
-    count = lambda name, out: spark.read.parquet(paths[name]).agg(F.count("*").alias("n")).select(F.lit(out).alias("name"), "n")
-    return count("orders", "orders").unionByName(count(long, long[:32]))
+    tables = {"orders": table(spark, sf, "orders"), long: table(spark, sf, "customer"), long + " 2": table(spark, sf, "part")}
+    paths = S.export(tables, _shared(spark, "export"))
+    counts = [spark.read.parquet(p).agg(F.count("*").alias("n")).select(F.lit(p.rsplit("/", 1)[1]).alias("name"), "n") for p in paths.values()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query("SELECT DISTINCT l_orderkey AS src_id, l_partkey AS dst_id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)")

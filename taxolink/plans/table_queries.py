@@ -42,15 +42,15 @@ def ffill_hier(spark, sf):
 
 
 @query("""
-SELECT 'N' || n_nationkey AS control, n_name AS title, 'R' || n_regionkey AS head_control, r_name AS head_title, 'about ' || r_name AS head_text
-FROM nation JOIN region ON n_regionkey = r_regionkey""")
+SELECT 'C' || c_custkey AS control, c_name AS title, 'N' || n_nationkey AS head_control, n_name AS head_title, 'about ' || n_name AS head_text
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def header_pairs(spark, sf):
-    """Every region as a header of two rows before its nations."""
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    at = lambda region, place: (F.col(region).cast("long") * 1000 + place).alias("source_row")
-    head = r.select(F.concat(F.lit("R"), "r_regionkey").alias("control"), F.col("r_name").alias("title"), at("r_regionkey", 0))
-    text = r.select(F.lit(None).cast("string").alias("control"), F.concat(F.lit("about "), "r_name").alias("title"), at("r_regionkey", 1))
-    rows = n.select(F.concat(F.lit("N"), "n_nationkey").alias("control"), F.col("n_name").alias("title"), at("n_regionkey", F.lit(2) + F.col("n_nationkey")))
+    """Every nation as a header of two rows before its customers."""
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    at = lambda nation, place: (F.col(nation).cast("long") * 10**10 + place).alias("source_row")
+    head = n.select(F.concat(F.lit("N"), "n_nationkey").alias("control"), F.col("n_name").alias("title"), at("n_nationkey", 0))
+    text = n.select(F.lit(None).cast("string").alias("control"), F.concat(F.lit("about "), "n_name").alias("title"), at("n_nationkey", 1))
+    rows = c.select(F.concat(F.lit("C"), "c_custkey").alias("control"), F.col("c_name").alias("title"), at("c_nationkey", F.lit(2) + F.col("c_custkey")))
     return O.header_pairs(head.unionByName(text).unionByName(rows), "control", "title", "source_row", bucket=1000).drop("source_row")
 
 
@@ -114,11 +114,11 @@ def list_merge_flat(spark, sf):
 
 
 @query("""
-SELECT user_id, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_id % 2 = 0) GROUP BY user_id""")
+SELECT user_id, string_agg(event_type, ',' ORDER BY event_id % 2, event_type) AS links FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_id % 2 = 0) GROUP BY user_id""")
 def list_merge_nested(spark, sf):
     e = table(spark, sf, "events")
-    lists = lambda k: e.where(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.collect_list("event_type").alias("links"))
-    return A.merge_lists(lists(0), lists(1), ["user_id"], nested=True).select("user_id", F.size("links").cast("long").alias("n"))
+    lists = lambda k: e.where(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.array_sort(F.collect_list("event_type")).alias("links"))
+    return A.merge_lists(lists(0), lists(1), ["user_id"], nested=True).select("user_id", F.array_join(F.transform("links", lambda x: x["link"]), ",").alias("links"))
 
 
 @query("""
@@ -232,50 +232,63 @@ def profile_columns(spark, sf):
     return P.profile(c, "row").select("pos", "col", "type", "has_empty", "n_distinct", F.array_join("samples", "|").alias("samples"))
 
 
-@query("""
-SELECT 0 AS pos, 'control' AS col, 'control_id' AS pattern UNION ALL SELECT 1, 'cis', 'cis_control' UNION ALL SELECT 2, 'link', 'url' UNION ALL SELECT 3, 'list', 'comma_list'""")
+_FIRST = """
+WITH f AS (SELECT c_custkey AS r, 'AC-' || c_nationkey AS control, c_nationkey || '.' || c_custkey AS cis, 'https://x/' || c_custkey AS link, c_mktsegment || ', ' || c_name AS list, c_name FROM customer ORDER BY c_custkey LIMIT 20),
+v AS (SELECT 0 AS pos, 'control' AS col, r, control AS x FROM f UNION ALL SELECT 1, 'cis', r, cis FROM f UNION ALL SELECT 2, 'link', r, link FROM f UNION ALL SELECT 3, 'list', r, list FROM f UNION ALL SELECT 4, 'c_name', r, c_name FROM f),
+p AS (SELECT * FROM (VALUES (1, 'control_id', '(?i)^[A-Z]{2,3}-[0-9]+([(][0-9]+[)])?$'), (2, 'cis_control', '^[0-9]+([.][0-9]+)+$'), (3, 'uuid', '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-'), (4, 'url', '(?i)^https?://'), (5, 'comma_list', '^[^,]+,[^,]+')) AS t(k, pattern, form)),
+hit AS (SELECT pos, col, k, pattern, string_agg(x, '|' ORDER BY r) FILTER (regexp_matches(x, form)) AS xs FROM v, p GROUP BY ALL HAVING avg(CAST(regexp_matches(x, form) AS INTEGER)) >= 0.7)
+SELECT pos, col, arg_min(pattern, k) AS pattern, array_to_string(string_split(arg_min(xs, k), '|')[1:3], '|') AS examples FROM hit GROUP BY pos, col"""
+
+
+@query(_FIRST)
 def column_patterns(spark, sf):
     c = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("row"), F.concat(F.lit("AC-"), "c_nationkey").alias("control"), F.concat_ws(".", "c_nationkey", "c_custkey").alias("cis"), F.concat(F.lit("https://x/"), "c_custkey").alias("link"),
         F.concat_ws(", ", "c_mktsegment", "c_name").alias("list"), "c_name",
     )
-    return P.patterns(c, "row").select("pos", "col", "pattern")
-
-
-#: Tables whose schemas make the catalog of the two queries below.
-_CATALOG = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    return P.patterns(c, "row").select("pos", "col", "pattern", F.array_join("examples", "|").alias("examples"))
 
 
 def _catalog(spark, sf):
-    """Schemas are metadata, but the row of each column comes from its table, with how many of its values are set."""
-    rows = None
-    for t in _CATALOG:
-        df = table(spark, sf, t)
-        cells = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("name"), F.col(c).isNotNull().cast("long").alias("v")) for i, c in enumerate(df.columns)))
-        one = df.select(F.explode(cells).alias("c")).groupBy("c.pos", "c.name").agg(F.sum("c.v").alias("n_set")).withColumn("tbl", F.lit(t))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.select("tbl", "pos", "name", "n_set", F.lit("parquet").alias("source_type"), F.concat("tbl", F.lit("_v2-2024.parquet")).alias("file_name"))
+    """A catalog of tables found in the data: one for each order, its columns named by its lines' parts, its file by the order's date and status."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    name = F.concat(F.lit("Part "), F.col("l_partkey") % 6)
+    cols = li.select(F.col("l_orderkey").alias("o_orderkey"), name.alias("name")).distinct()
+    return cols.join(o, "o_orderkey").select(
+        F.col("o_orderkey").alias("tbl"), F.col("name").alias("pos"), "name", F.col("o_orderstatus").alias("source_type"), F.concat(F.col("o_orderpriority"), F.lit("_v2-"), F.date_format("o_orderdate", "yyyyMM"), F.lit(".csv")).alias("file_name")
+    )
+
+
+_PRINTS = """
+WITH cols AS (SELECT DISTINCT l_orderkey AS tbl, 'Part ' || l_partkey % 6 AS name FROM lineitem),
+f AS (SELECT tbl, o_orderstatus AS source_type, list(name ORDER BY name) AS names, regexp_replace(regexp_replace(lower(any_value(o_orderpriority) || '_v2-' || strftime(any_value(o_orderdate), '%Y%m')), '[_\\-\\s]+', '*', 'g'), '[0-9]+', '*', 'g') AS file_pattern
+  FROM cols JOIN orders ON tbl = o_orderkey GROUP BY tbl, o_orderstatus)
+"""
 
 
-_NAMES = {
-    "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
-}
+@query(_PRINTS + "SELECT tbl, source_type, len(names) AS n_columns, array_to_string(names, '|') AS names, replace(lower(array_to_string(names, '|')), ' ', '_') AS normal, file_pattern FROM f")
+def fingerprint(spark, sf):
+    return P.fingerprints(_catalog(spark, sf)).select("tbl", "source_type", "n_columns", F.array_join("names", "|").alias("names"), F.array_join("normal", "|").alias("normal"), "file_pattern")
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS tbl, {n} AS n_columns, '{t}*v***' AS file_pattern" for t, n in _NAMES.items()))
-def fingerprint(spark, sf):
-    return P.fingerprints(_catalog(spark, sf)).select("tbl", "n_columns", "file_pattern")
+_CONFIGS = [("a", "2024-01-30", ["Part 1", "Part 2", "Part 3"], "O", "1*urgent*v***"), ("b", "2023-01-01", ["PART 4", "part 5", "Part 0", "Part 1"], "F", "x*y"), ("c", "2024-01-31", ["Part 2", "Part 3"], "P", None)]
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS tbl, '{t}' AS config, 65 AS score" for t in _NAMES))
+@query(_PRINTS + f"""
+, g AS (SELECT *, list_transform(names, lambda n: regexp_replace(trim(lower(n)), '[^a-z0-9]', '_', 'g')) AS normal, len(names) AS n FROM f),
+c AS (SELECT *, list_transform(names, lambda n: regexp_replace(trim(lower(n)), '[^a-z0-9]', '_', 'g')) AS normal, len(names) AS n FROM (VALUES
+  {", ".join(f"('{c}', DATE '{d}', {n}, '{t}', {'NULL' if p is None else repr(p)})" for c, d, n, t, p in _CONFIGS)}) AS v(config, last_used, names, source_type, file_pattern)),
+s AS (SELECT g.tbl, c.config, len(list_intersect(g.names, c.names)) / greatest(g.n, c.n) AS e, len(list_intersect(g.normal, c.normal)) / greatest(g.n, c.n) AS m, abs(g.n - c.n) AS gap, g.source_type = c.source_type AS t,
+  len(list_filter(list_intersect(string_split(g.file_pattern, '*'), string_split(c.file_pattern, '*')), lambda x: x <> '')) > 0 AS p, last_used > DATE '2024-02-01' - 7 AS u FROM g, c),
+r AS (SELECT tbl, config, CASE WHEN e > 0.8 THEN 40 WHEN e > 0.5 THEN 25 ELSE 0 END + CASE WHEN m > e THEN 15 ELSE 0 END + CASE WHEN gap = 0 THEN 10 WHEN gap <= 2 THEN 5 ELSE 0 END
+  + CASE WHEN t THEN 5 ELSE 0 END + CASE WHEN p THEN 10 ELSE 0 END + CASE WHEN u THEN 5 ELSE 0 END AS score FROM s)
+SELECT * FROM r WHERE score > 30""")
 def config_match(spark, sf):
-    """Every table against the saved fingerprints of all of them: 40 for names, 10 for count, 5 for type, 10 for file name.
-
-    Other pairs share no column, and files only the part ``v``: 10 for it, 5 for type and at most 10 for count stay below 31.
-    """
-    prints = P.fingerprints(_catalog(spark, sf))
-    configs = prints.select(F.col("tbl").alias("config"), F.to_date(F.lit("2024-01-01")).alias("last_used"), "names", "normal", "n_columns", "source_type", "file_pattern")
-    return P.match_configs(prints, configs, F.to_date(F.lit("2024-02-01")))
+    """The catalog of orders against saved configs."""
+    saved = spark.createDataFrame([(c, d, n, t, p) for c, d, n, t, p in _CONFIGS], "config string, last_used string, names array<string>, source_type string, file_pattern string")
+    normal = F.transform("names", lambda n: F.regexp_replace(F.trim(F.lower(n)), "[^a-z0-9]", "_"))
+    configs = saved.select("config", F.to_date("last_used").alias("last_used"), "names", normal.alias("normal"), F.size("names").alias("n_columns"), "source_type", "file_pattern")
+    return P.match_configs(P.fingerprints(_catalog(spark, sf)), configs, F.to_date(F.lit("2024-02-01")))
 
 
 @query("""

@@ -95,6 +95,7 @@ def read_sheets(spark: SparkSession, sheets: dict[str, str], views: bool = True,
 
 
 def read_notes(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """``path, text`` of every note below a folder."""
+    """``path, text`` of every note below a folder; Spark gives paths in URI form, which is undone."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return df.select(path.alias("path"), F.col("value").alias("text"))

@@ -23,34 +23,48 @@ def note_text(notes: DataFrame) -> DataFrame:
 
 
 def write_files(notes: DataFrame, root: str) -> None:
-    """One file per note below ``root``, which all executors must share.
+    """One file per note below ``root``, a folder or URI of a file system that all executors share.
 
     A file is written under a name of its own and then moved in place, so a repeated task leaves whole files only.
     """
 
     def write(rows: Iterable[Row]) -> None:
-        import os
+        import posixpath
         import uuid
 
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{posixpath.abspath(root)}")
         for r in rows:
-            target = os.path.normpath(os.path.join(root, r["path"].lstrip("/")))
-            if not target.startswith(os.path.normpath(root) + os.sep):
+            target = posixpath.normpath(posixpath.join(base, r["path"].lstrip("/")))
+            if not target.startswith(posixpath.normpath(base) + "/"):
                 raise ValueError(f"path leaves the folder: {r['path']}")
-            os.makedirs(os.path.dirname(target), exist_ok=True)
+            files.create_dir(posixpath.dirname(target), recursive=True)
             draft = f"{target}.{uuid.uuid4().hex}"
-            with open(draft, "w", encoding="utf-8") as f:
-                f.write(r["content"])
-            os.replace(draft, target)
+            with files.open_output_stream(draft) as f:
+                f.write(r["content"].encode("utf-8"))
+            files.move(draft, target)
 
     note_text(notes).foreachPartition(write)
 
 
+def short_names(names: Iterable[str]) -> dict[str, str]:
+    """Each name in at most ``NAME_LENGTH`` file-safe characters; names that would be the same (whatever their case) end in a number."""
+    out: dict[str, str] = {}
+    for name in names:
+        safe = re.sub(r"[^\w.-]+", "_", name)
+        short, n, taken = safe[:NAME_LENGTH], 1, {s.lower() for s in out.values()}
+        while short.lower() in taken:
+            n += 1
+            short = f"{safe[: NAME_LENGTH - len(str(n)) - 1]}~{n}"
+        out[name] = short
+    return out
+
+
 def export(tables: Mapping[str, DataFrame], root: str, kind: str = "parquet") -> dict[str, str]:
     """Every table below ``root`` under its (cut) name; returns name -> path."""
-    out = {}
+    out = {name: f"{root}/{short}" for name, short in short_names(tables).items()}
     for name, df in tables.items():
-        short = re.sub(r"[^\w.-]+", "_", name)[:NAME_LENGTH]
         writer = df.write.mode("overwrite")
-        (writer.option("header", True) if kind == "csv" else writer).format(kind).save(f"{root}/{short}")
-        out[name] = f"{root}/{short}"
+        (writer.option("header", True) if kind == "csv" else writer).format(kind).save(out[name])
     return out
