@@ -81,6 +81,38 @@ def test_match_regex_and_unknown(spark):
         M.match(df, values, "other")
 
 
+def test_match_regex_in_blocks(spark):
+    """Many patterns are tested in several blocks with the same result as in one."""
+    patterns = spark.createDataFrame([(i, f"^v{i}$|x{i % 7}y") for i in range(60)], "id long, value string")
+    values = spark.createDataFrame([(i, f"v{i}") for i in range(80)] + [(100 + i, f"a x{i}y") for i in range(7)], "id long, value string")
+    one, many = (sorted(map(tuple, M.match(patterns, values, "regex", block=n).collect())) for n in (1000, 9))
+    assert one == many and len(one) == 120
+
+
+@pytest.mark.parametrize("t", [0.6, 0.75])
+def test_seqratio_of_a_table(spark, sf_dir, t):
+    """The names of all parts, and odd ones, against each other: all pairs by brute force."""
+    names = [r["p_name"] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct().collect()] + ["", "a", "ÄÖ ÄÖ", "a" * 300, "İstanbul", "😀 part", "ALMOND Antique"]
+    df = spark.createDataFrame([(n, n) for n in names], "id string, value string")
+    got = {(r["left_id"], r["right_id"]): r["score"] for r in M.match(df, df, "seqratio", threshold=t).collect()}
+    ratio = lambda a, b: SequenceMatcher(None, a.strip().lower(), b.strip().lower()).ratio()
+    assert got == pytest.approx({(a, b): r for a in names for b in names if (r := ratio(a, b)) >= t})
+
+
+def test_recommendation_of_documented_profiles(spark):
+    """The published profiles of frameworks; where the tree says "2 or 3" the profiles decide, and one that the tree cannot reach (rare, without versioned chains) falls to 1."""
+    rows = [
+        ("800-53", "ad_hoc", "managed", "immutable", "structured_incomplete", "conservative", "incremental", "soft_delete", "submission_based", 3), ("CSF", "ad_hoc", "managed", "additive", "structured_incomplete", "conservative", "major", "soft_delete", "submission_based", 2),
+        ("CIS", "ad_hoc", "unrestricted", "evolving", "prose_only", "radical", "incremental", "none", "delegated", 1), ("ATTACK", "biannual", "rare", "evolving", "structured_complete", "dynamic", "none", "versioned_chain", "self_maintained", 4),
+        ("D3FEND", "continuous", "managed", "immutable", "structured_incomplete", "frozen", "none", "soft_delete", "self_maintained", 3), ("ENGAGE", "ad_hoc", "rare", "immutable", "structured_incomplete", "frozen", "none", "soft_delete", "delegated", 1),
+        ("stable", "annual", "forbidden", "unstable", "structured_complete", "frozen", "none", "none", "delegated", 6),
+    ]
+    names = ["id", "release_cadence", "breaking_change_policy", "id_stability", "changelog_format", "hierarchy_stability", "scope_expansion", "deprecation_mechanism", "crosswalk_maintenance", "want"]
+    got = V.recommend(spark.createDataFrame(rows, names)).collect()
+    assert all(r["valid"] and r["scd_type"] == r["want"] for r in got)
+    assert not V.recommend(spark.createDataFrame([("x", None, *rows[0][2:])], ", ".join(f"{n} {'int' if n == 'want' else 'string'}" for n in names))).first()["valid"]
+
+
 def test_nearest_ties(spark):
     left = spark.createDataFrame([("q", "a b"), ("none", "zz")], "id string, value string")
     right = spark.createDataFrame([("a c",), ("a d",)], "value string")
