@@ -444,6 +444,10 @@ def test_decontamination_query(spark, sf_dir, documents):
     exact = {(i, k) for i, d in documents.items() for k, x in items.items() if x.count(" ") >= 7 and x in o7.normal(d["text"])}
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in o7.op7_decontamination(spark, sf_dir).collect()}
     assert exact == {k for k, d in got.items() if d == 0} and exact
+    for k in sorted(items)[::8]:  # every document against some items, without pieces and windows
+        pattern, most = o7.Pattern(items[k]), o7.budget(len(items[k]))
+        near = {i: d for i, doc in documents.items() if (d := pattern.least(o7.normal(doc["text"]))[0]) <= most}
+        assert near == {i: d for (i, item), d in got.items() if item == k}
 
 
 # --- 8 -------------------------------------------------------------------------------------------
@@ -484,6 +488,37 @@ def test_quality_held_out(spark, sf_dir):
     assert np.mean([r["predicted"] == r["quality"] for r in held]) >= 0.95
 
 
+def test_pairs_reach_the_least_loss():
+    """The weights minimise the penalised logistic loss of feature differences; the threshold is the quantile at the share of label 0."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(300) < 0.7).astype(int)
+    x = rng.normal(size=(300, 6)) + y[:, None] * np.array([1.0, -0.5, 0, 0, 2.0, 0.1])
+    m = o9.fit_pairs(x, y, n_pairs=4000, seed=3)
+    z = np.clip((x - m.mean) / m.scale, -8, 8)
+    draw = np.random.default_rng(3)
+    d = z[draw.choice(np.flatnonzero(y == 1), 4000)] - z[draw.choice(np.flatnonzero(y == 0), 4000)]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + o9.PENALTY * w @ w
+    steps = [m.weights + e for e in (*np.eye(6) * 1e-3, *np.eye(6) * -1e-3)]
+    assert all(loss(m.weights) < loss(w) for w in steps)
+    assert np.mean(m.strengths(x) < m.middle) == pytest.approx(np.mean(y == 0), abs=0.01)
+    assert ((m.scores(x) >= o9.CUT) == (m.strengths(x) >= m.middle - 1e-9)).all()
+
+
+def test_quality_query_is_the_model(spark, sf_dir, documents):
+    """Scores are the model's of each whole text, whatever its place in the table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = o9.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    for r in o9.op9_quality_scores(spark, sf_dir).collect():
+        assert r["score"] == pytest.approx(float(model.scores(np.array([o9.features(documents[r["doc_id"]]["text"])]))[0]))
+
+
+def test_labels_that_are_none(spark):
+    """0.7 is no label, nor is 7; ids with several labels take the least."""
+    docs = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0.7 if i % 2 else 7.0) for i in range(40)], "doc_id long, quality double")
+    assert o9.fit(docs, labels) is None
+
+
 def test_quality_odd(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     kept = o9.keep_good(spark, odd, none)
@@ -547,6 +582,21 @@ def test_secret_query(spark, sf_dir, documents):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex")]
 
 
+def test_added_spans_are_brute_force(spark):
+    """All candidates of all texts under models that are fitted here, from the same values in one pass."""
+    rnd = random.Random(14)
+    make = lambda: "tk_" + "".join(rnd.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(20))
+    words = ["ordinary", "Sentences", "without", "anything", "particular", "2024-01-05", "www.example.org", "some_name", "v1.2.3"]
+    texts = {i: " ".join([*rnd.choices(words, k=9), *([f"token={make()}"] if i % 2 else []), *([make()] if i % 5 == 0 else []), *([make()[:-1]] if i % 7 == 0 else [])]) for i in range(120)}
+    found = {i: o10.base_spans(t) for i, t in texts.items()}
+    values = {kind: sorted({v for spans in found.values() for k, *_, v in spans if k == kind}, key=lambda v: (o10._hash(v), v))[: o10.SAMPLE] for kind, *_ in o10.BASE}
+    ordinary = sorted({w for t in texts.values() for w in o10._ORDINARY.findall(t)}, key=lambda v: (o10._hash(v), v))[: o10.SAMPLE]
+    grammar = o10.grammar_of(values, ordinary)
+    want = {i: [(a, b) for a, b, v in o10.candidate_spans(t, found[i]) if grammar.accepts(v)] for i, t in texts.items()}
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in o10.find_secrets(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want and sum(map(len, want.values())) >= 20 and not any(len(texts[i][a:b]) != 23 for i, spans in want.items() for a, b in spans)
+
+
 def test_secrets_added(spark, odd):
     rnd = random.Random(10)
     make = lambda: "".join(rnd.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24))
