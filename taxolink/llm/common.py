@@ -67,13 +67,13 @@ def join_hot(spark: SparkSession, left: DataFrame, right: DataFrame, on: list[st
 
     Keys of more than one in ``HOT_KEYS`` rows are joined by broadcast, of about ``HOT_KEYS`` rows of ``right`` at most; rows with a null key go with
     them; all others are joined by shuffle.  Keys are told by their hashes, which come to the driver.  ``counts(*on, n)`` has the number of rows of each
-    key, or at least of each hot one; both sides are read more than once and should be tables.
+    key, or of some keys, all hot ones among them; all three are read more than once and should be tables.
     """
     if counts is None:
         counts = left.groupBy(*on).agg(F.count("*").alias("n"))
     set_ = F.expr(" and ".join(f"`{c}` is not null" for c in on))
-    limit = max(1, left.count() // HOT_KEYS)
-    hot = [r["h"] for r in counts.where((F.col("n") > limit) & set_).select(F.xxhash64(*on).alias("h")).distinct().collect()]
+    limit = F.greatest(F.lit(1), F.floor(counts.agg(F.sum("n")).scalar() / HOT_KEYS))  # so there are fewer than ``HOT_KEYS`` above it
+    hot = [r["h"] for r in counts.where((F.col("n") > limit) & set_).select(F.xxhash64(*on).alias("h")).collect()]
     if not hot and how == "inner":
         return left.join(right, on)
     apart = set_ & F.expr(f"xxhash64({', '.join(f'`{c}`' for c in on)}) in ({', '.join(map(str, hot)) or 'null'})")
@@ -112,7 +112,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     def settled(e: DataFrame) -> bool:
         """Whether every larger node has one edge, and to a node that has none of its own."""
-        return e.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").isEmpty() and e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
+        several = e.groupBy("u").agg(F.count("*").alias("c")).where("c > 1").select("u")
+        return several.unionByName(e.join(e.select(F.col("v").alias("u")), "u", "left_semi").select("u")).isEmpty()
 
     start = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     out = staged(spark, start, "edges")

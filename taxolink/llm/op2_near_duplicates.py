@@ -21,7 +21,7 @@ How it runs at scale:
   products of 0/1 matrices over full sets, which return links only.
 * A pair must also pass a test on a few bits of all coordinates of both sketches, the same one for pairs of every kind; in joins
   it stands inside the join, so pairs that only share a passage are never made.
-* What moves: 16-byte digests and band values per document; texts move once, and only candidates' are turned into sets of hashes.  A leader's set
+* What moves: 16-byte digests and band values per document; texts move once, to become the sets of those that share a bucket at all.  A leader's set
   moves once per ``GROUP`` of its members, not once per pair.  Hot buckets, leaders, classes and components are joined apart (``join_hot``).
 
 A pair at similarity s is proposed unless all 32 bands miss: (1 - s^5)^32, 3e-6 at 0.8 and 7e-9 at 0.85; the test
@@ -187,8 +187,8 @@ def set_table(spark: SparkSession, docs: DataFrame, classes: DataFrame, nodes: D
     return staged(spark, texts.mapInArrow(run, "node long, items binary"), "sets")
 
 
-def verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The ``pairs(u, v)`` whose full sets of shingles reach the threshold.
+def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The ``pairs(u, v, c)`` whose full sets of shingles reach the threshold; ``u`` has about ``c`` pairs.
 
     Pairs of one ``u`` come together in groups of about ``GROUP``, with the set of ``u`` once, ahead of those of each ``v``.
     """
@@ -208,13 +208,11 @@ def verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, threshold:
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    many = staged(spark, pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > GROUP), "many")
-    cut = join_hot(spark, pairs, many.withColumnRenamed("n", "c"), ["u"], "left", many)
-    part = F.coalesce(F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / GROUP)), F.lit(0)).cast("int")
-    parted = staged(spark, cut.select("u", part.alias("part"), "v"), "parted")
-    followers = parted.join(sets.withColumnRenamed("node", "v"), "v").select("u", "part", "v", "items")
-    heads = parted.select("u", "part").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", "part", F.lit(None).cast("long").alias("v"), "items")
-    met = heads.unionByName(followers).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+    parts = F.ceil(F.col("c") / GROUP)
+    parted = pairs.select("u", parts.alias("parts"), F.pmod(F.xxhash64("v"), parts).alias("part"), "v")
+    followers = parted.join(sets.withColumnRenamed("node", "v"), "v").select("u", "parts", "part", "v", "items")
+    heads = parted.select("u", "parts", "part").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", "parts", "part", F.lit(None).cast("long").alias("v"), "items")
+    met = heads.unionByName(followers).repartition("u", "parts", "part").sortWithinPartitions("u", "parts", "part", F.col("v").asc_nulls_first())
     return met.select("u", "v", "items").mapInArrow(run, "u long, v long")
 
 
@@ -286,7 +284,8 @@ def linked_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, wor
     # Who shares most places in buckets is most like all others, so it leads: one leader then links most of a large group.
     of = classes.select("node", "n", "bits").join(shared.groupBy("node").agg(F.sum("c").alias("degree")), "node")
     members = staged(spark, shared.drop("c").join(of, "node"), "members")
-    tested, links, found = None, None, None
+    sets = set_table(spark, docs, classes, members.select("node"), words)
+    tested, found = None, None
 
     def close(a: str, b: str) -> Column:
         """Sizes within the threshold of each other, and sketches no further apart than it allows; a test inside the join."""
@@ -298,25 +297,24 @@ def linked_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, wor
             return members.withColumn("component", F.col("node"))
         return staged(spark, members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "open")
 
-    def test(pairs: DataFrame) -> None:
-        """Verify the untested ``pairs(u, v)``, ``u`` the one of higher degree, and add the links."""
-        nonlocal tested, links
-        pairs = pairs.distinct()
+    def test(pairs: DataFrame) -> DataFrame:
+        """The links among the untested ``pairs(u, v, c)``, ``u`` the one of higher degree."""
+        nonlocal tested
+        pairs = pairs.groupBy("u", "v").agg(F.max("c").alias("c"))
         pairs = staged(spark, pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        if pairs.isEmpty() and links is not None:
-            return
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        sets = set_table(spark, docs, classes, pairs.select(F.explode(F.array("u", "v")).alias("node")), words)
-        new = staged(spark, verified(spark, pairs, sets, threshold), "links")
-        links = new if links is None else links.unionByName(new)
+        tested = pairs.select("u", "v") if tested is None else tested.unionByName(pairs.select("u", "v"))
+        return staged(spark, verified(pairs, sets, threshold), "links")
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The components so far, joined by new ``links(u, v)``."""
+        return components(spark, links if found is None else links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
     for _ in range(STAR_ROUNDS):
         open_ = in_components()
         best = F.max(F.struct("degree", (-F.col("node")).alias("first"), "n", "component", "bits"))
-        leaders = open_.groupBy("key").agg(best.alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        leaders = staged(spark, leaders.select("key", (-F.col("l.first")).alias("u"), F.col("l.n").alias("n2"), F.col("l.bits").alias("bits2"), F.col("l.component").alias("component2")), "leaders")
-        test(join_hot(spark, open_, leaders, ["key"], counts=crowded).where(F.expr("component <> component2") & close("", "2")).select("u", F.col("node").alias("v")))
-        found = components(spark, links)
+        leaders = open_.groupBy("key").agg(best.alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi")
+        leaders = staged(spark, leaders.select("key", "c", (-F.col("l.first")).alias("u"), F.col("l.n").alias("n2"), F.col("l.bits").alias("bits2"), F.col("l.component").alias("component2")), "leaders")
+        found = joined(test(join_hot(spark, open_, leaders, ["key"], counts=crowded).where(F.expr("component <> component2") & close("", "2")).select("u", F.col("node").alias("v"), "c")))
     open_ = in_components()
     prints = (F.bit_xor(F.xxhash64("node")).alias("p1"), F.bit_xor(F.xxhash64(F.lit("b"), "node")).alias("p2"))
     mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.sum("n").alias("items"), *prints).where("lo < hi")
@@ -325,12 +323,11 @@ def linked_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, wor
     small = rest.where(F.col("c") <= SMALL_BUCKET).select("key", "node", "degree", "n", "bits", "component")
     other = small.toDF("key", *(f"{c}2" for c in small.columns[1:]))
     leads = F.expr("degree > degree2 or (degree = degree2 and node < node2)")
-    test(small.join(other, "key").where(leads & (F.col("component") != F.col("component2")) & close("", "2")).select(F.col("node").alias("u"), F.col("node2").alias("v")))
+    links = test(small.join(other, "key").where(leads & (F.col("component") != F.col("component2")) & close("", "2")).select(F.col("node").alias("u"), F.col("node2").alias("v"), F.lit(SMALL_BUCKET).alias("c")))
     large = rest.where(F.col("c") > SMALL_BUCKET)
     if not large.isEmpty():
-        sets = set_table(spark, docs, classes, large.select("node"), words)
         links = links.unionByName(staged(spark, block_links(spark, large, sets, threshold), "links"))
-    return components(spark, links)
+    return joined(links)
 
 
 def grouped(spark: SparkSession, docs: DataFrame, words: int, threshold: int) -> DataFrame:
