@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from taxolink.functions import text as T
 from taxolink.operators import match as M
@@ -45,6 +47,30 @@ def header_pairs(header: Column) -> Column:
     return F.map_from_entries(F.array_distinct(entries))
 
 
+def nested_header(notes: DataFrame, header: str = "header", out: str = "properties") -> DataFrame:
+    """``notes`` with the whole frontmatter header, nested parts and lists included, as JSON; null where there is none or it is no YAML mapping.
+
+    Scalars other than numbers, booleans and nulls become text.  Parsed in Arrow batches by PyYAML, which must be installed where tasks run.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        import yaml
+
+        def parsed(text: str | None) -> str | None:
+            try:
+                got = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) if text else None
+            except yaml.YAMLError:
+                return None
+            return json.dumps(got, default=str, ensure_ascii=False) if isinstance(got, dict) else None
+
+        for batch in batches:
+            yield batch.append_column(out, pa.array(map(parsed, batch.column(header).to_pylist()), pa.string()))
+
+    return notes.mapInArrow(run, StructType([*notes.schema.fields, StructField(out, StringType())]))
+
+
 def broken_links(notes: DataFrame, nodes: DataFrame, key: str = "path", text: str = "text", name: str = "name") -> DataFrame:
     """Links whose target is no known note name."""
     return wikilinks(notes, key, text).join(nodes.select(F.col(name).alias("target")), "target", "left_anti").select(key, "target")

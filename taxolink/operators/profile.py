@@ -142,7 +142,7 @@ def estimate(df: DataFrame, levels: Sequence[str], links: Sequence[str]) -> Data
     items = lambda c: F.coalesce(F.when(F.length(c) > 0, F.size(F.split(c, "[,;]", -1))), F.lit(0))
     n_links = sum((items(F.col(f"`{c}`").cast("string")) for c in links), F.lit(0))
     totals = df.agg(F.count("*").alias("notes"), F.coalesce(F.sum(n_links), F.lit(0)).cast("long").alias("links"))
-    joined = totals.join(folders) if folders is not None else totals.withColumn("folders", F.lit(1))  # one row each
+    joined = totals.withColumn("folders", F.lit(1) if folders is None else folders.scalar())
     return joined.select("notes", F.col("folders").cast("long").alias("folders"), "links")
 
 

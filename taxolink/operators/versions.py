@@ -64,7 +64,7 @@ def strategies(changes: DataFrame, rules: DataFrame) -> DataFrame:
     for i, keys in enumerate(levels):
         rest = [k for k in levels[0] if k not in keys]
         rule = rules.where(" and ".join([f"{k} is not null" for k in keys] + [f"{k} is null" for k in rest])).groupBy(*keys).agg(F.min("strategy").alias(f"_s{i}"))
-        got = got.join(rule, list(keys), "left") if keys else got.crossJoin(F.broadcast(rule.agg(F.min(f"_s{i}").alias(f"_s{i}"))))  # one row
+        got = got.join(rule, list(keys), "left") if keys else got.withColumn(f"_s{i}", F.lit(rule.first()[0]))  # the default is one value
         found.append(f"_s{i}")
     return got.select(*changes.columns, F.coalesce(*found).alias("strategy"))
 

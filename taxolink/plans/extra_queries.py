@@ -129,6 +129,17 @@ def cis_mapping(spark, sf):
     return FW.cis_csf_mapping(sheet)
 
 
+@query("SELECT s_suppkey AS id, s_name AS name, 'N' || s_nationkey || '|x: y' AS tags, s_acctbal > 0 AS solvent FROM supplier")
+def nested_headers(spark, sf):
+    """Headers with nested keys, lists and quoted text, and one that is no YAML."""
+    s = table(spark, sf, "supplier")
+    head = F.concat(F.lit("---\nid: "), "s_suppkey", F.lit("\nmeta:\n  name: \""), "s_name", F.lit('"\n  flags: {solvent: '), (F.col("s_acctbal") > 0).cast("string"), F.lit("}\ntags:\n- N"), "s_nationkey", F.lit('\n- "x: y"\n---\ntext'))
+    notes = s.select(head.alias("text")).unionByName(s.limit(1).select(F.lit("---\na: [\n---\nbroken").alias("text")))
+    got = L.nested_header(L.split_note(notes)).where("properties is not null")
+    p = F.from_json("properties", "struct<id: long, meta: struct<name: string, flags: struct<solvent: boolean>>, tags: array<string>>")
+    return got.select(p["id"].alias("id"), p["meta"]["name"].alias("name"), F.array_join(p["tags"], "|").alias("tags"), p["meta"]["flags"]["solvent"].alias("solvent"))
+
+
 @query("SELECT p_name AS name, max(p_brand || '/' || p_partkey || '/' || p_name || '.md') AS path FROM part WHERE p_size <> 1 GROUP BY p_name")
 def note_index(spark, sf):
     """Of notes with one base name the last path counts; hidden ones do not."""

@@ -109,3 +109,26 @@ def test_deterministic_uuid(spark):
     space = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
     got = one(spark, "AC-1", lambda c: name_id(space, c))
     assert got == str(uuid.uuid5(uuid.UUID(space), "AC-1"))
+
+
+def test_nested_styles(spark):
+    from taxolink.operators import notes as NT
+
+    df = spark.createDataFrame([("a", "b", "c")], "x string, y string, z string")
+    keys = {"x": "meta_name", "y": "meta_kind_of", "z": "plain"}
+    got = df.select(NT.nested(keys, "group_by_prefix").alias("f"), NT.nested(keys).alias("g")).first()
+    assert got["f"].asDict(True) == {"meta": {"name": "a", "kind_of": "b"}, "plain": "c"} and got["g"].asDict() == {"meta_name": "a", "meta_kind_of": "b", "plain": "c"}
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([("a", None)], "x string, y string")
+    assert df.select(T.template("{x}-{y}!", df.columns, double=False).alias("t")).first()["t"] == "a-!"
+    assert df.select(T.template("{{ x }}/{x}", df.columns).alias("t")).first()["t"] == "a/{x}"
+    for double in (True, False):
+        with pytest.raises(ValueError):
+            T.template("{{gone}} {gone}", df.columns, double)
+
+
+@pytest.mark.parametrize("style, want", [("as-is", "Control Family-Name"), ("lowercase", "control family-name"), ("snake_case", "control_family_name"), ("kebab-case", "control-family-name"), ("camelCase", "controlFamilyName")])
+def test_name_styles(style, want):
+    assert N.STYLES[style]("Control Family-Name") == want
