@@ -111,6 +111,24 @@ def test_mix_odd(spark, odd):
     assert {r["source"] for r in o1.mix(spark, odd, weights).select("source").distinct().collect()} <= {"a", None}
 
 
+def test_mix_of_repeated_rows_and_null_ids(spark, tmp_path):
+    """Groups of rows that no id or text tells apart are not taken or left as one; sizes and targets count them; the empty table gives no rows."""
+    rows = [(None, "ten words of one text that many rows do hold", "en", "a", 1)] * 600 + [(7, "the same id and the same text", "en", "b", 1)] * 300 + [(i, "w " * (i % 40 + 1), "en", "c", 1) for i in range(300)] + [(5000, None, None, None, None), (5001, "", "en", "a", 0)]
+    docs_of(spark, rows).withColumn("key", F.lit("k")).withColumn("rate", F.lit(1)).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = o1.op1_mix_sources(spark, f"file://{tmp_path}").collect()
+    assert len(got) == len(rows)
+    size = {"a": 6000, "b": 2100, "c": sum(i % 40 + 1 for i in range(300)), None: 0}
+    want = brute_targets(size, {"a": 1.0, "b": 2.0, "c": 3.0, None: 1.0})
+    taken = defaultdict(int)
+    for r in got:
+        taken[r["source_size"]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    for s in "abc":
+        assert abs(taken[size[s]] - want[s]) <= 40
+    docs_of(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert o1.op1_mix_sources(spark, f"file://{tmp_path}/none").count() == 0
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 
