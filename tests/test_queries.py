@@ -26,3 +26,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 2
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_library_as_one_file(tmp_path):
+    """What is sent to executors can be imported without this folder."""
+    import subprocess
+    import sys
+
+    import __spark_entry__ as e
+
+    code = f"import sys; sys.path.insert(0, {e._shipped()!r}); import taxolink.operators.match as m; assert '.zip' in m.__file__; print(sorted(m.MODES))"
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    assert "seqratio" in subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout
