@@ -4,7 +4,7 @@ Vectors become integers, floor(256 * x), and are dealt evenly into shards.  Each
 medians of its widest dimension down to leaves of ``LEAF`` rows, and every node keeps the tight box of its
 rows.  For a query the largest inner product inside a box is the sum over dimensions of max(q lo, q hi).  Nodes
 are visited best first; the search ends when the next bound is below the k-th score.  Bounds equal to it are
-still visited, so ties go to the smaller id.
+still visited where the node has an id small enough to win the tie, so ties go to the smaller id, and a vector that very many rows share costs little.
 
 The k-th score travels between shards in two rounds: every query first searches one shard, and its k-th score goes with it to all the
 others, where whole subtrees are below it.
@@ -65,7 +65,7 @@ class Tree:
     """A KD-tree over the rows of one shard; ``marks`` tell rows with equal ids apart."""
 
     def __init__(self, ids: np.ndarray, marks: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
-        order, spans, children, lows, highs = np.arange(len(ids)), [], [], [], []
+        order, spans, children, lows, highs, least = np.arange(len(ids)), [], [], [], [], []
 
         def grow(a: int, b: int) -> int:
             node, part = len(spans), rows[order[a:b]]
@@ -73,6 +73,7 @@ class Tree:
             children.append(None)
             lows.append(part.min(axis=0))
             highs.append(part.max(axis=0))
+            least.append(int(ids[order[a:b]].min()))
             if b - a > leaf and rows.shape[1]:
                 dim = int(np.argmax(highs[node] - lows[node]))
                 middle = (b - a) // 2
@@ -82,7 +83,7 @@ class Tree:
 
         grow(0, len(ids))
         self.ids, self.marks, self.rows, self.spans, self.children = ids[order], marks[order], rows[order], spans, children
-        self.low, self.high = np.stack(lows), np.stack(highs)
+        self.low, self.high, self.least = np.stack(lows), np.stack(highs), least
 
     def search(self, queries: list[tuple[int, int | None]], vectors: np.ndarray, k: int) -> Iterator[list[tuple[int, int]]]:
         """For each query, as ``(mark, k-th score known so far or None)``, the best ``(score, vec_id)`` of this shard that can still count."""
@@ -96,6 +97,8 @@ class Tree:
             todo = [(-bound[0], 0)]
             while todo and -todo[0][0] >= floor:
                 node = heapq.heappop(todo)[1]
+                if len(best) == k and (bound[node], -self.least[node]) <= best[0]:
+                    continue  # at best as good as the worst of the best, and no smaller id
                 if self.children[node]:
                     for child in self.children[node]:
                         if bound[child] >= floor:
