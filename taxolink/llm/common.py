@@ -33,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's own tables go, below the shared folder."""
+    return f"{shared_dir(spark)}/taxolink-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this application has written so far; for callers that need no DataFrame made from them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """``name``, with underscores until no column of the tables has it."""
     taken = {c.lower() for df in tables for c in df.columns}
@@ -43,7 +54,7 @@ def unused(name: str, *tables: DataFrame) -> str:
 
 def staged(spark: SparkSession, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage is cut, and a lost executor costs nothing."""
-    path = f"{shared_dir(spark)}/taxolink-{uuid.uuid4().hex}/{name}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxolink.llm.common import BROADCAST_ROWS, join_hot, shared_dir, small_batches, staged, table
+from taxolink.llm.common import BROADCAST_ROWS, join_hot, scratch_dir, small_batches, staged, table
 from taxolink.llm.op3_token_files import tokenizer_path
 from taxolink.llm.tokens import ByteCounts, opened
 
@@ -88,7 +88,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, cache: st
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts with an empty cache of its own and counts twice: the first pass encodes all distinct texts, the second finds them all in the cache."""
-    cache = f"{shared_dir(spark)}/taxolink-{uuid.uuid4().hex}/token_counts"
+    cache = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/token_counts"
     docs, tokenizer = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json")
     add_missing(spark, docs, keyed(spark, docs, "doc_id", "text")[1], tokenizer, cache)
     return count_tokens(spark, docs, tokenizer, cache).withColumn("over_limit", F.col("n_tokens") > LIMIT)

@@ -23,7 +23,7 @@ from taxolink.llm import op7_decontamination as o7
 from taxolink.llm import op8_exact_top_k as o8
 from taxolink.llm import op9_quality as o9
 from taxolink.llm import op10_secrets as o10
-from taxolink.llm import queries, tokens
+from taxolink.llm import common, queries, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Nulls in every column, empty and long texts, repeated rows and ids, and columns with names that operators use inside.
@@ -47,6 +47,27 @@ def documents(spark, sf_dir):
     return {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_of_hot_keys(spark, monkeypatch, how):
+    """Hot, null and other keys of one and two columns, with and without partners, give what a plain join gives."""
+    monkeypatch.setattr(common, "HOT_KEYS", 50)
+    left = common.staged(spark, spark.range(3000).select(F.when(F.col("id") % 3 == 0, 8).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 900).cast("long").alias("a"), (F.col("id") % 2).alias("b"), "id"), "left")
+    right = common.staged(spark, spark.range(0, 900, 2).select(F.col("id").alias("a"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("b"), (F.col("id") * 2).alias("v")), "right")
+    got, want = common.join_hot(spark, left, right, ["a", "b"], how), left.join(right, ["a", "b"], how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    one = right.where("b = 0").drop("b")
+    assert sorted(map(str, common.join_hot(spark, left, one, ["a"], how).collect())) == sorted(map(str, left.join(one, ["a"], how).collect()))
+
+
+def test_components_are_brute_force(spark):
+    """A long chain, a hub with a large number, stars and repeated edges."""
+    rnd = random.Random(15)
+    edges = [(i, i + 1) for i in range(60)] + [(999, 100 + i) for i in range(80)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(110)] + [(5, 5), (6, 5), (6, 5)]
+    got = {r["node"]: r["component"] for r in common.components(spark, spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = brute_components({x for e in edges for x in e}, edges)
+    assert got == {n: c for n, c in want.items() if any(n in e for e in edges if e[0] != e[1])}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows_as_sql(spark, sf_dir, name):
     assert compare.difference(queries.queries()[name](spark, sf_dir), compare.connect(sf_dir), queries.oracle_sql()[name]) == ""
