@@ -53,7 +53,7 @@ STAR_ROUNDS = 1
 #: Buckets of so many members are paired in a join; larger ones in blocks of so many members and set items.  Results do not hang on it.
 SMALL_BUCKET, BLOCK_MEMBERS, BLOCK_ITEMS = 32, 256, 200_000
 #: Members that meet their leader in one group.
-GROUP = 128
+GROUP = 32
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 ORACLE_SQL = r"""
