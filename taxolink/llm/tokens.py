@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of one worker's memo, about, and what an entry costs beside its text and value.
-MEMO_BYTES, ENTRY_BYTES = 96 << 20, 200
+MEMO_BYTES, ENTRY_BYTES = 192 << 20, 200
 #: Words given to the library in one text.
 JOINED = 256
 #: White space, visible ASCII, and letters and marks of Latin, Cyrillic, CJK and Hangul that have been in Unicode unchanged for
