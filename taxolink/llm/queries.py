@@ -16,6 +16,7 @@ MODULES = {
     "op8_exact_top_k": "op8_exact_top_k",
     "op9_quality_scores": "op9_quality",
     "op10_secret_scan": "op10_secrets",
+    "op13_periodic_runs": "op13_periodic_runs",
 }
 
 
