@@ -16,6 +16,8 @@ MODULES = {
     "op8_exact_top_k": "op8_exact_top_k",
     "op9_quality_scores": "op9_quality",
     "op10_secret_scan": "op10_secrets",
+    "op11_collocations": "op11_collocations",
+    "op12_piece_codec": "op12_pieces",
     "op13_periodic_runs": "op13_periodic_runs",
 }
 
