@@ -7,11 +7,11 @@ once, which gives the counts of all its extensions.  Counts are summed across sh
 
 Few phrases are frequent, but each shard sees only its own counts.  So phrases are counted level by level, and a phrase of k words is extended only if it, and
 its other part of k words, may be frequent: shards send each phrase as a 32-bit key of one of ``parts`` tables with its count, keys whose counts sum to less than the
-threshold cannot be frequent, and the others come back as a bit filter of ``FILTER_BITS``.  Equal keys of different phrases and full filters only let more phrases
+threshold cannot be frequent, and the others come back as a bit filter of ``FILTER_BITS`` at most.  Equal keys of different phrases and full filters only let more phrases
 through; the last pass sends the phrases that are left as texts, and their exact sums decide.
 
 How it runs at scale: the texts are read once, the indexes, about as large as the texts, are written to the shared folder and read once per level.  What moves are keys and
-counts, packed by table, never texts.  The driver holds one filter of 16 MB per level, whatever the data; memory of a task grows with one shard or with
+counts, packed by table, never texts.  The driver holds one filter per level, of 16 MB at most, whatever the data; memory of a task grows with one shard or with
 one text where that is longer.  Phrases meet the counts of their parts in ``join_hot``, as many begin with the same word.
 
 A null language is ``und``, null and empty texts have no words, texts are read whole and a long one may span shards, repeated rows and ids count again, an empty table
@@ -35,8 +35,8 @@ from taxolink.llm.common import broadcast_if_small, join_hot, small_batches, sta
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Symbols of a shard, about.
 SHARD = 1 << 21
-#: Bits of the filter of one level.
-FILTER_BITS = 1 << 27
+#: Bits of a level's filter: for each frequent key, and at most in all.
+BITS_PER_KEY, FILTER_BITS = 32, 1 << 27
 #: Keys of one table, about, and the most tables.
 PART_KEYS, MOST_PARTS = 4_000_000, 8192
 #: Parts of a language that are ranked apart before they meet.
@@ -241,7 +241,7 @@ def over_shards(found: DataFrame, schema: str, kind: pa.Schema, run: Callable[[S
     return found.mapInArrow(each, schema)
 
 
-def may_be_frequent(found: DataFrame, filters: list, k: int, parts: int, least: int) -> np.ndarray:
+def may_be_frequent(spark: SparkSession, found: DataFrame, filters: list, k: int, parts: int, least: int) -> np.ndarray:
     """The bits of the keys of ``k`` words whose counts sum to ``least`` or more."""
 
     def counted(shard: Shard) -> dict:
@@ -257,10 +257,11 @@ def may_be_frequent(found: DataFrame, filters: list, k: int, parts: int, least:
     packed = over_shards(found, "part int, key array<int>, n array<int>", kind, counted)
     # Rows are dealt by table, which is enough for the sums by table and key.
     each = packed.repartition("part").select("part", F.explode(F.arrays_zip("key", "n")).alias("e")).select("part", "e.key", "e.n")
-    sums = each.groupBy("part", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    bit = sums.select(F.expr(f"pmod(key + part * {_SPREAD}L, {FILTER_BITS}L)").alias("bit"))
+    sums = staged(spark, each.groupBy("part", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("part", "key"), "frequent")
+    size = min(FILTER_BITS, 1 << (64 + BITS_PER_KEY * sums.count()).bit_length())
+    bit = sums.select(F.expr(f"pmod(key + part * {_SPREAD}L, {size}L)").alias("bit"))
     words = bit.groupBy((F.col("bit") / 64).cast("long").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -271,7 +272,7 @@ def phrase_counts(spark: SparkSession, found: DataFrame, least: int = LEAST, lon
     parts = int(min(MOST_PARTS, max(32, n // 4 // PART_KEYS)))
     filters = []
     for k in range(1, longest + 1):
-        bits = may_be_frequent(found, filters, k, parts, least)
+        bits = may_be_frequent(spark, found, filters, k, parts, least)
         filters.append(spark.sparkContext.broadcast(Filter(bits, parts)))
         if not bits.any():
             break
