@@ -1,16 +1,16 @@
 """Operator 11, phrase collocations by FM-indexes over words.
 
-Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and the words of a few million neighbouring pieces make one shard.  A shard's
-FM-index has the last-to-first mapping of its word ids and that of the reversed word ids, sorted as deep as phrases get.  A phrase is a pair of
-intervals, one in each; it is extended by one word to the left through the first and to the right through the second, for all phrases at
-once, which gives the counts of all its extensions.  Counts are summed across shards.
+Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and the words of about a million neighbouring symbols make one shard.  A shard's
+FM-index is the last-to-first mapping of its word ids, sorted as deep as phrases get.  A phrase is an interval of rows.  It is extended by one word to the left
+through the mapping and to the right through its inverse, for all phrases at once, which gives the counts of all extensions on either side; phrases grow in both
+directions in turn.  (The inverse splits an interval as a second index of the reversed words would, so there is none.)  Counts are summed across shards.
 
 Few phrases are frequent, but each shard sees only its own counts.  So phrases are counted level by level, and a phrase of k words is extended only if it, and
 its other part of k words, may be frequent: shards send each phrase as a 32-bit key of one of ``parts`` tables with its count, keys whose counts sum to less than the
 threshold cannot be frequent, and the others come back as a bit filter of ``FILTER_BITS`` at most.  Equal keys of different phrases and full filters only let more phrases
 through; the last pass sends the phrases that are left as texts, and their exact sums decide.
 
-How it runs at scale: the texts are read once, the indexes, about as large as the texts, are written to the shared folder and read once per level.  What moves are keys and
+How it runs at scale: the texts are read once, the indexes, 4 bytes a word and each shard's words, are written to the shared folder and read once per level.  What moves are keys and
 counts, packed by table, never texts.  The driver holds one filter per level, of 16 MB at most, whatever the data; memory of a task grows with one shard or with
 one text where that is longer.  Phrases meet the counts of their parts in ``join_hot``, as many begin with the same word.
 
@@ -34,7 +34,7 @@ from taxolink.llm.common import broadcast_if_small, join_hot, small_batches, sta
 #: The least count of a phrase, its most words, and the phrases returned per language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Symbols of a shard, about.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Bits of a level's filter: for each frequent key, and at most in all.
 BITS_PER_KEY, FILTER_BITS = 32, 1 << 27
 #: Keys of one table, about, and the most tables.
@@ -45,7 +45,7 @@ PIECES_OF_LANG = 64
 #: What ends a piece becomes a byte that no text has.
 _END = b"\xff"
 _CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _END * 10)
-INDEX = "langs array<string>, n_words array<long>, words array<binary>, lang array<int>, counts binary, lf binary, reverse_lf binary"
+INDEX = "langs array<string>, n_words array<long>, words binary, lang binary, hashes binary, counts binary, lf binary"
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)  # odd multipliers of the phrase hash
 _SPREAD = 40503  # keys of different tables fall on different bits
 
@@ -59,7 +59,7 @@ def pieces(text: str) -> list[bytes]:
 
 
 def last_to_first(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """The last-to-first mapping of the rotations of ``symbols``, sorted by ``depth`` symbols at least."""
+    """For each rotation of ``symbols``, in an order by ``depth`` symbols at least, the place of the one that begins a symbol earlier."""
     n, rank, known = len(symbols), symbols.astype(np.int64), 1
     while True:
         key = rank * (n + 1) + np.roll(rank, -known)
@@ -71,18 +71,20 @@ def last_to_first(symbols: np.ndarray, depth: int) -> np.ndarray:
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new) - 1
-    before = symbols[order - 1].astype(np.int64)
-    lf = np.empty(n, np.int32)
-    lf[np.argsort(before * n + np.arange(n))] = np.arange(n, dtype=np.int32)
-    return lf
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    return place[order - 1]
 
 
 def build(symbols: np.ndarray, vocabulary: list[tuple[int, bytes]], langs: list[str], n_words: Sequence[int], depth: int) -> dict:
     """The row of one shard; symbol 0 ends pieces, symbol i is ``vocabulary[i - 1]`` (language, word)."""
-    counts = np.bincount(symbols, minlength=len(vocabulary) + 1).astype(np.int32)
+    import xxhash
+
+    seeds = [xxhash.xxh64_intdigest(lang) for lang in langs]
     return {
-        "langs": langs, "n_words": list(n_words), "words": [w for _, w in vocabulary], "lang": [k for k, _ in vocabulary],
-        "counts": counts.tobytes(), "lf": last_to_first(symbols, depth).tobytes(), "reverse_lf": last_to_first(symbols[::-1], depth).tobytes(),
+        "langs": langs, "n_words": list(n_words), "words": b" ".join([w for _, w in vocabulary]), "lang": np.array([k for k, _ in vocabulary], np.int32).tobytes(),
+        "hashes": np.array([0, *(xxhash.xxh64_intdigest(w, seed=seeds[k]) for k, w in vocabulary)], np.uint64).tobytes(),
+        "counts": np.bincount(symbols, minlength=len(vocabulary) + 1).astype(np.int32).tobytes(), "lf": last_to_first(symbols, depth).tobytes(),
     }
 
 
@@ -124,72 +126,81 @@ class Shard:
     """One row of the index, with the phrases found so far."""
 
     def __init__(self, row: dict):
-        import xxhash
-
-        self.langs, self.words, self.lang = row["langs"], row["words"], row["lang"]
-        self.counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
-        self.lf, self.reverse_lf = (np.frombuffer(row[c], np.int32) for c in ("lf", "reverse_lf"))
-        self.symbol = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)  # the first symbol of each rotation, in order
-        seeds = [xxhash.xxh64_intdigest(lang) for lang in self.langs]
-        self.hash = np.array([0, *(xxhash.xxh64_intdigest(w, seed=seeds[k]) for w, k in zip(self.words, self.lang, strict=True))], np.uint64)
+        self.row = row
+        self.counts, self.hash = np.frombuffer(row["counts"], np.int32).astype(np.int64), np.frombuffer(row["hashes"], np.uint64)
+        if "lf" in row:
+            self.lf = np.frombuffer(row["lf"], np.int32)
+            self.next = np.empty(len(self.lf), np.int32)  # the place of the rotation that begins a symbol later
+            self.next[self.lf] = np.arange(len(self.lf), dtype=np.int32)
+            self.symbol = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)  # the first symbol of each rotation, in order
+
+    def spelled(self, p: Phrases) -> tuple[list[str], list[str]]:
+        """The language and text of each phrase."""
+        words, lang = self.row["words"].split(b" "), np.frombuffer(self.row["lang"], np.int32)
+        return [self.row["langs"][k] for k in lang[p.words[:, 0] - 1].tolist()], [b" ".join([words[i - 1] for i in r]).decode() for r in p.words.tolist()]
 
     def level_one(self) -> Phrases:
-        symbols = np.arange(1, len(self.counts))
-        first = np.cumsum(self.counts)[:-1]
         h = self.hash[1:]
         none = np.zeros(len(h), np.uint64)
-        return Phrases(symbols[:, None], first, first, self.counts[1:], h, none, none)
-
-    def _extensions(self, lf: np.ndarray, lo: np.ndarray, other: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-        """``(phrase, symbol, lo, other, size)`` of all one-word extensions in the direction of ``lf``; both intervals of each phrase go along."""
-        which = np.repeat(np.arange(len(lo)), size)
-        begin = np.cumsum(size) - size
-        to = lf[np.arange(len(which)) - begin[which] + lo[which]].astype(np.int64)
-        key = which * len(self.counts) + self.symbol[to]
-        order = np.argsort(key, kind="stable")  # of equal symbols the first one maps first
-        key = key[order]
-        new = np.flatnonzero(np.append([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        which, symbol = np.divmod(key[new], len(self.counts))
-        return which, symbol, to[order[new]], other[which] + new - begin[which], np.diff(np.append(new, len(key)))
+        return Phrases(np.arange(1, len(self.counts), dtype=np.int32)[:, None], np.cumsum(self.counts)[:-1], self.counts[1:], h, none, none)
 
     def extended(self, p: Phrases, left: bool, filter_: Filter) -> Phrases:
         """All phrases longer by one word whose two shorter parts pass ``filter_``, which all of ``p`` do."""
-        here, there, lf = (p.lo, p.reverse_lo, self.lf) if left else (p.reverse_lo, p.lo, self.reverse_lf)
-        which, symbol, lo, other, size = self._extensions(lf, here, there, p.size)
         k = p.words.shape[1]
-        h, full = self.hash[symbol], p.full[which]
-        power = np.uint64(pow(int(_STEP), k, 1 << 64))
+        begin = np.cumsum(p.size) - p.size
+        which = np.repeat(np.arange(len(p.size), dtype=np.int32), p.size)
+        row = np.arange(len(which)) + np.repeat(p.lo - begin, p.size)
+        if left:  # the mapping leads to rotations that begin with the new word; equal ones lie together
+            to = self.lf[row]
+            word = self.symbol[to]
+            order = np.argsort(which.astype(np.int64) * len(self.counts) + word)
+            which, word, row = which[order], word[order], to[order]
+        else:  # the interval's rows are ordered by the word that follows the phrase
+            behind = row
+            for _ in range(k):
+                behind = self.next[behind]
+            word = self.symbol[behind]
+        if not len(row):
+            return p.where(np.zeros(0, np.int64)).longer()
+        new = np.ones(len(row), bool)
+        new[1:] = (which[1:] != which[:-1]) | (word[1:] != word[:-1])
+        new = np.flatnonzero(new)
+        lo, size = np.minimum.reduceat(row, new).astype(np.int64), np.diff(np.append(new, len(row)))
+        which, word = which[new], word[new]
+        h, full = self.hash[word], p.full[which]
         if left:
             part = h * np.uint64(pow(int(_STEP), k - 1, 1 << 64)) + p.head[which]
-            new = h * power + full, part, full
+            hashes = h * np.uint64(pow(int(_STEP), k, 1 << 64)) + full, part, full
         else:
             part = p.tail[which] * _STEP + h
-            new = full * _STEP + h, full, part
-        ok = np.flatnonzero((symbol > 0) & filter_.passes(part))
-        words = p.words[which[ok]]
-        column = symbol[ok][:, None]
-        lo, other = (lo, other) if left else (other, lo)
-        return Phrases(np.hstack([column, words] if left else [words, column]), lo[ok], other[ok], size[ok], *(x[ok] for x in new))
+            hashes = full * _STEP + h, full, part
+        ok = np.flatnonzero((word > 0) & filter_.passes(part))
+        words, column = p.words[which[ok]], word[ok][:, None]
+        return Phrases(np.hstack([column, words] if left else [words, column]), lo[ok], size[ok], *(x[ok] for x in hashes))
 
     def phrases(self, filters: list[Filter], levels: int) -> Iterator[Phrases]:
         """Phrases of 1, 2, ... ``levels`` words; those of k words pass the first k filters, as far as there are so many."""
         got = self.level_one()
         for k in range(1, levels + 1):
             if k > 1:
-                got = self.extended(got, k % 2 == 0, filters[k - 2])  # to the left and to the right in turn
+                got = self.extended(got, k % 2 == 1, filters[k - 2])  # to the right and to the left in turn
             if k <= len(filters):
                 got = got.where(filters[k - 1].passes(got.full))
             yield got
 
 
 class Phrases:
-    """Phrases of one length: their words, intervals, sizes, and the hashes of the whole, without the last and without the first word."""
+    """Phrases of one length: their words, intervals, and the hashes of the whole, without the last and without the first word."""
 
-    def __init__(self, words, lo, reverse_lo, size, full, head, tail):
-        self.words, self.lo, self.reverse_lo, self.size, self.full, self.head, self.tail = words, lo, reverse_lo, size, full, head, tail
+    def __init__(self, words, lo, size, full, head, tail):
+        self.words, self.lo, self.size, self.full, self.head, self.tail = words, lo, size, full, head, tail
 
     def where(self, ok: np.ndarray) -> Phrases:
-        return Phrases(*(x[ok] for x in (self.words, self.lo, self.reverse_lo, self.size, self.full, self.head, self.tail)))
+        return Phrases(*(x[ok] for x in (self.words, self.lo, self.size, self.full, self.head, self.tail)))
+
+    def longer(self) -> Phrases:
+        """None of these, but with a word more."""
+        return Phrases(np.zeros((0, self.words.shape[1] + 1), np.int32), self.lo, self.size, self.full, self.head, self.tail)
 
 
 def keys(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +228,7 @@ class Filter:
 def index(spark: SparkSession, docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, size: int = SHARD) -> DataFrame:
     """The shards' indexes, one row per shard, written."""
     small_batches(spark)
-    kind = pa.schema([("langs", pa.list_(pa.string())), ("n_words", pa.list_(pa.int64())), ("words", pa.list_(pa.binary())), ("lang", pa.list_(pa.int32())), ("counts", pa.binary()), ("lf", pa.binary()), ("reverse_lf", pa.binary())])
+    kind = pa.schema([("langs", pa.list_(pa.string())), ("n_words", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("words", "lang", "hashes", "counts", "lf"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((lang, text) for b in batches for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if text)
@@ -247,14 +258,14 @@ def may_be_frequent(spark: SparkSession, found: DataFrame, filters: list, k: int
     def counted(shard: Shard) -> dict:
         *_, p = shard.phrases([f.value for f in filters], k)
         part, key = keys(p.full, parts)
-        order = np.lexsort((key, part))
+        order = np.argsort(part << 32 | key.view(np.uint32))
         part, key, n = part[order], key[order], p.size[order].astype(np.int32)
         own = np.unique(part)
         cuts = np.append(np.searchsorted(part, own), len(part)).astype(np.int32)
         return {"part": pa.array(own, pa.int32()), "key": pa.ListArray.from_arrays(cuts, pa.array(key, pa.int32())), "n": pa.ListArray.from_arrays(cuts, pa.array(n, pa.int32()))}
 
     kind = pa.schema([("part", pa.int32()), ("key", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
-    packed = over_shards(found, "part int, key array<int>, n array<int>", kind, counted)
+    packed = over_shards(found.select("hashes", "counts", *(["lf"] if k > 1 else [])), "part int, key array<int>, n array<int>", kind, counted)
     # Rows are dealt by table, which is enough for the sums by table and key.
     each = packed.repartition("part").select("part", F.explode(F.arrays_zip("key", "n")).alias("e")).select("part", "e.key", "e.n")
     sums = staged(spark, each.groupBy("part", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("part", "key"), "frequent")
@@ -280,11 +291,8 @@ def phrase_counts(spark: SparkSession, found: DataFrame, least: int = LEAST, lon
     def spelled(shard: Shard) -> dict:
         lang, size, phrase, f = [], [], [], []
         for p in shard.phrases([x.value for x in filters], len(filters)):
-            rows = p.words.tolist()
-            lang += [shard.langs[shard.lang[r[0] - 1]] for r in rows]
-            phrase += [b" ".join([shard.words[i - 1] for i in r]).decode() for r in rows]
-            size += [p.words.shape[1]] * len(rows)
-            f += p.size.tolist()
+            langs, texts = shard.spelled(p)
+            lang, phrase, size, f = lang + langs, phrase + texts, size + [p.words.shape[1]] * len(texts), f + p.size.tolist()
         return {"lang": lang, "k": size, "phrase": phrase, "f": f}
 
     kind = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
