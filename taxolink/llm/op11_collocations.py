@@ -1,6 +1,6 @@
 """Operator 11, phrase collocations by FM-indexes over words.
 
-Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and the words of about a million neighbouring symbols make one shard.  A shard's
+Texts are lower-cased (A-Z), cut into pieces at punctuation and line ends, and the words of about half a million neighbouring symbols make one shard.  A shard's
 FM-index is the last-to-first mapping of its word ids, sorted as deep as phrases get.  A phrase is an interval of rows.  It is extended by one word to the left
 through the mapping and to the right through its inverse, for all phrases at once, which gives the counts of all extensions on either side; phrases grow in both
 directions in turn.  (The inverse splits an interval as a second index of the reversed words would, so there is none.)  Counts are summed across shards.
@@ -34,11 +34,13 @@ from taxolink.llm.common import broadcast_if_small, join_hot, small_batches, sta
 #: The least count of a phrase, its most words, and the phrases returned per language.
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Symbols of a shard, about.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Bits of a level's filter: for each frequent key, and at most in all.
 BITS_PER_KEY, FILTER_BITS = 32, 1 << 27
 #: Keys of one table, about, and the most tables.
 PART_KEYS, MOST_PARTS = 4_000_000, 8192
+#: Keys that a task holds before it adds up equal ones and sends them; bytes of one Arrow batch.
+HELD_KEYS, BATCH = 1 << 20, 4 << 20
 #: Parts of a language that are ranked apart before they meet.
 PIECES_OF_LANG = 64
 
@@ -227,7 +229,7 @@ class Filter:
 
 def index(spark: SparkSession, docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, size: int = SHARD) -> DataFrame:
     """The shards' indexes, one row per shard, written."""
-    small_batches(spark)
+    small_batches(spark, size=BATCH)
     kind = pa.schema([("langs", pa.list_(pa.string())), ("n_words", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("words", "lang", "hashes", "counts", "lf"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,15 +241,11 @@ def index(spark: SparkSession, docs: DataFrame, lang_col: str = "lang", text_col
     return staged(spark, docs.select(lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, INDEX), "index")
 
 
-def over_shards(found: DataFrame, schema: str, kind: pa.Schema, run: Callable[[Shard], dict]) -> DataFrame:
-    """What ``run`` gives for each shard, as columns."""
+def over_shards(found: DataFrame, schema: str, run: Callable[[Iterator[Shard]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """What ``run`` gives for the shards of each partition."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                columns = run(Shard(batch.slice(i, 1).to_pylist()[0]))
-                for part in pa.table(columns, kind).to_batches(max_chunksize=10_000):
-                    yield part
+        yield from run(Shard(row) for batch in batches for i in range(batch.num_rows) for row in batch.slice(i, 1).to_pylist())
 
     return found.mapInArrow(each, schema)
 
@@ -255,17 +253,29 @@ def over_shards(found: DataFrame, schema: str, kind: pa.Schema, run: Callable[[S
 def may_be_frequent(spark: SparkSession, found: DataFrame, filters: list, k: int, parts: int, least: int) -> np.ndarray:
     """The bits of the keys of ``k`` words whose counts sum to ``least`` or more."""
 
-    def counted(shard: Shard) -> dict:
-        *_, p = shard.phrases([f.value for f in filters], k)
-        part, key = keys(p.full, parts)
-        order = np.argsort(part << 32 | key.view(np.uint32))
-        part, key, n = part[order], key[order], p.size[order].astype(np.int32)
+    def packed_keys(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """One row for each table, with its keys and their counts."""
+        both, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+        part, key = both >> 32, both.astype(np.uint32).view(np.int32)
         own = np.unique(part)
         cuts = np.append(np.searchsorted(part, own), len(part)).astype(np.int32)
-        return {"part": pa.array(own, pa.int32()), "key": pa.ListArray.from_arrays(cuts, pa.array(key, pa.int32())), "n": pa.ListArray.from_arrays(cuts, pa.array(n, pa.int32()))}
-
-    kind = pa.schema([("part", pa.int32()), ("key", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
-    packed = over_shards(found.select("hashes", "counts", *(["lf"] if k > 1 else [])), "part int, key array<int>, n array<int>", kind, counted)
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(key)), pa.ListArray.from_arrays(cuts, pa.array(n))], ["part", "key", "n"])
+
+    def counted(found: Iterator[Shard]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for shard in found:
+            *_, p = shard.phrases([f.value for f in filters], k)
+            part, key = keys(p.full, parts)
+            held.append((part << 32 | key.view(np.uint32), p.size))
+            n += len(key)
+            if n >= HELD_KEYS:
+                yield packed_keys(held)
+                held, n = [], 0
+        if n:
+            yield packed_keys(held)
+
+    packed = over_shards(found.select("hashes", "counts", *(["lf"] if k > 1 else [])), "part int, key array<int>, n array<long>", counted)
     # Rows are dealt by table, which is enough for the sums by table and key.
     each = packed.repartition("part").select("part", F.explode(F.arrays_zip("key", "n")).alias("e")).select("part", "e.key", "e.n")
     sums = staged(spark, each.groupBy("part", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("part", "key"), "frequent")
@@ -288,15 +298,13 @@ def phrase_counts(spark: SparkSession, found: DataFrame, least: int = LEAST, lon
         if not bits.any():
             break
 
-    def spelled(shard: Shard) -> dict:
-        lang, size, phrase, f = [], [], [], []
-        for p in shard.phrases([x.value for x in filters], len(filters)):
-            langs, texts = shard.spelled(p)
-            lang, phrase, size, f = lang + langs, phrase + texts, size + [p.words.shape[1]] * len(texts), f + p.size.tolist()
-        return {"lang": lang, "k": size, "phrase": phrase, "f": f}
+    def spelled(found: Iterator[Shard]) -> Iterator[pa.RecordBatch]:
+        for shard in found:
+            for p in shard.phrases([x.value for x in filters], len(filters)):
+                langs, texts = shard.spelled(p)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([p.words.shape[1]] * len(texts), pa.int32()), pa.array(texts, pa.string()), pa.array(p.size, pa.int64())], ["lang", "k", "phrase", "f"])
 
-    kind = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
-    own = over_shards(found, "lang string, k int, phrase string, f long", kind, spelled)
+    own = over_shards(found, "lang string, k int, phrase string, f long", spelled)
     out = staged(spark, own.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
     for f in filters:
         f.destroy()
