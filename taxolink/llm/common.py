@@ -52,10 +52,11 @@ def unused(name: str, *tables: DataFrame) -> str:
     return name
 
 
-def staged(spark: SparkSession, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: the lineage is cut, and a lost executor costs nothing."""
+def staged(spark: SparkSession, df: DataFrame, name: str, *partition_by: str, **options: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: the lineage is cut, and a lost executor costs nothing.  ``options`` are the writer's."""
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

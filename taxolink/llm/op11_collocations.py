@@ -41,6 +41,8 @@ BITS_PER_KEY, FILTER_BITS = 32, 1 << 27
 PART_KEYS, MOST_PARTS = 4_000_000, 8192
 #: Keys that a task holds before it adds up equal ones and sends them; bytes of one Arrow batch.
 HELD_KEYS, BATCH = 1 << 20, 4 << 20
+#: Row groups of the index hold a shard or two, as readers and writers hold whole row groups.
+ROW_GROUPS = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: Parts of a language that are ranked apart before they meet.
 PIECES_OF_LANG = 64
 
@@ -238,7 +240,7 @@ def index(spark: SparkSession, docs: DataFrame, lang_col: str = "lang", text_col
             yield pa.RecordBatch.from_pylist([row], kind)
 
     lang = F.coalesce(F.col(lang_col), F.lit("und"))
-    return staged(spark, docs.select(lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, INDEX), "index")
+    return staged(spark, docs.select(lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, INDEX), "index", **ROW_GROUPS)
 
 
 def over_shards(found: DataFrame, schema: str, run: Callable[[Iterator[Shard]], Iterator[pa.RecordBatch]]) -> DataFrame:
