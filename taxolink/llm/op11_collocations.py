@@ -20,6 +20,7 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from itertools import count
@@ -300,14 +301,32 @@ def phrase_counts(spark: SparkSession, found: DataFrame, least: int = LEAST, lon
         if not bits.any():
             break
 
+    def packed_texts(held: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
+        """One row for each table and language, with sorted phrases, which compress well, and their counts."""
+        for lang, counts in held.items():
+            tables = defaultdict(list)
+            for phrase in sorted(counts):
+                tables[zlib.crc32(phrase.encode()) % parts].append(phrase)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(tables), pa.int32()), pa.array([lang] * len(tables)), pa.array(["\n".join(t) for t in tables.values()]), pa.array([[counts[p] for p in t] for t in tables.values()], pa.list_(pa.int64()))], ["part", "lang", "phrases", "f"]
+            )
+
     def spelled(found: Iterator[Shard]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
         for shard in found:
             for p in shard.phrases([x.value for x in filters], len(filters)):
-                langs, texts = shard.spelled(p)
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([p.words.shape[1]] * len(texts), pa.int32()), pa.array(texts, pa.string()), pa.array(p.size, pa.int64())], ["lang", "k", "phrase", "f"])
-
-    own = over_shards(found, "lang string, k int, phrase string, f long", spelled)
-    out = staged(spark, own.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
+                for lang, phrase, f in zip(*shard.spelled(p), p.size.tolist(), strict=True):
+                    held[lang][phrase] += f
+            if sum(map(len, held.values())) >= HELD_KEYS // 4:
+                yield from packed_texts(held)
+                held.clear()
+        yield from packed_texts(held)
+
+    packed = over_shards(found, "part int, lang string, phrases string, f array<long>", spelled)
+    # No phrase has a line end.  Rows are dealt by table, which is enough for the sums by table, language and phrase.
+    each = packed.repartition("part").select("part", "lang", F.explode(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), "f")).alias("e")).select("part", "lang", "e.phrase", "e.f")
+    sums = each.groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    out = staged(spark, sums.select("lang", F.size(F.split("phrase", " ")).alias("k"), "phrase", "f"), "phrases")
     for f in filters:
         f.destroy()
     return out
