@@ -43,11 +43,16 @@ STYLES: dict[str, Callable[[str], str]] = {
 
 
 def rename(df: DataFrame, style: str | Callable[[str], str]) -> DataFrame:
-    """``df`` with every name in the given style; names that become equal get a number."""
-    how, seen, out = STYLES[style] if isinstance(style, str) else style, {}, []
-    for name in map(how, df.columns):
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+    """``df`` with every name in the given style; one that another column has, in any case, gets the first number that makes it its own."""
+    how, taken, out = STYLES[style] if isinstance(style, str) else style, set(), []
+    wanted = [how(c) for c in df.columns]
+    for name in wanted:
+        n, new = 1, name
+        while new.lower() in taken or (n > 1 and new in wanted):
+            n += 1
+            new = f"{name}_{n}"
+        taken.add(new.lower())
+        out.append(new)
     return df.toDF(*out)
 
 

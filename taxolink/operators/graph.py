@@ -6,8 +6,9 @@ import tempfile
 from collections.abc import Sequence
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 #: Relations of a mapping and how two of them compose; every pair that is not here composes to ``unknown``.
 RELATIONS = ("equal", "subset", "superset", "intersects", "none")
@@ -106,8 +107,8 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that nothing links to."""
-    return nodes.join(edges.select(F.col("dst_id").alias("node_id")), "node_id", "left_anti")
+    """Nodes that nothing links to.  Linked ids are reduced to one each first, as a hub may have very many links."""
+    return nodes.join(edges.select(F.col("dst_id").alias("node_id")).distinct(), "node_id", "left_anti")
 
 
 def asymmetric(edges: DataFrame) -> DataFrame:
@@ -135,16 +136,49 @@ def matrix(edges: DataFrame, frameworks: Sequence[str]) -> DataFrame:
     return edges.groupBy("src_fw").pivot("dst_fw", list(frameworks)).count().fillna(0)
 
 
+def _composed(first: Column, second: Column) -> Column:
+    """The relation of two mappings in a row."""
+    table = F.create_map(*(F.lit(x) for (p, q), r in COMPOSED.items() for x in (f"{p}>{q}", r)))
+    return F.coalesce(F.try_element_at(table, F.concat_ws(">", first, second)), F.lit("unknown"))
+
+
 def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     """A -> C from A -> B -> C: ``src_id, dst_id, relation, confidence, via, dated`` from ``(left_id, right_id, relation, confidence, dated)``.
 
     Confidence is the product, the date the older one, and ``via`` the way it was derived.
     """
     b = second.select(F.col("left_id").alias("_hub"), F.col("right_id").alias("dst_id"), F.col("relation").alias("_r"), F.col("confidence").alias("_c"), F.col("dated").alias("_d"))
-    table = F.create_map(*(F.lit(x) for (p, q), r in COMPOSED.items() for x in (f"{p}>{q}", r)))
     got = first.join(b, F.col("right_id") == F.col("_hub"))
-    relation = F.coalesce(F.try_element_at(table, F.concat_ws(">", "relation", "_r")), F.lit("unknown"))
-    return got.select(F.col("left_id").alias("src_id"), "dst_id", relation.alias("relation"), (F.col("confidence") * F.col("_c")).alias("confidence"), F.col("right_id").alias("via"), F.least("dated", "_d").alias("dated"))
+    return got.select(F.col("left_id").alias("src_id"), "dst_id", _composed(F.col("relation"), F.col("_r")).alias("relation"), (F.col("confidence") * F.col("_c")).alias("confidence"), F.col("right_id").alias("via"), F.least("dated", "_d").alias("dated"))
+
+
+def derive(spark: SparkSession, mappings: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``src_id, dst_id, relation, confidence, hops, via``: everything that chains of ``mappings(left_id, right_id, relation, confidence)`` of any length say.
+
+    A chain's relation is composed from left to right and must be known at every step; its confidence is the product.  Of all chains with one start, end and relation the
+    most confident counts, of equal ones the shortest, then the one with the smallest ``via``, which lists the entries between.  Mappings themselves are chains
+    of one hop.  Chains do not end where they start; ids, relations or confidences that are null, and confidences outside 0 to 1, take no part.
+
+    A fixpoint: each round extends only what the last one found or improved.  A confidence never grows along a chain, so a cycle improves nothing and the rounds end.
+    A round keeps one row per start, end and relation, however many chains there are; both sides of its join are written tables, so a hub with very many mappings can be split.
+    """
+    shared_folder(spark)
+    key = ["src_id", "dst_id", "relation"]
+    ok = mappings.where(F.col("left_id").isNotNull() & F.col("right_id").isNotNull() & (F.col("left_id") != F.col("right_id")) & F.col("relation").isin(*RELATIONS) & F.col("confidence").between(0, 1))
+    base = ok.groupBy(F.col("left_id").alias("src_id"), F.col("right_id").alias("dst_id"), "relation").agg(F.max("confidence").alias("confidence")).checkpoint()
+    step = base.select(F.col("src_id").alias("_hub"), F.col("dst_id").alias("_to"), F.col("relation").alias("_r"), F.col("confidence").alias("_c"))
+    best = front = base.withColumn("hops", F.lit(1)).withColumn("via", F.array().cast(f"array<{base.schema['dst_id'].dataType.simpleString()}>"))
+    for hop in count(2) if max_hops is None else range(2, max_hops + 1):
+        longer = front.join(step, F.col("dst_id") == F.col("_hub")).where(F.col("src_id") != F.col("_to")).withColumn("_rel", _composed(F.col("relation"), F.col("_r"))).where("_rel <> 'unknown'")
+        found = longer.groupBy("src_id", F.col("_to").alias("dst_id"), F.col("_rel").alias("relation")).agg(F.min(F.struct((-F.col("confidence") * F.col("_c")).alias("n"), F.array_append("via", F.col("_hub")).alias("v"))).alias("b"))
+        known = best.select(*key, F.col("confidence").alias("_was"))
+        better = found.join(known, key, "left").where(F.col("_was").isNull() | (-F.col("b.n") > F.col("_was")))
+        front = better.select(*key, (-F.col("b.n")).alias("confidence"), F.lit(hop).alias("hops"), F.col("b.v").alias("via")).checkpoint()
+        if front.isEmpty():
+            break
+        kept = best.join(front.select(*key), key, "left_anti")
+        best = kept.unionByName(front).checkpoint()
+    return best
 
 
 #: A mapping row: required fields first.
@@ -169,5 +203,7 @@ def valid_mappings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def blast_radius(derived: DataFrame) -> DataFrame:
-    """Derived mappings that rest on each hub entry."""
+    """Derived mappings that rest on each hub entry; ``via`` holds one hub (``compose``) or all hubs of a chain (``derive``)."""
+    if isinstance(derived.schema["via"].dataType, ArrayType):
+        derived = derived.select(F.explode(F.array_distinct("via")).alias("via"))
     return derived.groupBy("via").agg(F.count("*").alias("n_derived"))

@@ -130,7 +130,7 @@ def link_counts(edges: DataFrame, distinct: bool = False) -> DataFrame:
 
 def unmapped(nodes: DataFrame, node_id: str, pairs: DataFrame, side: str = "left_id") -> DataFrame:
     """Distinct ids of ``nodes`` that the mapping's side lacks."""
-    return nodes.select(F.col(node_id).alias("id")).distinct().join(pairs.select(F.col(side).alias("id")), "id", "left_anti")
+    return nodes.select(F.col(node_id).alias("id")).distinct().join(pairs.select(F.col(side).alias("id")).distinct(), "id", "left_anti")
 
 
 def stack(tables: Sequence[tuple[str, DataFrame]]) -> DataFrame:

@@ -12,10 +12,14 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from taxolink.functions import text as T
+from taxolink.operators import regex_index as X
 from taxolink.operators.graph import shared_folder
 
+#: Patterns up to this many are tried on all values.
+FEW_PATTERNS = 100
 #: Match modes by name.
 MODES: dict = {}
 
@@ -48,27 +52,55 @@ def _contains(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(items, F.col("left") == F.col("item")).select("left_id", "right_id")
 
 
+def _patterns(left: DataFrame, flags: str) -> DataFrame:
+    """Distinct ``left`` values with the pattern ``p`` that they stand for."""
+    return left.select("left").distinct().withColumn("p", F.concat(F.lit(f"(?{flags})" if flags else ""), F.col("left")))
+
+
+def invalid_patterns(left: DataFrame, flags: str = "") -> DataFrame:
+    """``id, value`` of the rows of ``left`` whose value is no pattern; mode ``regex`` leaves them out."""
+    p = F.concat(F.lit(f"(?{flags})" if flags else ""), T.strip(F.col("value")))
+    return left.where(F.col("value").isNotNull() & ~X.valid(p)).select("id", "value")
+
+
 @mode("regex")
-def _regex(left: DataFrame, right: DataFrame, flags: str = "", block: int = 10_000) -> DataFrame:
-    """The left value is a pattern that occurs in the right.  A pattern cannot be hashed, so every pattern meets every value.
+def _regex(left: DataFrame, right: DataFrame, flags: str = "", block: int = 10_000, block_bytes: int = 8 << 20, few: int = FEW_PATTERNS) -> DataFrame:
+    """The left value is a pattern that occurs in the right.  Values that are no patterns match nothing (see ``invalid_patterns``).
 
-    Distinct patterns go to all tasks in blocks of about ``block``; with more than one block, each one's hits are written (to the
-    checkpoint folder) before the next one comes.  Values are distinct too, so equal texts are tested once.
+    Patterns of which something is known that every match holds meet the values with that trigram only (see ``regex_index``).  The others, and all where there are
+    but ``few``, go to all tasks in blocks of about ``block`` patterns and ``block_bytes``; with more than one block, each one's hits are
+    written (to the checkpoint folder) before the next one comes.  Patterns and values are distinct, so equal texts are tested once.
     """
-    patterns = left.select("left").distinct().withColumn("p", F.concat(F.lit(f"(?{flags})" if flags else ""), F.col("left")))
-    values = right.select("right").distinct()
-    n = max(1, -(-patterns.count() // block))
-    numbered = patterns.withColumn("_b", F.pmod(F.xxhash64("left"), F.lit(n)))
-    hits = []
+    shared_folder(left.sparkSession)
+    patterns = _patterns(left, flags).where(X.valid(F.col("p"))).checkpoint()
+    values, hits = right.select("right").distinct(), []
+    open_ = patterns
+    if patterns.limit(few + 1).count() > few:
+        values = values.checkpoint()
+        covers = X.pattern_covers(patterns, "p").checkpoint()
+        hits.append(_by_trigrams(patterns, values, covers))
+        open_ = patterns.join(covers.select("p").distinct(), "p", "left_anti")
+    size = open_.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("p")), F.lit(0)).alias("b")).first()
+    n = max(-(-size["n"] // block), -(-size["b"] // block_bytes))
     for i in range(n):
-        some = values.join(F.broadcast(numbered.where(F.col("_b") == i)), F.expr("right rlike p")).select("left", "right")
-        if n > 1:
-            shared_folder(left.sparkSession)
-            some = some.checkpoint()
-        hits.append(some)
+        some = values.join(F.broadcast(open_.where(F.pmod(F.xxhash64("left"), F.lit(n)) == i)), F.expr("right rlike p")).select("left", "right")
+        hits.append(some.checkpoint() if n > 1 else some)
+    if not hits:
+        return left.sparkSession.createDataFrame([], StructType([left.schema["left_id"], right.schema["right_id"]]))
     return left.join(reduce(DataFrame.unionByName, hits), "left").join(right, "right").select("left_id", "right_id")
 
 
+def _by_trigrams(patterns: DataFrame, values: DataFrame, covers: DataFrame) -> DataFrame:
+    """``left, right`` for the patterns with a cover: each one's rarest cover picks the values on which it is tried."""
+    grams = X.value_grams(values, "right").join(covers.select("gram").distinct(), "gram", "left_semi").checkpoint()
+    count = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    weight = covers.join(count, "gram", "left").groupBy("p", "cover").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    best = weight.groupBy("p").agg(F.min_by("cover", F.struct("n", "cover")).alias("cover"))
+    # Written, so that the join below has no aggregate in its stages and a frequent trigram's rows can be split.
+    rare = covers.join(best, ["p", "cover"]).join(patterns, "p").select("left", "p", "gram").checkpoint()
+    return rare.join(grams, "gram").where(F.expr("right rlike p")).select("left", "right").distinct()
+
+
 def _tokens(df: DataFrame, name: str) -> DataFrame:
     """Distinct values as sets of numbered tokens, the rarest first, with their size."""
     return df.select(name).distinct().select(name, T.word_set(F.col(name)).alias("set")).withColumn("n", F.size("set"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxolink.operators import graph as G
 from taxolink.operators import match as M
+from taxolink.operators.graph import shared_folder
 
 
 def _hash(columns: Sequence[str]) -> Column:
@@ -37,14 +40,49 @@ def moved(parents: DataFrame) -> DataFrame:
     return gone.join(come, "node_id")
 
 
-def renamed(removed: DataFrame, added: DataFrame, aliases: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """``old_id, new_id, how``: by the alias table first, else the most similar title among added nodes; inputs have ``id, value``."""
-    known = aliases.join(removed.select(F.col("id").alias("old_id")), "old_id", "left_semi").join(added.select(F.col("id").alias("new_id")), "new_id", "left_semi").select("old_id", "new_id", F.lit("alias").alias("how"))
+def one_to_one(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs(old_id, new_id, score)`` those that a greedy walk keeps: best score first (ties: smaller old, then new id), no id twice.
+
+    Rounds of pairs that are the best of both their ids, which is what the walk keeps, too; what they leave goes into the next round.  Every round is two
+    grouped minima and joins with at most one row per id.
+    """
+    shared_folder(pairs.sparkSession)
+    rest, kept = pairs.select((-F.col("score")).alias("n"), "old_id", "new_id").distinct().checkpoint(), []
+    while not rest.isEmpty():
+        best = lambda side: rest.groupBy(side).agg(F.min(F.struct("n", "old_id", "new_id")).alias("b")).select("b.*")  # noqa: B023, E731
+        both = best("old_id").join(best("new_id"), ["n", "old_id", "new_id"]).checkpoint()
+        kept.append(both)
+        rest = rest.join(both.select("old_id"), "old_id", "left_anti").join(both.select("new_id"), "new_id", "left_anti").checkpoint()
+    out = reduce(DataFrame.unionByName, kept) if kept else rest
+    return out.select("old_id", "new_id", (-F.col("n")).alias("score"))
+
+
+def renamed(removed: DataFrame, added: DataFrame, aliases: DataFrame, threshold: float = 0.8, properties: Sequence[str] = (), title_weight: float = 0.6) -> DataFrame:
+    """``old_id, new_id, how``: by the alias table first, then by similarity; no id is used twice.  Inputs have ``id, value`` (the title) and ``properties``.
+
+    The score is ``title_weight`` times the titles' token Jaccard plus the rest times the share of properties that both have and that are equal, of those that either has;
+    without properties the Jaccard alone.  Pairs of at least ``threshold`` are kept one to one.  A pair cannot reach the threshold with a Jaccard below
+    (threshold - rest) / title_weight, so the candidates of that threshold are all there are.
+    """
+    rest = 1 - title_weight if properties else 0.0
+    least = (threshold - rest) / (1 - rest)
+    if least <= 0:
+        raise ValueError("the threshold must be above the weight of the properties: below it titles need not have anything in common")
+    known = aliases.join(removed.select(F.col("id").alias("old_id")), "old_id", "left_semi").join(added.select(F.col("id").alias("new_id")), "new_id", "left_semi")
+    known = one_to_one(known.select("old_id", "new_id", F.lit(1.0).alias("score"))).select("old_id", "new_id", F.lit("alias").alias("how"))
     open_ = removed.join(known.select(F.col("old_id").alias("id")), "id", "left_anti")
     free = added.join(known.select(F.col("new_id").alias("id")), "id", "left_anti")
-    pairs = M.match(open_, free, "jaccard", threshold=threshold)
-    best = pairs.groupBy("left_id").agg(F.max(F.struct("score", "right_id")).alias("b"))
-    return known.unionByName(best.select(F.col("left_id").alias("old_id"), F.col("b.right_id").alias("new_id"), F.lit("similar").alias("how")))
+    pairs = M.match(open_, free, "jaccard", threshold=least - 1e-12)
+    if properties:
+        side = lambda df, i: df.select(F.col("id").alias(f"{'left' if not i else 'right'}_id"), F.struct(*(F.col(f"`{p}`").cast("string").alias(p) for p in properties)).alias(f"p{i}"))
+        pairs = pairs.join(side(open_, 0), "left_id").join(side(free, 1), "right_id")
+        a, b = (lambda p: F.col("p0")[p]), (lambda p: F.col("p1")[p])
+        one = lambda test: F.when(test, 1).otherwise(0)
+        equal = reduce(Column.__add__, (one(F.coalesce(a(p) == b(p), F.lit(False))) for p in properties))
+        either = reduce(Column.__add__, (one(a(p).isNotNull() | b(p).isNotNull()) for p in properties))
+        pairs = pairs.withColumn("score", title_weight * F.col("score") + rest * F.when(either > 0, equal / either).otherwise(0.0))
+    similar = one_to_one(pairs.where(F.col("score") >= threshold - 1e-12).select(F.col("left_id").alias("old_id"), F.col("right_id").alias("new_id"), "score"))
+    return known.unionByName(similar.select("old_id", "new_id", F.lit("similar").alias("how")))
 
 
 def reshaped(pairs: DataFrame) -> DataFrame:
@@ -54,6 +92,27 @@ def reshaped(pairs: DataFrame) -> DataFrame:
     return count("new_id", "merge").unionByName(count("old_id", "split"))
 
 
+def restructured(spark: SparkSession, pairs: DataFrame, moves: DataFrame | None = None) -> DataFrame:
+    """``component, kind, n_old, n_new, n_links, n_moved`` of the connected parts of the alias graph ``(old_id, new_id)``; ``component`` is the part's smallest old id.
+
+    One old and one new id are a rename, several old ones with one new a merge, one with several new a split, several with several a restructure.  ``moves(old_id)`` are old ids that
+    have another parent now: a merge or split in which some ids moved and others did not takes its subtree apart and is a restructure, too.
+    """
+    ids = lambda side: F.concat(F.lit(f"{side}:"), F.col(f"{side}_id").cast("string"))
+    p = pairs.where("old_id is not null and new_id is not null").select("old_id", "new_id").distinct()
+    # "new" sorts before "old", so parts are named by joining back, not by the label itself.
+    edges = p.select(ids("old").alias("src_id"), ids("new").alias("dst_id"))
+    nodes = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
+    label = G.components(spark, edges, nodes)
+    moved = (moves.select("old_id").distinct() if moves is not None else p.select("old_id").where("false")).withColumn("m", F.lit(1))
+    olds = p.groupBy("old_id").agg(F.count("*").alias("links")).withColumn("id", ids("old")).join(label, "id").join(moved, "old_id", "left")
+    news = p.select("new_id").distinct().withColumn("id", ids("new")).join(label, "id")
+    got = olds.groupBy("component").agg(F.min("old_id").alias("first"), F.count("*").alias("n_old"), F.sum("links").alias("n_links"), F.count("m").alias("n_moved")).join(news.groupBy("component").agg(F.count("*").alias("n_new")), "component")
+    shape = F.when((F.col("n_old") > 1) & (F.col("n_new") > 1), "restructure").when(F.col("n_old") > 1, "merge").when(F.col("n_new") > 1, "split").otherwise("rename")
+    torn = shape.isin("merge", "split") & (F.col("n_moved") > 0) & (F.col("n_moved") < F.col("n_old"))
+    return got.select(F.col("first").alias("component"), F.when(torn, "restructure").otherwise(shape).alias("kind"), "n_old", "n_new", "n_links", "n_moved")
+
+
 def strategies(changes: DataFrame, rules: DataFrame) -> DataFrame:
     """``changes(fw, node_id, change)`` with their ``strategy``: of ``rules(fw, node_id, change, strategy)`` the most specific one.
 

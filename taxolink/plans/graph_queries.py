@@ -14,6 +14,7 @@ from taxolink.operators import versions as V
 from taxolink.plans.registry import query, table
 from taxolink.sources import sinks as S
 from taxolink.streaming import jobs as J
+from taxolink.streaming import timers as TM
 
 
 def _shared(spark, name):
@@ -344,3 +345,17 @@ def streaming_freshness(spark, sf):
     """Evidence as a stream: the newest event of each user says how fresh the user's evidence is."""
     stream = J.file_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema).select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("collected"), F.date_add(F.to_date("ts"), (F.col("event_id") % 90 - 20).cast("int")).alias("expires"))
     return _run(spark, J.freshness_changes(stream, "user_id", "collected", "expires", "ts"), ["user_id"])
+
+
+@query("""
+WITH n AS (SELECT user_id, max(ts) AS last, arg_max(CAST(ts AS DATE) + CAST(event_id % 90 AS INTEGER) - 20, ts) AS expires FROM events GROUP BY user_id),
+w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events),
+t AS (SELECT user_id, last, expires, CAST(expires AS TIMESTAMP) - INTERVAL 30 DAY AS stale_at, CAST(expires AS TIMESTAMP) + INTERVAL 1 DAY AS expired_at, mark FROM n, w)
+SELECT user_id, CASE WHEN expires < CAST(greatest(last, mark) AS DATE) THEN 'expired' WHEN expires - 30 <= CAST(greatest(last, mark) AS DATE) THEN 'stale' ELSE 'fresh' END AS freshness,
+  CASE WHEN expired_at > last AND expired_at <= mark THEN expired_at WHEN stale_at > last AND stale_at <= mark THEN stale_at ELSE last END AS changed FROM t""")
+def freshness_timers(spark, sf):
+    """The same evidence, but its freshness goes on changing while the watermark passes: the last change of each user."""
+    stream = J.file_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema).select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("collected"), F.date_add(F.to_date("ts"), (F.col("event_id") % 90 - 20).cast("int")).alias("expires"))
+    made, out = TM.freshness_timeline(stream, "user_id", "collected", "expires", "ts"), _shared(spark, "changes")
+    TM.run_timeline(made, out, f"{out}-checkpoint").awaitTermination()
+    return J.latest(spark, out, made.schema, ["user_id"], ["changed"])

@@ -27,7 +27,7 @@ def ffill_global(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"))
     before = o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.col("priority").alias("was"))
     blanked = o.join(before, "o_orderkey", "left").withColumn("priority", F.when(~F.col("priority").eqNullSafe(F.col("was")), F.col("priority"))).drop("was")
-    return O.forward_fill(blanked, "priority", "o_orderkey", bucket=1000)
+    return O.forward_fill(blanked, "priority", "o_orderkey")
 
 
 @query("SELECT c_custkey, r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -51,7 +51,7 @@ def header_pairs(spark, sf):
     head = n.select(F.concat(F.lit("N"), "n_nationkey").alias("control"), F.col("n_name").alias("title"), at("n_nationkey", 0))
     text = n.select(F.lit(None).cast("string").alias("control"), F.concat(F.lit("about "), "n_name").alias("title"), at("n_nationkey", 1))
     rows = c.select(F.concat(F.lit("C"), "c_custkey").alias("control"), F.col("c_name").alias("title"), at("c_nationkey", F.lit(2) + F.col("c_custkey")))
-    return O.header_pairs(head.unionByName(text).unionByName(rows), "control", "title", "source_row", bucket=1000).drop("source_row")
+    return O.header_pairs(head.unionByName(text).unionByName(rows), "control", "title", "source_row").drop("source_row")
 
 
 @query("SELECT c_custkey, n_name AS control_title FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -60,7 +60,7 @@ def cond_carry(spark, sf):
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
     top = n.select(F.lit("").alias("sub"), F.col("n_name").alias("title"), F.lit(None).cast("long").alias("c_custkey"), (F.col("n_nationkey").cast("long") * 10**10).alias("source_row"))
     low = c.select(F.col("c_custkey").cast("string").alias("sub"), F.col("c_name").alias("title"), "c_custkey", (F.col("c_nationkey").cast("long") * 10**10 + 1 + F.col("c_custkey")).alias("source_row"))
-    got = O.conditional_carry(top.unionByName(low), "title", "sub", "control_title", "source_row", bucket=10**9)
+    got = O.conditional_carry(top.unionByName(low), "title", "sub", "control_title", "source_row")
     return got.where("sub <> ''").select("c_custkey", "control_title")
 
 

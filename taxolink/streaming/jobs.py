@@ -64,19 +64,19 @@ def windowed_counts(stream: DataFrame, time: str, by: Sequence[str], every: str
     return stream.withWatermark(time, late).groupBy(F.window(time, every), *by).agg(F.count("*").alias("n_links")).select(F.col("window.start").alias("start"), *by, "n_links")
 
 
-def run_to_folder(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """The rows that each batch changes (mode ``update``), written to a folder of the batch's own below ``out``; state is what the watermark leaves."""
+def run_to_folder(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """The rows that each batch changes (mode ``update``) or adds (``append``), written to a folder of the batch's own below ``out``; state is what the watermark leaves."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, out: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
-    """The last row of each key that ``run_to_folder`` wrote."""
+def latest(spark: SparkSession, out: str, schema: StructType, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The last row of each key that ``run_to_folder`` wrote; ``order`` decides within a batch."""
     rows = spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).option("basePath", out).parquet(out)
-    return keep_first(rows, list(keys), ["batch"], last=True).drop("batch")
+    return keep_first(rows, list(keys), ["batch", *order], last=True).drop("batch")
 
 
 def freshness_changes(stream: DataFrame, key: str, collected: str, expires: str, time: str, late: str = "1 day", window: int = STALE_DAYS) -> DataFrame:

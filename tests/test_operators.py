@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from taxolink.operators import aggregate as A
@@ -20,27 +21,53 @@ from taxolink.operators import versions as V
 def test_hierarchical_fill(spark):
     rows = [(1, "ID", "", "a"), (2, "", "AM", "b"), (3, "", "", ""), (4, "PR", None, "c"), (5, "", "AC", ""), (6, None, None, "d")]
     df = spark.createDataFrame(rows, "r long, f string, c string, s string")
-    for bucket in (1, 2, 100):
-        got = O.hierarchical_fill(df, ["f", "c", "s"], "r", bucket)
+    for parts in (1, 2, 7):
+        got = O.hierarchical_fill(df, ["f", "c", "s"], "r", parts)
         want = [("ID", None, "a"), ("ID", "AM", "b"), ("ID", "AM", "b"), ("PR", None, "c"), ("PR", "AC", None), ("PR", "AC", "d")]
         assert [tuple(r)[1:] for r in got.orderBy("r").collect()] == want
-        assert O.hierarchical_fill(got, ["f", "c", "s"], "r", bucket).orderBy("r").collect() == got.orderBy("r").collect()
+        assert O.hierarchical_fill(got, ["f", "c", "s"], "r", parts).orderBy("r").collect() == got.orderBy("r").collect()
 
 
 def test_forward_fill_is_the_plain_window(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice("ab"), rnd.choice([None, None, str(i)])) for i in range(300)]
-    got = O.forward_fill(spark.createDataFrame(rows, "i long, k string, v string"), "v", "i", ["k"], bucket=7).orderBy("i").collect()
+    got = O.forward_fill(spark.createDataFrame(rows, "i long, k string, v string"), "v", "i", ["k"], 7).orderBy("i").collect()
     last = {}
     for (i, k, v), r in zip(rows, got, strict=True):
         last[k] = v or last.get(k)
         assert (r["i"], r["v"]) == (i, last[k])
 
 
+@pytest.mark.parametrize("order", ["sparse", "text", "two columns"])
+def test_ordered_by_anything(spark, order):
+    """Order keys 10**9 apart, texts, and two columns give the rows of a plain window, with null keys, values of several types and one hot key."""
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["hot", "hot", "b", None]), rnd.choice([None, None, None, f"v{i}"]), rnd.choice([None, None, float(i)])) for i in range(500)]
+    key = {"sparse": F.col("i") * 10**9, "text": F.format_string("%05d", "i"), "two columns": F.floor(F.col("i") / 50)}[order]
+    by = ["o", "i"] if order == "two columns" else ["o"]
+    df = spark.createDataFrame(rows, "i long, k string, v string, x double").withColumn("o", key).withColumn("s", F.when(F.col("v").isNotNull(), F.struct("v", "x", F.timestamp_seconds("i").alias("t"))))
+    for c, keys in (("v", []), ("s", ["k"]), ("x", ["k"])):
+        w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+        want = [str(r) for r in df.withColumn(c, F.last(c, ignorenulls=True).over(w)).orderBy("i").collect()]
+        for parts in (1, 9):
+            assert [str(r) for r in O.forward_fill(df, c, by, keys, parts).orderBy("i").collect()] == want
+    w = Window.orderBy(*by)
+    want = [str(r) for r in df.withColumn("prev", F.lag(F.struct("k", "x")).over(w)).withColumn("next", F.lead(F.struct("k", "x")).over(w)).orderBy("i").collect()]
+    for parts in (1, 9):
+        assert [str(r) for r in O.neighbours(df, ["k", "x"], by, parts).orderBy("i").collect()] == want
+
+
+def test_rows_about_ends(spark):
+    """Keys 10**9 apart do not make partitions smaller: as many rows reach the driver as there are partitions, and partitions are about equal."""
+    ranged = O.cut(spark.range(20_000).select((F.col("id") * 10**9).alias("o"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("v")), "o", parts=8)
+    assert len(O._ends(ranged, ["v"], [])) == 8
+    assert ranged.groupBy("_p").count().agg(F.max("count")).first()[0] < 2 * 20_000 / 8
+
+
 def test_header_pairs_and_last_row(spark):
     rows = [(1, "1", "T"), (2, "", "D"), (3, "x", "row"), (4, "y", "row"), (5, "2", "last")]
-    for bucket in (1, 2, 10):
-        got = O.header_pairs(spark.createDataFrame(rows, "r long, c string, t string"), "c", "t", "r", bucket).orderBy("r").collect()
+    for parts in (1, 2, 5):
+        got = O.header_pairs(spark.createDataFrame(rows, "r long, c string, t string"), "c", "t", "r", parts).orderBy("r").collect()
         assert [(r["c"], r["head_title"], r["head_text"]) for r in got] == [("x", "T", "D"), ("y", "T", "D"), ("2", "T", "D")]
 
 
