@@ -295,8 +295,10 @@ def phrase_counts(spark: SparkSession, found: DataFrame, least: int = LEAST, lon
     n = found.select(F.sum(F.octet_length("lf")).alias("n")).first()["n"] or 0
     parts = int(min(MOST_PARTS, max(32, n // 4 // PART_KEYS)))
     filters = []
+    # In a large corpus nearly every pair is of frequent words, so pairs are counted without a look at the words' filter.
+    everything = spark.sparkContext.broadcast(Filter(np.full(1, 0xFFFFFFFFFFFFFFFF, np.uint64), parts))
     for k in range(1, longest + 1):
-        bits = may_be_frequent(spark, found, filters, k, parts, least)
+        bits = may_be_frequent(spark, found, [everything] if k == 2 else filters, k, parts, least)
         filters.append(spark.sparkContext.broadcast(Filter(bits, parts)))
         if not bits.any():
             break
@@ -323,11 +325,27 @@ def phrase_counts(spark: SparkSession, found: DataFrame, least: int = LEAST, lon
         yield from packed_texts(held)
 
     packed = over_shards(found, "part int, lang string, phrases string, f array<long>", spelled)
-    # No phrase has a line end.  Rows are dealt by table, which is enough for the sums by table, language and phrase.
-    each = packed.repartition("part").select("part", "lang", F.explode(F.arrays_zip(F.split("phrases", "\n").alias("phrase"), "f")).alias("e")).select("part", "lang", "e.phrase", "e.f")
-    sums = each.groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    out = staged(spark, sums.select("lang", F.size(F.split("phrase", " ")).alias("k"), "phrase", "f"), "phrases")
-    for f in filters:
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of each table, one table at a time."""
+
+        def frequent() -> pa.RecordBatch:
+            rows = [(lang, phrase.count(" ") + 1, phrase, n) for (lang, phrase), n in sums.items() if n >= least]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "k", "phrase", "f"])
+
+        now, sums = None, defaultdict(int)
+        for batch in batches:
+            for part, lang, phrases, f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    yield frequent()
+                    now, sums = part, defaultdict(int)
+                for phrase, n in zip(phrases.split("\n"), f, strict=True):  # no phrase has a line end
+                    sums[lang, phrase] += n
+        yield frequent()
+
+    # A table holds at most one phrase in ``least`` of its share of the words, for each length, and the few that the filters let through.
+    out = staged(spark, packed.repartition("part").sortWithinPartitions("part").mapInArrow(summed, "lang string, k int, phrase string, f long"), "phrases")
+    for f in (*filters, everything):
         f.destroy()
     return out
 
