@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -22,10 +22,15 @@ import numpy as np
 MEMO_BYTES, ENTRY_BYTES = 192 << 20, 200
 #: Words given to the library in one text.
 JOINED = 256
+#: Characters of the texts that are cut before any of them is put together.
+GROUP = 4_000_000
 #: White space, visible ASCII, and letters and marks of Latin, Cyrillic, CJK and Hangul that have been in Unicode unchanged for
 #: long, and that no normaliser composes with a neighbour or changes the length of.
 UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e¡-¬®-±´-¸º»¿-įı-ɏЀ-ҁҊ-ԯ‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]")
 
+#: The ASCII characters that are not unusual, for a test of texts that have no others.
+_PLAIN_ASCII = bytes(b for b in range(128) if not UNUSUAL.match(chr(b)))
+
 _OPEN: dict[tuple, object] = {}
 
 
@@ -36,6 +41,19 @@ def opened(kind: type, path: str):
     return _OPEN[kind, path]
 
 
+def groups(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in lists of about ``GROUP`` characters, in order."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= GROUP:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 class Pieces:
     """What both tokenizers share; a subclass says how texts are cut."""
 
@@ -68,28 +86,39 @@ class Pieces:
         raise NotImplementedError
 
     def plain(self, text: str) -> bool:
-        return self.known and not UNUSUAL.search(text) and not any(s in text for s in self.special)
+        if not self.known or any(s in text for s in self.special):
+            return False
+        return not text.encode().translate(None, _PLAIN_ASCII) if text.isascii() else not UNUSUAL.search(text)
+
+    def _cuts(self, ids: np.ndarray) -> np.ndarray:
+        """Where the words of ids that were encoded together end."""
+        raise NotImplementedError
+
+    def _marked(self, mark: Callable[[str], bool]) -> np.ndarray:
+        """For every id whether its token has a mark."""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for token, i in vocabulary.items() if mark(token)]] = True
+        return out
 
     def _encode(self, pieces: list[str]) -> None:
         words = [p for p in pieces if self.is_word(p)]
-        for at in range(0, len(words), JOINED):
-            group = words[at : at + JOINED]
-            e = self.tokenizer.encode(self.glue.join(group), add_special_tokens=False)
-            owner = np.asarray(e.word_ids, np.int64)
-            cuts = [0, *(4 * (np.flatnonzero(np.diff(owner)) + 1)).tolist(), 4 * len(owner)]
-            raw = np.asarray(e.ids, "<u4").tobytes()
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for group, raw in zip(groups, self.whole([self.glue.join(g) for g in groups]), strict=True):
+            cuts = [0, *(4 * self._cuts(np.frombuffer(raw, "<u4"))).tolist()]
             if len(cuts) == len(group) + 1:
                 self.pieces.update((p, raw[a:b]) for p, a, b in zip(group, cuts, cuts[1:], strict=False))
         rest = [p for p in pieces if p not in self.pieces]
         self.pieces.update(zip(rest, self.whole(rest), strict=True))
 
-    def learn(self, chunks: list[str]) -> None:
-        """Put the chunks' values into the memo."""
-        fresh = {c for c in chunks if c not in self.chunks}
+    def learn(self, texts: list[list[str] | None]) -> None:
+        """Put the values of the chunks of all texts into the memo."""
+        chunks = set().union(*filter(None, texts))
+        fresh = chunks.difference(self.chunks)
         if not fresh:
             return
         if self.held > MEMO_BYTES:
-            self.chunks, self.pieces, self.held, fresh = {}, {}, 0, set(chunks)
+            self.chunks, self.pieces, self.held, fresh = {}, {}, 0, chunks
         cut = {c: self.piece.findall(c) for c in fresh}
         missing = list({p for ps in cut.values() for p in ps if p not in self.pieces})
         if missing:
@@ -116,18 +145,23 @@ class WordIds(Pieces):
         ]},
     }
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.last = self._marked(lambda token: token.endswith("</w>"))
+
     def is_word(self, piece: str) -> bool:
         return piece.isalpha()
 
+    def _cuts(self, ids: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.last[ids]) + 1
+
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit bytes."""
-        for text in texts:
-            if not self.plain(text):
-                yield self.whole([text])[0]
-                continue
-            chunks = text.lower().split()
-            self.learn(chunks)
-            yield b"".join(map(self.chunks.__getitem__, chunks))
+        for some in groups(texts):
+            cut = [text.lower().split() if self.plain(text) else None for text in some]
+            self.learn(cut)
+            for text, chunks in zip(some, cut, strict=True):
+                yield self.whole([text])[0] if chunks is None else b"".join(map(self.chunks.__getitem__, chunks))
 
 
 class ByteCounts(Pieces):
@@ -138,17 +172,22 @@ class ByteCounts(Pieces):
     glue = ""
     cuts = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.first = self._marked(lambda token: token.startswith("Ġ"))  # the byte-level letter for a space
+
     def is_word(self, piece: str) -> bool:
         return piece[0] == " " and piece[1:].isalpha()
 
+    def _cuts(self, ids: np.ndarray) -> np.ndarray:
+        return np.append(np.flatnonzero(self.first[ids]), len(ids))[1:]
+
     def value(self, ids: bytes) -> int:
         return len(ids) // 4
 
     def __call__(self, texts: Iterable[str]) -> Iterator[int]:
-        for text in texts:
-            if not self.plain(text):
-                yield len(self.whole([text])[0]) // 4
-                continue
-            chunks = self.chunk.findall(text)
-            self.learn(chunks)
-            yield sum(map(self.chunks.__getitem__, chunks))
+        for some in groups(texts):
+            cut = [self.chunk.findall(text) if self.plain(text) else None for text in some]
+            self.learn(cut)
+            for text, chunks in zip(some, cut, strict=True):
+                yield len(self.whole([text])[0]) // 4 if chunks is None else sum(map(self.chunks.__getitem__, chunks))
