@@ -82,19 +82,37 @@ def patterns(df: DataFrame, order: str, columns: Sequence[str] | None = None) ->
     return named.select("pos", "col", "pattern", F.slice(F.expr("transform(filter(_v, x -> x.val rlike _p), x -> x.val)"), 1, 3).alias("examples"))
 
 
+def table_patterns(cells: DataFrame) -> DataFrame:
+    """``tbl, col, pattern`` for many tables at once, given as ``cells(tbl, col, row, val)``: as ``patterns``, over the first rows of each table.
+
+    Only the first rows' numbers are ranked, ``PATTERN_ROWS`` per table and map task at most; shares are grouped with partial sums, so a long table is no large group.
+    """
+    from taxolink.operators.ordered import samples
+
+    first = samples(cells.select("tbl", "row").distinct(), ["tbl"], "row", "row", PATTERN_ROWS).select("tbl", F.explode("samples").alias("row"))
+    near = cells.where("val is not null").join(first, ["tbl", "row"])
+    shares = near.groupBy("tbl", "col").agg(*(F.avg(F.col("val").rlike(p).cast("double")).alias(name) for name, p in PATTERNS))
+    return shares.select("tbl", "col", F.coalesce(*(F.when(F.col(n) >= PATTERN_SHARE, F.lit(n)) for n, _ in PATTERNS)).alias("pattern")).where("pattern is not null")
+
+
 def file_pattern(name: Column) -> Column:
     """``NIST_800-53_rev5.csv`` -> ``nist*****rev*``: separators, then digits, become stars."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), r"\.[^.]+$", ""), r"[_\-\s]+", "*"), r"\d+", "*")
 
 
-def fingerprints(columns: DataFrame) -> DataFrame:
+def fingerprints(columns: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """One row per table of a catalog ``columns(tbl, pos, name, source_type, file_name)``: names, normal names, count, file pattern.
 
-    A table has as many rows here as it has columns, so a group is never large.
+    With ``found(tbl, col, pattern)``, as ``table_patterns`` gives it, also ``patterns``: which columns hold values of a known form.  A table has as many rows here as it has
+    columns, so a group is never large.
     """
     got = columns.groupBy("tbl", "source_type", "file_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
     norm = F.transform("names", lambda n: F.regexp_replace(F.trim(F.lower(n)), "[^a-z0-9]", "_"))
-    return got.select("tbl", "source_type", "names", norm.alias("normal"), F.size("names").alias("n_columns"), file_pattern(F.col("file_name")).alias("file_pattern"))
+    out = got.select("tbl", "source_type", "names", norm.alias("normal"), F.size("names").alias("n_columns"), file_pattern(F.col("file_name")).alias("file_pattern"))
+    if found is None:
+        return out
+    known = found.groupBy("tbl").agg(F.array_sort(F.collect_list(F.struct("col", "pattern"))).alias("patterns"))
+    return out.join(known, "tbl", "left").withColumn("patterns", F.coalesce("patterns", F.array().cast("array<struct<col:string,pattern:string>>")))
 
 
 def match_configs(tables: DataFrame, configs: DataFrame, now: Column, least: int = 30) -> DataFrame:

@@ -10,7 +10,9 @@ from taxolink.operators import graph as G
 from taxolink.operators import intervals as I
 from taxolink.operators import match as M
 from taxolink.operators import ordered as O
+from taxolink.operators import profile as P
 from taxolink.operators import versions as V
+from taxolink.plans import table_queries as TQ
 from taxolink.plans.registry import query, table
 from taxolink.sources import note_store as S
 from taxolink.sources.note_files import NoteFiles
@@ -213,3 +215,39 @@ def ingest_by_state(spark, sf):
         e.where(F.date_trunc("month", "ts") == F.lit(m)).write.mode("append").parquet(f"{base}/in")
         K.ingest_by_state(J.file_stream(spark, f"{base}/in", e.schema), f"{base}/out", "user_id", ["event_id"], f"{base}/checkpoint").awaitTermination()
     return K.ingested_rows(spark, f"{base}/out", e.schema).select("event_id", "user_id", "event_type")
+
+
+_VALUE = "CASE l_partkey % 6 WHEN 1 THEN CASE WHEN l_suppkey % 3 = 0 THEN 'none' ELSE 'AC-' || l_suppkey END WHEN 2 THEN 'https://x/' || l_suppkey ELSE 'w' || l_suppkey END"
+_FORMS = f"""
+, v AS (SELECT l_orderkey AS tbl, 'Part ' || l_partkey % 6 AS col, {_VALUE} AS val FROM lineitem),
+share AS (SELECT tbl, col, avg(CAST(regexp_matches(val, '^AC-[0-9]+$') AS INTEGER)) AS a, avg(CAST(regexp_matches(val, '^https://') AS INTEGER)) AS b FROM v GROUP BY ALL),
+form AS (SELECT tbl, col, CASE WHEN a >= 0.7 THEN 'control_id' ELSE 'url' END AS pattern FROM share WHERE a >= 0.7 OR b >= 0.7)
+"""
+
+
+def _forms(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tbl"), F.concat(F.lit("Part "), F.col("l_partkey") % 6).alias("col"), F.col("l_linenumber").alias("row"), F.expr(_VALUE).alias("val"))
+    return P.fingerprints(TQ._catalog(spark, sf), P.table_patterns(li))
+
+
+@query(TQ._PRINTS + _FORMS + """
+SELECT f.tbl, coalesce(string_agg(col || '=' || pattern, '|' ORDER BY col), '') AS patterns FROM f LEFT JOIN form ON form.tbl = f.tbl GROUP BY f.tbl""")
+def fingerprint_patterns(spark, sf):
+    """What forms of values the fingerprint of each order's table holds."""
+    return _forms(spark, sf).select("tbl", F.array_join(F.transform("patterns", lambda p: F.concat(p["col"], F.lit("="), p["pattern"])), "|").alias("patterns"))
+
+
+@query(TQ._PRINTS + _FORMS + """
+, saved AS (SELECT * FROM (VALUES ('ids', ['Part 1', 'Part 9'], 'Part 1', 'control_id'), ('web', ['Part 2', 'Part 8'], 'Link', 'url')) AS t(config, names, col, pattern)),
+s AS (SELECT f.tbl, config, len(list_intersect(f.names, saved.names)) / greatest(len(f.names), 2) AS e, abs(len(f.names) - 2) AS gap, coalesce(bool_or(form.col = saved.col OR form.pattern = saved.pattern), false) AS shared
+  FROM f CROSS JOIN saved LEFT JOIN form ON form.tbl = f.tbl GROUP BY f.tbl, config, f.names, saved.names),
+r AS (SELECT tbl, config, CASE WHEN e > 0.8 THEN 40 WHEN e > 0.5 THEN 25 ELSE 0 END + CASE WHEN gap = 0 THEN 10 WHEN gap <= 2 THEN 5 ELSE 0 END + CASE WHEN shared THEN 15 ELSE 0 END + 10 AS score FROM s)
+SELECT * FROM r WHERE score > 30""")
+def config_match_patterns(spark, sf):
+    """Configs that have hardly a name in common with a table, but forms of values: without those no pair has more than 30 points."""
+    saved = spark.createDataFrame([("ids", ["Part 1", "Part 9"], [("Part 1", "control_id")]), ("web", ["Part 2", "Part 8"], [("Link", "url")])], "config string, names array<string>, patterns array<struct<col:string,pattern:string>>")
+    normal = F.transform("names", lambda n: F.regexp_replace(F.trim(F.lower(n)), "[^a-z0-9]", "_"))
+    # The types are equal and both configs were used a day ago, which is 10 points for every pair.
+    configs = saved.select("config", F.to_date(F.lit("2024-01-31")).alias("last_used"), "names", normal.alias("normal"), F.size("names").alias("n_columns"), F.lit("-").alias("source_type"), F.lit(None).cast("string").alias("file_pattern"), "patterns")
+    tables = _forms(spark, sf).withColumn("source_type", F.lit("-"))
+    return P.match_configs(tables, configs, F.to_date(F.lit("2024-02-01")))
