@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -111,24 +111,36 @@ def _jaccard(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataF
     """Token sets with |a ∩ b| / |a ∪ b| >= threshold.
 
     Exact prefix filter: with tokens ordered from rare to frequent, two sets that reach the threshold share one of their first
-    n - ceil(t n) + 1 tokens, so only those are exploded and joined; sizes must be within the
-    threshold of each other; full sets decide.  Distinct values are compared, ids are joined back.
+    n - ceil(t n) + 1 tokens, so only those are exploded and joined; sizes must be within the threshold of each other.  Exact positional filter: at the first token that two sets share, at
+    places i and j, they can share at most 1 + min(na - i, nb - j); what cannot reach the threshold goes inside the join, before full sets
+    meet.  Full sets decide.  Distinct values are compared, ids are joined back.  Token counts are written first, so that a frequent token's rows can be split.
     """
     if threshold <= 0:
         raise ValueError("threshold must be above 0: at 0 every pair matches")
     a, b = _tokens(left, "left"), _tokens(right, "right")
-    count = a.select("set").unionByName(b.select("set")).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    near = _near(left.sparkSession, a, b, threshold).select("left", "right").distinct()
+    sized = near.join(a.select("left", F.col("set").alias("sa")), "left").join(b.select("right", F.col("set").alias("sb")), "right")
+    both = F.size(F.array_intersect("sa", "sb"))
+    scored = sized.withColumn("score", both / (F.size("sa") + F.size("sb") - both)).where(F.col("score") >= threshold).select("left", "right", "score")
+    return left.join(scored, "left").join(right, "right").select("left_id", "right_id", "score")
+
+
+def _near(spark: SparkSession, a: DataFrame, b: DataFrame, threshold: float, positions: bool = True) -> DataFrame:
+    """Candidates ``left, right`` by a shared token of both prefixes, once for each; ``positions`` says whether the positional filter is used."""
+    shared_folder(spark)
+    count = a.select("set").unionByName(b.select("set")).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df")).checkpoint()
 
     def prefixes(side: DataFrame, name: str) -> DataFrame:
         ranked = side.select(name, "n", F.explode("set").alias("token")).join(count, "token").groupBy(name, "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
         keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-        return ranked.select(name, F.explode(F.slice("ranked", F.lit(1), keep.cast("int"))).alias("t")).select(name, F.col("t.token").alias("token"))
+        return ranked.select(name, F.col("n").alias(f"n_{name}"), F.posexplode(F.slice("ranked", F.lit(1), keep.cast("int"))).alias(f"at_{name}", "t")).withColumn("token", F.col("t.token")).drop("t")
 
-    near = prefixes(a, "left").join(prefixes(b, "right"), "token").select("left", "right").distinct()
-    sized = near.join(a.select("left", F.col("set").alias("sa")), "left").join(b.select("right", F.col("set").alias("sb")), "right")
-    both = F.size(F.array_intersect("sa", "sb"))
-    scored = sized.withColumn("score", both / (F.size("sa") + F.size("sb") - both)).where(F.col("score") >= threshold).select("left", "right", "score")
-    return left.join(scored, "left").join(right, "right").select("left_id", "right_id", "score")
+    na, nb = F.col("n_left"), F.col("n_right")
+    fits = F.least(na, nb) >= threshold * F.greatest(na, nb) - 1e-9
+    if positions:
+        most = 1 + F.least(na - 1 - F.col("at_left"), nb - 1 - F.col("at_right"))
+        fits = fits & (most >= threshold / (1 + threshold) * (na + nb) - 1e-9)
+    return prefixes(a, "left").join(prefixes(b, "right"), "token").where(fits)
 
 
 @mode("seqratio")
@@ -151,7 +163,8 @@ def _seqratio(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> Data
         return df.select(c).distinct().withColumn("low", F.lower(c)).select(c, "low", F.length("low").alias("n"), F.when(F.length("low") == 0, F.array(F.lit(""))).otherwise(each).alias("set"))
 
     a, b = characters(left, "left"), characters(right, "right")
-    df = a.select("set").unionByName(b.select("set")).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    shared_folder(left.sparkSession)
+    df = a.select("set").unionByName(b.select("set")).select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df")).checkpoint()
 
     def prefixes(side: DataFrame, c: str) -> DataFrame:
         ranked = side.select(c, "low", "n", F.explode("set").alias("token")).join(df, "token").groupBy(c, "low", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
