@@ -216,3 +216,24 @@ def planted(doc_id: int, words: list[bytes]) -> list[bytes]:
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every whole text of ``documents``, with the contract's planted tails."""
     return find_runs(spark, table(spark, sf_dir, "documents"), change=planted)
+
+
+#: The whole query: crc32 from its table, matching words q apart as islands, the smallest period of each stretch.
+ORACLE_SQL = r"""
+WITH step AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+doc AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h
+  FROM documents, step),
+place AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM doc),
+unit AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM place),
+words AS (SELECT k, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM unit),
+flat AS MATERIALIZED (SELECT k, n, unnest(w) AS word, unnest(range(n)) AS i FROM words),
+pair AS (SELECT x.k, y.i - x.i AS q, x.i FROM flat x JOIN flat y ON x.k = y.k AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+island AS (SELECT k, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS g FROM pair) GROUP BY k, q, g),
+run AS (SELECT k, s, l, min(q) AS q FROM island WHERE l >= greatest(6, 4 * q) GROUP BY k, s, l),
+runs AS (SELECT k, count(*) AS n_runs, list({'s': s, 'l': l, 'q': q} ORDER BY s, q) AS rs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed, max({'l': l, 's': -s, 'q': -q}) AS best FROM run GROUP BY k),
+kept AS (SELECT words.k, words.doc_id, w, rs, n_runs, listed, best, CASE WHEN rs IS NULL THEN range(n) ELSE list_filter(range(n), lambda i: len(list_filter(rs, lambda r: i >= r.s + r.q AND i < r.s + r.l)) = 0) END AS left_ FROM words LEFT JOIN runs ON runs.k = words.k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.l AS length, -best.q AS period, 1000 * best.l // -best.q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(array_to_string(list_transform(left_, lambda i: w[1 + i]), ' ')) AS collapsed_sha256
+FROM kept
+"""
