@@ -15,6 +15,8 @@ from taxolink.operators import versions as V
 from taxolink.plans import table_queries as TQ
 from taxolink.plans.registry import query, table
 from taxolink.sources import note_store as S
+from taxolink.sources import readers as R
+from taxolink.sources import variants as VR
 from taxolink.sources.note_files import NoteFiles
 from taxolink.streaming import jobs as J
 from taxolink.streaming import keyed as K
@@ -251,3 +253,40 @@ def config_match_patterns(spark, sf):
     configs = saved.select("config", F.to_date(F.lit("2024-01-31")).alias("last_used"), "names", normal.alias("normal"), F.size("names").alias("n_columns"), F.lit("-").alias("source_type"), F.lit(None).cast("string").alias("file_pattern"), "patterns")
     tables = _forms(spark, sf).withColumn("source_type", F.lit("-"))
     return P.match_configs(tables, configs, F.to_date(F.lit("2024-02-01")))
+
+
+def _mixed(spark, sf):
+    """Orders as JSON lines whose total is a number, a text, an object or missing, and some lines that are no JSON."""
+    out = f"{G.shared_root(spark)}/taxolink-{uuid.uuid4().hex}/mixed"
+    key, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
+    total = F.when(key % 4 == 0, F.concat(F.lit(', "total": '), cents)).when(key % 4 == 1, F.concat(F.lit(', "total": "'), cents, F.lit(' cents"'))).when(key % 4 == 2, F.concat(F.lit(', "total": {"cents": '), cents, F.lit("}"))).otherwise("")
+    line = F.when(key % 50 == 7, F.concat(F.lit("{broken "), key)).otherwise(F.concat(F.lit('{"id": '), key, total, F.lit("}")))
+    table(spark, sf, "orders").select(line.alias("value")).write.text(out)
+    return VR.read_records(spark, out)
+
+
+_MIXED = "WITH o AS (SELECT o_orderkey AS k, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders) "
+
+
+@query(_MIXED + """SELECT k AS id, CASE k % 4 WHEN 0 THEN c || '' WHEN 1 THEN c || ' cents' WHEN 2 THEN '{"cents":' || c || '}' END AS total FROM o WHERE k % 50 <> 7""")
+def mixed_records(spark, sf):
+    """All values of a field whose type differs between records."""
+    return VR.fields(_mixed(spark, sf)[0], {"id": "id", "total": "total"}).select(F.col("id").cast("long").alias("id"), "total")
+
+
+@query(_MIXED + "SELECT CASE k % 4 WHEN 0 THEN 'BIGINT' WHEN 1 THEN 'STRING' WHEN 2 THEN 'OBJECT<cents: BIGINT>' ELSE 'missing' END AS shape, count(*) AS n FROM o WHERE k % 50 <> 7 GROUP BY 1 UNION ALL SELECT 'no JSON', count(*) FROM o WHERE k % 50 = 7")
+def record_shapes(spark, sf):
+    good, bad = _mixed(spark, sf)
+    return VR.shapes(good, "total").unionByName(bad.select(F.lit("no JSON").alias("shape"), F.lit(1).alias("one")).groupBy("shape").agg(F.count("*").alias("n")))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, year(o_orderdate) AS year, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS source_row FROM orders")
+def csv_blocks(spark, sf):
+    """Files of several blocks, one for each year, of wide lines: row numbers go on from block to block."""
+    out = f"{G.shared_root(spark)}/taxolink-{uuid.uuid4().hex}/blocks"
+    o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(","), "year", F.lit(","), F.repeat(F.lit("x"), 4000))
+    head = o.select(F.lit(-1).cast("long").alias("o_orderkey"), "year", F.lit("id,of,pad").alias("value")).distinct()
+    rows = head.unionByName(o.select("o_orderkey", "year", line.alias("value"))).repartition("year").sortWithinPartitions("year", "o_orderkey")
+    rows.select("year", "value").write.partitionBy("year").text(out)
+    return R.read_csv(spark, out, provenance=True, multi_line=False).select("id", F.col("of").cast("int").alias("year"), "source_row")
