@@ -280,12 +280,19 @@ def record_shapes(spark, sf):
     return VR.shapes(good, "total").unionByName(bad.select(F.lit("no JSON").alias("shape"), F.lit(1).alias("one")).groupBy("shape").agg(F.count("*").alias("n")))
 
 
+#: Bytes of padding in all files of ``csv_blocks`` together.
+_FILL = 60_000_000
+
+
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, year(o_orderdate) AS year, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS source_row FROM orders")
 def csv_blocks(spark, sf):
-    """Files of several blocks, one for each year, of wide lines: row numbers go on from block to block."""
+    """Files of several blocks, one for each year: row numbers go on from block to block.
+
+    Lines are filled up to about ``_FILL`` bytes in all, so that small tables have several blocks, too; larger ones have them by their rows.
+    """
     out = f"{G.shared_root(spark)}/taxolink-{uuid.uuid4().hex}/blocks"
     o = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
-    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(","), "year", F.lit(","), F.repeat(F.lit("x"), 4000))
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(","), "year", F.lit(","), F.repeat(F.lit("x"), F.lit(_FILL // max(1, o.count()))))
     head = o.select(F.lit(-1).cast("long").alias("o_orderkey"), "year", F.lit("id,of,pad").alias("value")).distinct()
     rows = head.unionByName(o.select("o_orderkey", "year", line.alias("value"))).repartition("year").sortWithinPartitions("year", "o_orderkey")
     rows.select("year", "value").write.partitionBy("year").text(out)

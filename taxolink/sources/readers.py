@@ -44,17 +44,16 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str | None = "
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` (with ``_file``, ``_block`` last) with ``source_file`` and ``source_row``, 1-based within its file.
 
-    Ids rise within a partition.  Rows are counted per file block, the counts are summed over the few blocks, and a row's number is its
-    block's start and its place inside, so no window spans a file.
+    A block's rows are read by one task one after the other, so their ids have no gaps: a row's place is its id less the least of its block.  Rows are counted per
+    block, the counts are summed over the few blocks and met by broadcast, so rows are neither shuffled nor sorted.
     """
+    part = F.shiftright("_id", 33)
     inner = df.withColumn("_id", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.partitionBy("_file", "_block", F.shiftright("_id", 33)).orderBy("_id"))
-    marked = inner.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", place)
-    sizes = inner.groupBy("_file", "_block", F.shiftright("_id", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    sizes = inner.groupBy("_file", "_block", part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block", "_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), F.col("_part").alias("_p"), before.alias("_start"))
-    got = marked.join(starts, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")) & (F.col("_part") == F.col("_p")))
-    return got.select(*(f"`{c}`" for c in df.columns if c not in ("_file", "_block")), F.col("_file").alias("source_file"), (F.col("_start") + F.col("_place")).alias("source_row"))
+    starts = sizes.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), F.col("_part").alias("_p"), (before - F.col("_least") + 1).alias("_shift"))
+    got = inner.join(F.broadcast(starts), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")) & (part == F.col("_p")))
+    return got.select(*(f"`{c}`" for c in df.columns if c not in ("_file", "_block")), F.col("_file").alias("source_file"), (F.col("_id") + F.col("_shift")).alias("source_row"))
 
 
 def promote_header(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -186,3 +186,15 @@ def test_positions_bound_the_overlap(spark):
         a, b = (M._tokens(df.select(F.col("value").alias(n)).where(f"{n} <> ''"), n) for n in ("left", "right"))
         few, many = (M._near(spark, a, b, t, positions).count() for positions in (True, False))
         assert few < many
+
+
+def test_csv_blocks_disk(spark, sf_dir, tmp_path, monkeypatch):
+    """The files grow with the rows, not with 4,000 bytes a row, and rows are still numbered through."""
+    from taxolink.plans import derived_queries as D
+
+    monkeypatch.setattr(D.G, "shared_root", lambda spark: f"file://{tmp_path}/out")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    orders.crossJoin(spark.range(40).withColumnRenamed("id", "i")).selectExpr("o_orderkey * 40 + i as o_orderkey", "o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = D.csv_blocks(spark, str(tmp_path)).groupBy("year").agg(F.count("*").alias("n"), F.min("source_row").alias("a"), F.max("source_row").alias("b"), F.count_distinct("source_row").alias("d")).collect()
+    assert all(r["a"] == 1 and r["b"] == r["d"] == r["n"] for r in got) and sum(r["n"] for r in got) == 40 * orders.count()
+    assert 50e6 < sum(f.stat().st_size for f in tmp_path.glob("out/**/*.txt")) < 80e6
