@@ -70,6 +70,7 @@ def _regex(left: DataFrame, right: DataFrame, flags: str = "", block: int = 10_0
     Patterns of which something is known that every match holds meet the values with that trigram only (see ``regex_index``).  The others, and all where there are
     but ``few``, go to all tasks in blocks of about ``block`` patterns and ``block_bytes``; with more than one block, each one's hits are
     written (to the checkpoint folder) before the next one comes.  Patterns and values are distinct, so equal texts are tested once.
+    Joins that grow with both tables are merges by hint: patterns that are much alike are small where they are compressed, and would be broadcast for that.
     """
     shared_folder(left.sparkSession)
     patterns = _patterns(left, flags).where(X.valid(F.col("p"))).checkpoint()
@@ -79,7 +80,7 @@ def _regex(left: DataFrame, right: DataFrame, flags: str = "", block: int = 10_0
         values = values.checkpoint()
         covers = X.pattern_covers(patterns, "p").checkpoint()
         hits.append(_by_trigrams(patterns, values, covers))
-        open_ = patterns.join(covers.select("p").distinct(), "p", "left_anti")
+        open_ = patterns.join(covers.select("p").distinct().hint("merge"), "p", "left_anti")
     size = open_.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("p")), F.lit(0)).alias("b")).first()
     n = max(-(-size["n"] // block), -(-size["b"] // block_bytes))
     for i in range(n):
@@ -87,18 +88,18 @@ def _regex(left: DataFrame, right: DataFrame, flags: str = "", block: int = 10_0
         hits.append(some.checkpoint() if n > 1 else some)
     if not hits:
         return left.sparkSession.createDataFrame([], StructType([left.schema["left_id"], right.schema["right_id"]]))
-    return left.join(reduce(DataFrame.unionByName, hits), "left").join(right, "right").select("left_id", "right_id")
+    return left.join(reduce(DataFrame.unionByName, hits).hint("merge"), "left").join(right.hint("merge"), "right").select("left_id", "right_id")
 
 
 def _by_trigrams(patterns: DataFrame, values: DataFrame, covers: DataFrame) -> DataFrame:
     """``left, right`` for the patterns with a cover: each one's rarest cover picks the values on which it is tried."""
-    grams = X.value_grams(values, "right").join(covers.select("gram").distinct(), "gram", "left_semi").checkpoint()
+    grams = X.value_grams(values, "right").join(covers.select("gram").distinct().hint("merge"), "gram", "left_semi").checkpoint()
     count = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    weight = covers.join(count, "gram", "left").groupBy("p", "cover").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    weight = covers.join(count.hint("merge"), "gram", "left").groupBy("p", "cover").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     best = weight.groupBy("p").agg(F.min_by("cover", F.struct("n", "cover")).alias("cover"))
     # Written, so that the join below has no aggregate in its stages and a frequent trigram's rows can be split.
-    rare = covers.join(best, ["p", "cover"]).join(patterns, "p").select("left", "p", "gram").checkpoint()
-    return rare.join(grams, "gram").where(F.expr("right rlike p")).select("left", "right").distinct()
+    rare = covers.join(best.hint("merge"), ["p", "cover"]).join(patterns.hint("merge"), "p").select("left", "p", "gram").checkpoint()
+    return rare.join(grams.hint("merge"), "gram").where(F.expr("right rlike p")).select("left", "right").distinct()
 
 
 def _tokens(df: DataFrame, name: str) -> DataFrame:

@@ -62,3 +62,19 @@ def test_many_patterns(spark):
     values = spark.range(20_000).selectExpr("id", "concat('item ', id % 1000, ' of box ', id) as value")
     got = M.match(patterns, values, "regex")
     assert got.where("left_id = right_id").count() == got.count() == 20_000
+
+
+def test_long_grams():
+    """Longer runs have covers of their own; what is certain stays certain."""
+    assert X.covers("^Ab#0*12345$", X.SIZES) == [("123",), ("12345",), ("234",), ("345",), ("ab#",)]
+    assert X.covers("(abcde|xyz)", X.SIZES) == [("abc", "xyz")]
+
+
+def test_patterns_that_are_alike_are_not_broadcast(spark):
+    """Patterns that compress well reach no broadcast, and few values are tried for each."""
+    n = 30_000
+    patterns = spark.range(n).selectExpr("id", "concat('Customer#0*', 100000 + id, '$') as value")
+    values = spark.range(n).selectExpr("id", "concat('Customer#000', 100000 + id) as value")
+    got = M.match(patterns, values, "regex")
+    assert got.where("left_id = right_id").count() == got.count() == n
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
