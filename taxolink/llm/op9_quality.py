@@ -6,9 +6,10 @@ sigmoid(w . (x_a - x_b)), by Newton steps on the logistic loss of feature differ
 The threshold is a quantile of the labelled strengths, at the share of documents labelled 0; strengths are
 mapped to scores so that this quantile gets ``CUT``.
 
-How it runs at scale: the model is fitted on at most ``SAMPLE`` labelled documents (hash order, so the same on every run)
-and ``PAIRS`` pairs; only their feature vectors reach the driver.  Scoring is one pass over the
-documents, whole, without a shuffle.
+How it runs at scale: the model is learned from every labelled document that is not held out.  Their feature vectors are dealt by the hash of their ids into parts of about ``PART`` rows and
+written.  In its part, each document of either label is in preference pairs: with all of the other label where these are few, else with at least ``PARTNERS`` (the smaller label's rows
+repeat).  Means, deviations and the gradient and Hessian of every Newton step are sums over all parts, added in their order; a part sends about 24 KB to the driver for a step.
+The threshold is the exact quantile of all labelled strengths, found by counts in ever narrower bins.  Scoring is one pass, without a shuffle.
 
 Inputs of a score are features of the text alone.  Null text is empty text; an empty text has
 zero features and is scored like any other, a very long one is read whole.  An empty table gives no rows; repeated rows get equal scores;
@@ -20,7 +21,7 @@ labels of both kinds nothing can be learned: every score is 0.5.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from taxolink.llm.common import small_batches, table, unused
-
-#: Labelled documents that the model may be fitted on at most, and preference pairs drawn from them.
-SAMPLE, PAIRS = 20_000, 50_000
+from taxolink.operators.graph import shared_folder
+
+#: Labelled documents that are paired with each other, about.
+PART = 20_000
+#: Pairs of a document at least, and pairs of a part up to which it gets more.
+PARTNERS, PAIRS = 3, 50_000
+#: Bins of a pass over the strengths, and rows of one bin that are sorted.
+BINS, FEW = 1_000, 10_000
 #: The score at the threshold.
 CUT = 0.3
 #: Ids whose crc32 modulo this is 0 are held out.
@@ -106,8 +112,35 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+def step_sums(d: np.ndarray, w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, gradient and Hessian of the pairs with differences ``d``, without the penalty."""
+    p = 1 / (1 + np.exp(-np.clip(d @ w, -50, 50)))
+    return len(d), d.T @ (1 - p), (d * (p * (1 - p))[:, None]).T @ d
+
+
+def newton(size: int, sums: Callable[[np.ndarray], tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The weights of least penalised loss; ``sums`` are those of ``step_sums`` over all pairs."""
+    w = np.zeros(size)
+    for _ in range(25):
+        n, gradient, hessian = sums(w)
+        step = np.linalg.solve(hessian / n + 2 * PENALTY * np.eye(size), gradient / n - 2 * PENALTY * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def part_pairs(z: np.ndarray, y: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """Differences good - bad in which every row takes part; ``means`` (of label 0, of label 1) stand for a label that the part lacks."""
+    good, bad = (z[y == k] if (y == k).any() else means[k : k + 1] for k in (1, 0))
+    many, few = max(len(good), len(bad)), min(len(good), len(bad))
+    rounds = min(few, max(PARTNERS, PAIRS // many))
+    i, shift = np.arange(many), max(1, few // rounds)
+    return np.concatenate([good[(i if len(good) == many else i + k * shift) % len(good)] - bad[(i + k * shift if len(good) == many else i) % len(bad)] for k in range(rounds)])
+
+
 def fit_pairs(x: np.ndarray, y: np.ndarray, n_pairs: int = PAIRS, seed: int = 0) -> Model | None:
-    """A model from feature rows ``x`` and labels ``y`` in {0, 1}; None without both labels."""
+    """A model from feature rows ``x`` and labels ``y`` in {0, 1} at hand, by ``n_pairs`` drawn pairs; None without both labels.  ``learn`` does it for tables, with every row."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return None
@@ -116,13 +149,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, n_pairs: int = PAIRS, seed: int = 0)
     z = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(seed)
     d = z[rng.choice(good, n_pairs)] - z[rng.choice(bad, n_pairs)]
-    w = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -50, 50)))
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 2 * PENALTY * np.eye(len(w)), d.T @ (1 - p) / len(d) - 2 * PENALTY * w)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
-            break
+    w = newton(x.shape[1], lambda w: step_sums(d, w))
     s = z @ w
     middle = float(np.quantile(s, len(bad) / len(s), method="midpoint"))
     return Model(mean, scale, w, middle, max(1e-9, float(s.std()) / 2))
@@ -142,17 +169,107 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """Learn from the labelled rows of ``docs(doc_id, text)`` that are not held out, ``sample`` of them at most."""
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """``doc_id, x, y``: the rows of ``docs(doc_id, x)`` that have a label and are not held out."""
     y = F.col(label_col).try_cast("double")  # tested before it becomes an integer: 0.7 is no label
-    known = labels.where(y.isin(0.0, 1.0)).select(F.col("doc_id").cast("long").alias("doc_id"), y.cast("int").alias("_tl_y")).where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.min("_tl_y").alias("_tl_y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows, so it may be broadcast
-    ids = F.broadcast(chosen.select("doc_id"))
-    rows = feature_table(docs.join(ids, "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample).collect()
-    if not rows:
+    known = labels.where(y.isin(0.0, 1.0)).select(F.col("doc_id").cast("long").alias("doc_id"), y.cast("int").alias("y")).where(~held_out(F.col("doc_id")))
+    return docs.join(known.groupBy("doc_id").agg(F.min("y").alias("y")), "doc_id")
+
+
+def _in_parts(rows: DataFrame, fields: str, f: Callable[[np.ndarray, np.ndarray], list]) -> DataFrame:
+    """One row per part of ``rows(part, x, y)``, which are its partitions: ``part`` and what ``f(x, y)`` gives."""
+    names = ["part", *(x.split()[0] for x in fields.split(","))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, xs, ys = 0, [], []
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column("part")[0].as_py()
+                xs.append(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                ys.append(batch.column("y").to_numpy(zero_copy_only=False))
+        if xs:
+            yield pa.RecordBatch.from_arrays([pa.array([part]), *(pa.array([v]) for v in f(np.concatenate(xs), np.concatenate(ys)))], names)
+
+    return rows.mapInArrow(run, f"part long, {fields}")
+
+
+def _moments(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, mean and squared deviations of all parts together, from theirs."""
+    n, mean, dev = 0, 0.0, 0.0
+    for m, a, d in parts:
+        if m:
+            gap = a - mean
+            n, mean, dev = n + m, mean + gap * (m / (n + m)), dev + d + gap * gap * (n * m / (n + m))
+    return n, mean, dev
+
+
+def learn(rows: DataFrame) -> Model | None:
+    """A model from all of ``rows(doc_id, x, y)``; None without both labels.  The same for the same rows, in whatever order they come."""
+    shared_folder(rows.sparkSession)
+    rows = rows.checkpoint()
+    n_parts = max(1, round(rows.count() / PART))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(n_parts))
+    rows = rows.withColumn("part", part).repartitionById(n_parts, F.col("part").cast("int")).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id", "x").select("part", "x", "y").checkpoint()
+
+    def moments(x: np.ndarray, y: np.ndarray) -> list:
+        got = []
+        for k in (0, 1):
+            own = x[y == k]
+            mean = own.mean(axis=0) if len(own) else np.zeros(x.shape[1])
+            got += [len(own), mean, ((own - mean) ** 2).sum(axis=0)]
+        return got
+
+    got = sorted(_in_parts(rows, "n0 long, m0 array<double>, d0 array<double>, n1 long, m1 array<double>, d1 array<double>", moments).collect())
+    each = [_moments([(r[f"n{k}"], np.array(r[f"m{k}"]), np.array(r[f"d{k}"])) for r in got]) for k in (0, 1)]
+    if not each[0][0] or not each[1][0]:
         return None
-    return fit_pairs(np.array([r["x"] for r in rows]), np.array([r["_tl_y"] for r in rows]))
+    n, mean, dev = _moments(each)
+    scale = np.sqrt(dev / n)
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    normal = lambda x: np.clip((x - mean) / scale, -8, 8)
+    centres, size = normal(np.array([each[0][1], each[1][1]])), len(mean)
+
+    def sums(w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        def one(x: np.ndarray, y: np.ndarray) -> list:
+            m, gradient, hessian = step_sums(part_pairs(normal(x), y, centres), w)
+            return [m, gradient, hessian.ravel()]
+
+        found = sorted(_in_parts(rows, "n long, g array<double>, h array<double>", one).collect())
+        return sum(r["n"] for r in found), np.sum([r["g"] for r in found], axis=0), np.sum([r["h"] for r in found], axis=0).reshape(size, size)
+
+    w = newton(size, sums)
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
+            yield pa.RecordBatch.from_arrays([pa.array(normal(x) @ w)], ["s"])
+
+    s = rows.select("x").mapInArrow(strengths, "s double").checkpoint()
+    at = each[0][0] * (n - 1) // n
+    middle = (kth(s, at) + kth(s, at + 1)) / 2
+    spread = s.agg(F.stddev_pop("s")).first()[0]
+    return Model(mean, scale, w, middle, max(1e-9, spread / 2))
+
+
+def kth(s: DataFrame, k: int) -> float:
+    """The value of ``s(s double)`` at place ``k`` from 0 in ascending order: counts in bins, of which one is cut again, until it has few rows or one value."""
+    while True:
+        low, high, n = s.agg(F.min("s"), F.max("s"), F.count("*")).first()
+        if low == high:
+            return low
+        if n <= FEW:
+            return sorted(r[0] for r in s.collect())[k]
+        place = F.least(F.floor((F.col("s") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        for r in s.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("bin").collect():
+            if k < r["n"]:
+                s = s.where(F.col("s").between(r["low"], r["high"]))
+                break
+            k -= r["n"]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> Model | None:
+    """Learn from all labelled rows of ``docs(doc_id, text)`` that are not held out."""
+    return learn(labelled(feature_table(docs), labels, label_col))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -167,6 +284,18 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out: str
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
+def score_features(rows: DataFrame, model: Model | None) -> DataFrame:
+    """``doc_id, score`` of ``rows(doc_id, x)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else None
+            values = model.scores(x) if model and x is not None else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "score"])
+
+    return rows.mapInArrow(run, "doc_id long, score double")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score ``CUT`` or more, columns unchanged."""
     small_batches(spark)
@@ -177,6 +306,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
 
 def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    shared_folder(spark)
+    docs = feature_table(table(spark, sf_dir, "documents").select("doc_id", "text")).checkpoint()
+    got = score_features(docs, learn(labelled(docs, table(spark, sf_dir, "labels"))))
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -551,6 +551,36 @@ def test_quality_query_is_the_model(spark, sf_dir, documents):
         assert r["score"] == pytest.approx(float(model.scores(np.array([o9.features(documents[r["doc_id"]]["text"])]))[0]))
 
 
+def test_every_label_counts(spark):
+    """Moments, pairs and threshold are those of all labelled rows, of more than one part, in whatever order they come."""
+    rng = np.random.default_rng(1)
+    n = 45_000
+    y = (rng.random(n) < 0.8).astype(int)
+    x = np.column_stack([rng.normal(size=n) + y, rng.normal(size=n) - 0.5 * y, np.full(n, 0.3)])
+    rows = spark.createDataFrame([(i, v, k) for i, (v, k) in enumerate(zip(x.tolist(), y.tolist(), strict=True))], "doc_id long, x array<double>, y int")
+    m = o9.learn(rows)
+    assert m.mean == pytest.approx(x.mean(axis=0)) and m.scale == pytest.approx([*x.std(axis=0)[:2], 1.0])
+    s = m.strengths(x)
+    assert m.middle == pytest.approx(np.quantile(s, (y == 0).mean(), method="midpoint"), abs=1e-12) and m.spread == pytest.approx(s.std() / 2)
+    again = o9.learn(rows.orderBy(F.desc("doc_id")))
+    assert (again.weights == m.weights).all() and again.middle == m.middle
+    values = spark.createDataFrame([(float(v),) for v in np.concatenate([s, np.full(12_000, 0.25)])], "s double")
+    ranked = np.sort(np.concatenate([s, np.full(12_000, 0.25)]))
+    assert [o9.kth(values, k) for k in (0, 20_000, len(ranked) - 1)] == [ranked[0], ranked[20_000], ranked[-1]]
+
+
+@pytest.mark.parametrize("counts", [(1, 1), (3, 500), (900, 40), (0, 20), (20, 0)])
+def test_pairs_of_a_part(counts):
+    """Each row is in a pair, all pairs where they are few, and the mean stands for a label that is missing."""
+    y = np.repeat([0, 1], counts)
+    z = np.arange(len(y), dtype=float)[:, None] * np.where(y == 1, 1, -10_000)[:, None]
+    d = o9.part_pairs(z, y, np.array([[-5e7], [5e3]]))
+    if min(counts):
+        assert {float(v) for v in d[:, 0]} == {float(a - b) for a in z[y == 1][:, 0] for b in z[y == 0][:, 0]}
+    else:
+        assert len(d) == sum(counts)
+
+
 def test_labels_that_are_none(spark):
     """0.7 is no label, nor is 7; ids with several labels take the least."""
     docs = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(40)], "doc_id long, text string")
