@@ -20,6 +20,8 @@ COMPOSED = {
     ("subset", "none"): "none",
     ("none", "superset"): "none",
 }
+#: Edges that are sent to all tasks, at most.
+FEW_EDGES = 10_000
 #: Hops after which the pairs seen so far are written as one table, so that plans of long chains stay small.
 CUT_HOPS = 10
 
@@ -68,12 +70,18 @@ def reachable(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_hops
     """``start, node, hops``: the least number of hops from each start; cycles end as seen pairs are dropped.
 
     Goes on until no pair is new; only a caller that gives ``max_hops`` gets nodes up to that many hops away.
+    Edges of up to ``FEW_EDGES`` that a round can use go to all tasks: many starts may stand at a few nodes, whose rows would meet in a few tasks otherwise.
     """
     shared_folder(spark)
     e = edges.select(F.col("src_id").alias("_s"), F.col("dst_id").alias("_d")).distinct()
     seen = front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("hops")).distinct()
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
-        step = front.join(e, F.col("node") == F.col("_s")).select("start", F.col("_d").alias("node")).distinct()
+        ahead = e.join(front.select("node").distinct(), F.col("_s") == F.col("node"), "left_semi")
+        if ahead.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+            ahead = F.broadcast(ahead)
+        else:
+            ahead = e
+        step = front.join(ahead, F.col("node") == F.col("_s")).select("start", F.col("_d").alias("node")).distinct()
         front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if front.isEmpty():
             break
