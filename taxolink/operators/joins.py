@@ -12,6 +12,15 @@ from pyspark.sql.types import StringType
 from taxolink.functions import text as T
 
 
+#: Rows of a task where a shuffle is sized by rows.
+TASK_ROWS = 250_000
+
+
+def parts(rows: int) -> int:
+    """Partitions for so many rows.  Shuffles are sized by compressed bytes otherwise, and rows that are much alike need many times those in memory."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def join_keep_left(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """A join whose right side first loses the columns that the left has, so no suffixes arise."""
     return left.join(right.drop(*(c for c in right.columns if c in left.columns and c not in on)), list(on), how)
@@ -114,17 +123,23 @@ def directed(edges: DataFrame, link: LinkPass) -> DataFrame:
     return got.withColumn("rendered", T.framework_link(F.col("dst_id"), link.prefix, link.alias, link.markdown))
 
 
-def link_pass(source: DataFrame, source_id: str, target: DataFrame, target_id: str, pairs: DataFrame, link: LinkPass) -> DataFrame:
-    """The whole pass: right ids of each source id, existing targets only, written in the directions asked for."""
+def link_pass(source: DataFrame, source_id: str, target: DataFrame, target_id: str, pairs: DataFrame, link: LinkPass, n_parts: int | None = None) -> DataFrame:
+    """The whole pass: right ids of each source id, existing targets only, written in the directions asked for.
+
+    With ``n_parts`` (see ``parts``) sources and pairs are dealt by id into so many partitions.
+    """
     sources = source.select(F.col(source_id).cast(pairs.schema["left_id"].dataType).alias("id")).distinct()
     targets = target.select(F.col(target_id).cast(pairs.schema["right_id"].dataType).alias("id"))
+    if n_parts:
+        sources, pairs = sources.repartition(n_parts, "id"), pairs.repartition(n_parts, "left_id")
     return directed(existing(mapped_edges(sources, "id", pairs), targets, "id"), link)
 
 
-def link_counts(edges: DataFrame, distinct: bool = False) -> DataFrame:
-    """Links per framework; ``distinct`` counts a repeated edge once."""
+def link_counts(edges: DataFrame, distinct: bool = False, n_parts: int | None = None) -> DataFrame:
+    """Links per framework; ``distinct`` counts a repeated edge once, in ``n_parts`` partitions if given."""
     if distinct:
-        edges = edges.select("src_fw", "src_id", "dst_fw", "dst_id").distinct()
+        edges = edges.select("src_fw", "src_id", "dst_fw", "dst_id")
+        edges = (edges.repartition(n_parts, *edges.columns) if n_parts else edges).distinct()
     return edges.groupBy(F.col("src_fw").alias("fw")).agg(F.count("*").alias("n_links"))
 
 

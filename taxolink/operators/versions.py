@@ -133,8 +133,13 @@ def scd1(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return current.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def scd2(history: DataFrame, new: DataFrame, key: str, columns: Sequence[str], at: Column) -> DataFrame:
-    """The next history ``(key, columns, valid_from, valid_to)``: changed and removed rows are closed at ``at``, changed and new ones opened."""
+def scd2(history: DataFrame, new: DataFrame, key: str, columns: Sequence[str], at: Column, n_parts: int | None = None) -> DataFrame:
+    """The next history ``(key, columns, valid_from, valid_to)``: changed and removed rows are closed at ``at``, changed and new ones opened.
+
+    With ``n_parts`` (see ``joins.parts``) both sides are dealt by key into so many partitions.
+    """
+    if n_parts:
+        history, new = history.repartition(n_parts, key), new.repartition(n_parts, key)
     open_, closed = history.where("valid_to is null"), history.where("valid_to is not null")
     n = new.select(F.col(key).alias("_k"), _hash(columns).alias("_h1"))
     marked = open_.withColumn("_h0", _hash(columns)).join(n, F.col(key) == F.col("_k"), "left")
@@ -152,8 +157,10 @@ def scd3(current: DataFrame, new: DataFrame, key: str, column: str) -> DataFrame
     return new.join(was, key, "left").withColumn(f"previous_{column}", F.when(~F.col("_was").eqNullSafe(F.col(column)), F.col("_was"))).drop("_was")
 
 
-def scd6(history: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """A version history with every row's current values beside its own."""
+def scd6(history: DataFrame, key: str, columns: Sequence[str], n_parts: int | None = None) -> DataFrame:
+    """A version history with every row's current values beside its own, dealt by key into ``n_parts`` if given."""
+    if n_parts:
+        history = history.repartition(n_parts, key)
     now = history.where("valid_to is null").select(key, *(F.col(c).alias(f"current_{c}") for c in columns))
     return history.join(now, key, "left")
 

@@ -194,8 +194,9 @@ UNION ALL SELECT o_orderkey, 'X', 'X' FROM orders WHERE o_orderkey % 7 = 0""")
 def scd6(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
     history = o.select("k", "s", F.lit(1).alias("valid_from"), F.lit(None).cast("int").alias("valid_to"))
-    after = V.scd2(history, o.withColumn("s", F.when(F.col("k") % 7 == 0, "X").otherwise(F.col("s"))), "k", ["s"], F.lit(2))
-    return V.scd6(after, "k", ["s"]).select("k", "s", "current_s")
+    n_parts = J.parts(o.count())
+    after = V.scd2(history, o.withColumn("s", F.when(F.col("k") % 7 == 0, "X").otherwise(F.col("s"))), "k", ["s"], F.lit(2), n_parts)
+    return V.scd6(after, "k", ["s"], n_parts).select("k", "s", "current_s")
 
 
 @query("""
