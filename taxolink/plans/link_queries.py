@@ -13,11 +13,11 @@ from taxolink.operators import match as M
 from taxolink.plans.registry import query, table
 
 
-def _edges(spark, sf):
+def _edges(spark, sf, n_parts=None):
     """Orders and parts as nodes, lineitem as the mapping between them."""
     pairs = J.mapping_pairs(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
     link = J.LinkPass("orders_parts", "orders", "parts")
-    return J.link_pass(table(spark, sf, "orders"), "o_orderkey", table(spark, sf, "part"), "p_partkey", pairs, link)
+    return J.link_pass(table(spark, sf, "orders"), "o_orderkey", table(spark, sf, "part"), "p_partkey", pairs, link, n_parts)
 
 
 @query("""
@@ -33,7 +33,8 @@ WITH e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem
   WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND l_partkey IN (SELECT p_partkey FROM part))
 SELECT fw, count(*) AS n_links FROM (SELECT 'orders' AS fw FROM e UNION ALL SELECT 'parts' FROM e) GROUP BY fw""")
 def link_pass_distinct(spark, sf):
-    return J.link_counts(_edges(spark, sf), distinct=True)
+    n_parts = J.parts(2 * table(spark, sf, "lineitem").count())
+    return J.link_counts(_edges(spark, sf, n_parts), distinct=True, n_parts=n_parts)
 
 
 @query("""
