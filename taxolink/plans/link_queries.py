@@ -124,10 +124,13 @@ def multi_map(spark, sf):
 SELECT l_orderkey AS order_id, l_partkey AS part_id, count(*) AS n FROM lineitem GROUP BY ALL""")
 def multi_value_mapping(spark, sf):
     """Right cells hold many ids in markup; ids are extracted before the join."""
-    cells = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.lit("P-"), "l_partkey", F.lit(' [part](u "t")'))), "<br><br>").alias("cell"))
-    pairs = J.mapping_pairs(cells, "l_orderkey", "cell", id_pattern=r"P-\d+")
-    got = J.mapped_edges(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id")), "id", pairs)
-    return got.groupBy(F.col("src_id").cast("long").alias("order_id"), F.substring("dst_id", 3, 20).cast("long").alias("part_id")).agg(F.count("*").alias("n"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    n = J.parts(li.count())
+    cells = li.repartition(n, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.lit("P-"), "l_partkey", F.lit(' [part](u "t")'))), "<br><br>").alias("cell"))
+    pairs = J.mapping_pairs(cells, "l_orderkey", "cell", id_pattern=r"P-\d+").repartition(n, "left_id")
+    got = J.mapped_edges(table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id")).repartition(n, "id"), "id", pairs)
+    ids = got.select(F.col("src_id").cast("long").alias("order_id"), F.substring("dst_id", 3, 20).cast("long").alias("part_id"))
+    return ids.repartition(n, "order_id", "part_id").groupBy("order_id", "part_id").agg(F.count("*").alias("n"))
 
 
 @query("""
