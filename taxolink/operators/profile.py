@@ -13,6 +13,8 @@ from taxolink.functions import text as T
 TYPE_SHARE, PATTERN_SHARE = 0.8, 0.7
 #: Rows that patterns are looked for in, and values kept as samples.
 PATTERN_ROWS, SAMPLES = 20, 5
+#: Saved configs that are broadcast, at most.
+FEW_CONFIGS = 1_000
 #: What boolean text looks like, and the patterns in order of precedence.
 BOOLEANS = ("true", "false", "yes", "no", "1", "0")
 PATTERNS = (
@@ -132,7 +134,10 @@ def match_configs(tables: DataFrame, configs: DataFrame, now: Column, least: int
     cues = lambda normal, pats, file: F.array_distinct(F.concat(F.transform(normal, lambda n: F.concat(F.lit("c:"), n)), F.transform(pats, lambda p: F.concat(F.lit("p:"), p["pattern"])), F.transform(F.filter(F.split(F.coalesce(file, F.lit("")), r"\*"), lambda x: x != ""), lambda x: F.concat(F.lit("f:"), x))))
     a = t.select("tbl", F.explode(cues(F.col("normal"), F.col("patterns"), F.col("file_pattern"))).alias("cue"))
     b = c.select("config", F.explode(cues(F.col("c_normal"), F.col("c_patterns"), F.col("c_file_pattern"))).alias("cue"))
-    pairs = a.join(b, "cue").select("tbl", "config").distinct().join(t, "tbl").join(c, "config")
+    # Saved configs are few: a table of them by cue or name goes to all tasks, as all tables would meet in one task for each config otherwise.
+    few = configs.limit(FEW_CONFIGS + 1).count() <= FEW_CONFIGS
+    to_all = F.broadcast if few else (lambda df: df)
+    pairs = a.join(to_all(b), "cue").select("tbl", "config").distinct().join(t, "tbl").join(to_all(c), "config")
     larger = F.greatest("n_columns", "c_n_columns")
     exact = F.size(F.array_intersect("names", "c_names")) / larger
     normal = F.size(F.array_intersect("normal", "c_normal")) / larger

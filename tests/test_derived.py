@@ -198,3 +198,40 @@ def test_csv_blocks_disk(spark, sf_dir, tmp_path, monkeypatch):
     got = D.csv_blocks(spark, str(tmp_path)).groupBy("year").agg(F.count("*").alias("n"), F.min("source_row").alias("a"), F.max("source_row").alias("b"), F.count_distinct("source_row").alias("d")).collect()
     assert all(r["a"] == 1 and r["b"] == r["d"] == r["n"] for r in got) and sum(r["n"] for r in got) == 40 * orders.count()
     assert 50e6 < sum(f.stat().st_size for f in tmp_path.glob("out/**/*.txt")) < 80e6
+
+
+def test_configs_go_to_all_tasks(spark):
+    """Tables meet few configs by broadcast, so that no task holds all tables of one config."""
+    from taxolink.operators import profile as P
+
+    one = lambda name, key: spark.createDataFrame([(k, ["a", "b"], ["a", "b"], 2, "s", "x*") for k in name], f"{key} string, names array<string>, normal array<string>, n_columns int, source_type string, file_pattern string")
+    configs = one(["c", "d"], "config").withColumn("last_used", F.lit("2024-01-01").cast("date"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = P.match_configs(one(["t", "u"], "tbl"), configs, F.lit("2024-01-02").cast("date"))
+        assert got._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 2
+        assert {tuple(r) for r in got.collect()} == {(t, c, 70) for t in "tu" for c in "cd"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_partitions_by_rows(spark):
+    """Rows that compress well are dealt by their number; results are the same."""
+    assert [J.parts(n) for n in (0, 1, J.TASK_ROWS, J.TASK_ROWS + 1)] == [1, 1, 1, 2]
+    edges = spark.range(1000).selectExpr("'a' as src_fw", "id % 10 as src_id", "'b' as dst_fw", "id % 3 as dst_id")
+    assert [tuple(r) for r in J.link_counts(edges, distinct=True, n_parts=7).collect()] == [("a", 30)]
+    history = spark.createDataFrame([(1, "x", 1, None), (2, "y", 1, None), (2, "z", 0, 1)], "k int, s string, valid_from int, valid_to int")
+    new = spark.createDataFrame([(1, "w"), (3, "v")], "k int, s string")
+    rows = lambda *n: sorted(map(tuple, V.scd6(V.scd2(history, new, "k", ["s"], F.lit(2), *n), "k", ["s"], *n).select("k", "s", "valid_from", F.coalesce("valid_to", F.lit(-1)), F.coalesce("current_s", F.lit(""))).collect()))
+    assert rows(5) == rows() and len(rows(5)) == 5
+
+
+def test_reachable_from_many_starts(spark, monkeypatch):
+    """Edges of few nodes go to all tasks, those of many are shuffled; both give the same."""
+    edges = spark.createDataFrame([*((f"s{i}", f"m{i % 3}") for i in range(200)), ("m0", "top"), ("m1", "top"), ("m2", "top"), ("top", "top")], "src_id string, dst_id string")
+    starts = spark.createDataFrame([(f"s{i}",) for i in range(200)], "id string")
+    rows = lambda: sorted(map(tuple, G.reachable(spark, edges, starts).collect()))
+    few = rows()
+    monkeypatch.setattr(G, "FEW_EDGES", 0)
+    assert few == rows() and len(few) == 600
