@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from itertools import count
 
@@ -66,6 +67,13 @@ def shared_root(spark: SparkSession) -> str:
     return (root or "file://" + tempfile.mkdtemp(prefix="taxolink-")).rstrip("/")
 
 
+def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` written below the shared folder as columns, which are far smaller than the rows of ``checkpoint()``, and read back."""
+    path = f"{shared_root(spark)}/taxolink-{uuid.uuid4().hex}/staged"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def reachable(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``start, node, hops``: the least number of hops from each start; cycles end as seen pairs are dropped.
 

@@ -14,10 +14,10 @@ from taxolink.operators import profile as P
 from taxolink.operators import versions as V
 from taxolink.plans import table_queries as TQ
 from taxolink.plans.registry import query, table
+from taxolink.sources import note_files as NF
 from taxolink.sources import note_store as S
 from taxolink.sources import readers as R
 from taxolink.sources import variants as VR
-from taxolink.sources.note_files import NoteFiles
 from taxolink.streaming import jobs as J
 from taxolink.streaming import keyed as K
 
@@ -198,13 +198,11 @@ def store_merge(spark, sf):
 
 @query("SELECT 'n' || c_nationkey || '/' || c_name || '.md' AS path, '# ' || c_mktsegment || chr(10) AS content FROM customer")
 def committed_files(spark, sf):
-    """Every customer as a note file, written in two phases and read back."""
+    """Every customer as a note file, written in two phases and read back, both by tasks."""
     root = f"{G.shared_root(spark)}/taxolink-{uuid.uuid4().hex}/files"
-    spark.dataSource.register(NoteFiles)
     c = table(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey", F.lit("/"), "c_name", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "c_mktsegment", F.lit("\n")).alias("content"))
-    c.repartition(8).write.format("note-files").mode("append").save(root)
-    got = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return got.select(F.regexp_replace(F.regexp_extract("path", "/files/(.*)$", 1), "%23", "#").alias("path"), F.decode("content", "utf-8").alias("content"))
+    NF.write_files(c.repartition(NF.tasks(c.count())), root)
+    return NF.read_files(spark, root).select("path", F.decode("content", "utf-8").alias("content"))
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('month', ts), event_id) AS k FROM events) WHERE k = 1")

@@ -10,6 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from taxolink.sources import note_files as NF
 from taxolink.sources import note_store as S
 from taxolink.sources.note_files import DRAFTS, NoteFiles
 
@@ -123,3 +124,25 @@ def test_note_files(spark, tmp_path):
     assert tree(root) == before
     write(rows(("only.md", "1")), "overwrite")
     assert tree(root) == {"only.md": "1"}
+
+
+def test_note_files_by_tasks(spark, tmp_path):
+    """The driver moves and lists no files: folders of several levels, repeated moves, failures, and names that readers leave out."""
+    root = f"file://{tmp_path}/notes"
+    rows = lambda *r: spark.createDataFrame(r, "path string, content string").repartition(3)
+    back = lambda **how: {r["path"]: r["content"].decode() for r in NF.read_files(spark, root, **how).collect()}
+    assert NF.write_files(rows(("a/1#+ %.md", "x"), ("a/b/2.md", None), ("c.txt", "é"), ("a/_d.md", "q"), (".e/f.md", "q")), root) == 5
+    assert back() == {"a/1#+ %.md": "x", "a/b/2.md": "", "c.txt": "é"} and set(back(suffix=".md")) == {"a/1#+ %.md", "a/b/2.md"}
+    assert NF.write_files(rows(("c.txt", "new"), ("a/3.md", "y")), root) == 2 and NF.write_files(rows().limit(0), root) == 0
+    before = tree(tmp_path / "notes")
+    assert back() == {"a/1#+ %.md": "x", "a/b/2.md": "", "c.txt": "new", "a/3.md": "y"} and not (tmp_path / "notes" / DRAFTS).exists()
+    bad = rows(*((f"n{i}.md", "n") for i in range(50)), ("bad.md", "q")).withColumn("content", F.when(F.col("path") == "bad.md", F.raise_error("stop").cast("string")).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="stop"):
+        NF.write_files(bad, root)
+    assert tree(tmp_path / "notes") == before and not (tmp_path / "notes" / DRAFTS).exists()
+    job = NF.NoteWriter(root, False)
+    done = job.write(iter([{"path": "r/1.md", "content": "1"}, {"path": "r/2.md", "content": "2"}]))
+    (tmp_path / "notes" / "r").mkdir()
+    (tmp_path / "notes" / DRAFTS / job.job / done.folder.rsplit("/", 1)[1] / "0").rename(tmp_path / "notes" / "r" / "1.md")  # an attempt that ended here
+    job.publish(done.folder)
+    assert {p: back()[p] for p in ("r/1.md", "r/2.md")} == {"r/1.md": "1", "r/2.md": "2"}
