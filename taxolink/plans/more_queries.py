@@ -17,6 +17,7 @@ from taxolink.operators import versions as V
 from taxolink.plans import frameworks as FW
 from taxolink.plans.graph_queries import _shared
 from taxolink.plans.registry import query, table
+from taxolink.sources import note_files as NF
 from taxolink.sources import readers as R
 from taxolink.sources import sinks as S
 
@@ -119,12 +120,15 @@ def json_records(spark, sf):
 
 @query("SELECT s_suppkey AS id, s_name AS name, 'about ' || s_nationkey AS body FROM supplier")
 def note_corpus(spark, sf):
-    """One text file per note, read whole, split into header and body."""
-    out = _shared(spark, "notes")
-    r = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), F.concat(F.lit("---\nid: "), "s_suppkey", F.lit("\nname: '"), "s_name", F.lit("'\n---\nabout "), "s_nationkey").alias("value"))
-    r.repartition("k").write.partitionBy("k").option("lineSep", "\x00").text(out)
-    got = L.split_note(R.read_notes(spark, out, "*.txt")).withColumn("h", L.header_pairs(F.col("header")))
-    return got.select(F.col("h")["id"].cast("long").alias("id"), F.col("h")["name"].alias("name"), F.regexp_replace("body", r"[\x00\n]+$", "").alias("body"))
+    """One text file per note in folders of about a thousand, read whole, split into header and body."""
+    out, s = _shared(spark, "notes"), table(spark, sf, "supplier")
+    n = s.count()
+    path = F.concat(F.pmod(F.xxhash64("s_suppkey"), F.lit(n // 1000 + 1)), F.lit("/"), "s_suppkey", F.lit(".txt"))
+    text = F.concat(F.lit("---\nid: "), "s_suppkey", F.lit("\nname: '"), "s_name", F.lit("'\n---\nabout "), "s_nationkey")
+    NF.write_files(s.select(path.alias("path"), text.alias("content")).repartition(NF.tasks(n)), out)
+    notes = NF.read_files(spark, out, ".txt").select("path", F.decode("content", "utf-8").alias("text"))
+    got = L.split_note(notes).withColumn("h", L.header_pairs(F.col("header")))
+    return got.select(F.col("h")["id"].cast("long").alias("id"), F.col("h")["name"].alias("name"), "body")
 
 
 #: What the events of a type should carry: ``Click`` and ``view`` are known types in another case, ``gone`` is none.
