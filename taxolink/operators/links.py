@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -89,8 +90,11 @@ def typed_links(notes: DataFrame, key: str = "path", text: str = "text") -> Data
     A link without any value means true; ``json`` is a map of the metadata object.
     """
     line = notes.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).where(F.contains("t", F.lit("::")))
-    found = line.select(key, "line", F.posexplode(F.regexp_extract_all("t", F.lit(f"({TYPED})"), F.lit(1))).alias("nth", "m"))
-    part = lambda i: F.nullif(F.regexp_extract("m", f"^{TYPED}", i), F.lit(""))
+    found = line.select(key, "line", F.posexplode_outer(F.regexp_extract_all("t", F.lit(f"({TYPED})"), F.lit(1))).alias("nth", "m")).where("m is not null")
+    # Outer, as Spark would put the pattern into a filter as well, and run it twice.  All groups by one run of the pattern.  A line holds no line break, so that is what stands between them; groups without a match are empty.
+    groups = F.regexp_replace("m", f"^{TYPED}", "\n".join(f"${i}" for i in range(1, 9)))
+    found = found.select(key, "line", "nth", F.explode(F.array(F.split(groups, "\n"))).alias("g"))
+    part = lambda i: F.nullif(F.col("g")[i - 1], F.lit(""))
     meta, quoted, plain = part(7), part(8), part(6)
     is_value = plain.isNotNull() & meta.isNull() & quoted.isNull() & (T.is_number(plain) | F.lower(plain).isin("true", "false"))
     return found.select(
@@ -113,12 +117,13 @@ def link_values(typed: DataFrame, key: str = "path") -> DataFrame:
     """
     parts = F.split("field", r"\.")
     leaf = F.when(F.size(parts) > 1, F.element_at(parts, -1))
-    base = typed.select(key, parts[0].alias("framework"), "target", leaf.alias("leaf"), "value", "json", "pos")
     later = F.when(F.col("target").isNull(), 4).otherwise(0)
-    single = base.where("json is null").select(key, "framework", "target", F.coalesce("leaf", F.lit("value")).alias("name"), "value", (F.when(F.col("value") == "true", 2).otherwise(1) + later).alias("priority"), "pos")
-    many = base.where("json is not null").select(key, "framework", "target", "leaf", F.explode("json").alias("name", "value"), "pos")
-    many = many.select(key, "framework", "target", "name", "value", (F.when(F.col("leaf").isNotNull(), 3).otherwise(4) + later).alias("priority"), "pos")
-    return single.unionByName(many)
+    one = lambda name, value, first: F.struct(name.alias("name"), value.alias("value"), (first + later).alias("priority"))
+    single = F.array(one(F.coalesce(leaf, F.lit("value")), F.col("value"), F.when(F.col("value") == "true", 2).otherwise(1)))
+    many = F.transform(F.map_entries("json"), lambda e: one(e["key"], e["value"], F.when(leaf.isNotNull(), 3).otherwise(4)))
+    # One pass over the links: an object is as many values as it has keys.
+    each = typed.select(key, parts[0].alias("framework"), "target", "pos", F.explode_outer(F.when(F.col("json").isNull(), single).otherwise(many)).alias("_v")).where("_v is not null")
+    return each.select(key, "framework", "target", "_v.name", "_v.value", "_v.priority", "pos")
 
 
 def merged_values(values: DataFrame, key: str = "path", by: Sequence[str] = ("framework",)) -> DataFrame:
@@ -127,11 +132,13 @@ def merged_values(values: DataFrame, key: str = "path", by: Sequence[str] = ("fr
     Values without a target are defaults of the note; they fill what a target does not set itself.
     """
     keys = [key, *by]
-    best = lambda df, *more: df.groupBy(*keys, *more, "name").agg(F.max_by("value", F.struct(-F.col("priority"), "pos")).alias("value")).groupBy(*keys, *more).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("props"))
-    own = best(values.where("target is not null"), "target")
-    defaults = best(values.where("target is null")).withColumnRenamed("props", "_d")
+    # Dealt by note once: both groupings and the window keep that order, so values are moved and sorted once.
+    named = values.repartition(*keys).groupBy(*keys, "target", "name").agg(F.max_by("value", F.struct(-F.col("priority"), "pos")).alias("value"))
+    props = named.groupBy(*keys, "target").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("props"))
+    given = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
+    own = props.withColumn("_d", F.first(F.when(F.col("target").isNull() & given, F.col("props")), ignorenulls=True).over(Window.partitionBy(*keys))).where("target is not null")
     fill = F.map_filter(F.coalesce("_d", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys("props"), k))
-    return own.join(defaults, keys, "left").select(*keys, "target", F.map_concat("props", fill).alias("props"))
+    return own.select(*keys, "target", F.map_concat("props", fill).alias("props"))
 
 
 def inbound(edges: DataFrame, node: str) -> DataFrame:

@@ -277,3 +277,14 @@ def test_empty_tables(spark):
     ids = e.select(F.col("a").alias("id"), F.col("b").alias("value"))
     for mode in M.MODES:
         assert M.match(ids, ids, mode).count() == 0
+
+
+def test_values_in_one_pass(spark):
+    """Links are parsed once, moved once by note, and their pattern is not run again for each group; null notes take no defaults."""
+    text = 'fw:: [[A]] {"kind": "root", "w": "1"}\nfw.kind:: [[A]] "own"\nfw.w:: [[B|b]] {"w": "2"}\nfw.note:: "d"\nfw:: {"kind": "dk"}\nfw.x:: 9\nother.y:: true\n'
+    notes = spark.createDataFrame([("n1", text), (None, 'fw.a:: [[A]] "1"\nfw.b:: "2"')], "path string, text string")
+    got = L.merged_values(L.link_values(L.typed_links(notes)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("regexp_extract_all") <= 2 and "regexp_extract(" not in plan
+    rows = {(r["path"], r["framework"], r["target"]): r["props"] for r in got.collect()}
+    assert rows == {("n1", "fw", "A"): {"kind": "own", "w": "1", "note": "d", "x": "9"}, ("n1", "fw", "B"): {"w": "2", "kind": "dk", "note": "d", "x": "9"}, (None, "fw", "A"): {"a": "1"}}
