@@ -21,7 +21,7 @@ COMPOSED = {
     ("subset", "none"): "none",
     ("none", "superset"): "none",
 }
-#: Edges that are sent to all tasks, at most.
+#: Edges, or starts of chains, that are sent to all tasks, at most.
 FEW_EDGES = 10_000
 #: Hops after which the pairs seen so far are written as one table, so that plans of long chains stay small.
 CUT_HOPS = 10
@@ -70,7 +70,7 @@ def shared_root(spark: SparkSession) -> str:
 def staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` written below the shared folder as columns, which are far smaller than the rows of ``checkpoint()``, and read back."""
     path = f"{shared_root(spark)}/taxolink-{uuid.uuid4().hex}/staged"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -175,26 +175,36 @@ def derive(spark: SparkSession, mappings: DataFrame, max_hops: int | None = None
     most confident counts, of equal ones the shortest, then the one with the smallest ``via``, which lists the entries between.  Mappings themselves are chains
     of one hop.  Chains do not end where they start; ids, relations or confidences that are null, and confidences outside 0 to 1, take no part.
 
-    A fixpoint: each round extends only what the last one found or improved.  A confidence never grows along a chain, so a cycle improves nothing and the rounds end.
-    A round keeps one row per start, end and relation, however many chains there are; both sides of its join are written tables, so a hub with very many mappings can be split.
+    A fixpoint: each round extends only what the last one found or improved, and of that only what ends at an entry that has mappings of its own.  A confidence never grows along a
+    chain, so a cycle improves nothing and the rounds end.  A round keeps one row per start, end and relation, however many chains there are; both sides of its join are written
+    tables, so a hub with very many mappings can be split.  What is known is written again only where a round
+    has improved some of it, and where chains of few starts go on only those starts' rows are compared.
     """
-    shared_folder(spark)
     key = ["src_id", "dst_id", "relation"]
     ok = mappings.where(F.col("left_id").isNotNull() & F.col("right_id").isNotNull() & (F.col("left_id") != F.col("right_id")) & F.col("relation").isin(*RELATIONS) & F.col("confidence").between(0, 1))
-    base = ok.groupBy(F.col("left_id").alias("src_id"), F.col("right_id").alias("dst_id"), "relation").agg(F.max("confidence").alias("confidence")).checkpoint()
-    step = base.select(F.col("src_id").alias("_hub"), F.col("dst_id").alias("_to"), F.col("relation").alias("_r"), F.col("confidence").alias("_c"))
+    hubs = ok.select(F.col("left_id").alias("dst_id")).distinct().withColumn("_on", F.lit(True))
+    one = ok.groupBy(F.col("left_id").alias("src_id"), F.col("right_id").alias("dst_id"), "relation").agg(F.max("confidence").alias("confidence"))
+    base = staged(spark, one.join(hubs, "dst_id", "left").withColumn("_on", F.col("_on").isNotNull()))
+    step = base.select(F.col("src_id").alias("_hub"), F.col("dst_id").alias("_to"), F.col("relation").alias("_r"), F.col("confidence").alias("_c"), "_on")
     best = front = base.withColumn("hops", F.lit(1)).withColumn("via", F.array().cast(f"array<{base.schema['dst_id'].dataType.simpleString()}>"))
     for hop in count(2) if max_hops is None else range(2, max_hops + 1):
-        longer = front.join(step, F.col("dst_id") == F.col("_hub")).where(F.col("src_id") != F.col("_to")).withColumn("_rel", _composed(F.col("relation"), F.col("_r"))).where("_rel <> 'unknown'")
-        found = longer.groupBy("src_id", F.col("_to").alias("dst_id"), F.col("_rel").alias("relation")).agg(F.min(F.struct((-F.col("confidence") * F.col("_c")).alias("n"), F.array_append("via", F.col("_hub")).alias("v"))).alias("b"))
-        known = best.select(*key, F.col("confidence").alias("_was"))
-        better = found.join(known, key, "left").where(F.col("_was").isNull() | (-F.col("b.n") > F.col("_was")))
-        front = better.select(*key, (-F.col("b.n")).alias("confidence"), F.lit(hop).alias("hops"), F.col("b.v").alias("via")).checkpoint()
+        front = front.where("_on").drop("_on")
         if front.isEmpty():
             break
-        kept = best.join(front.select(*key), key, "left_anti")
-        best = kept.unionByName(front).checkpoint()
-    return best
+        longer = front.join(step, F.col("dst_id") == F.col("_hub")).where(F.col("src_id") != F.col("_to")).withColumn("_rel", _composed(F.col("relation"), F.col("_r"))).where("_rel <> 'unknown'")
+        found = longer.groupBy("src_id", F.col("_to").alias("dst_id"), F.col("_rel").alias("relation")).agg(F.min(F.struct((-F.col("confidence") * F.col("_c")).alias("n"), F.array_append("via", F.col("_hub")).alias("v"))).alias("b"), F.first("_on").alias("_on"))
+        known, starts = best.select(*key, F.col("confidence").alias("_was")), front.select("src_id").distinct()
+        if starts.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+            known = known.join(F.broadcast(starts), "src_id", "left_semi")
+        better = found.join(known, key, "left").where(F.col("_was").isNull() | (-F.col("b.n") > F.col("_was")))
+        front = staged(spark, better.select(*key, (-F.col("b.n")).alias("confidence"), "_on", F.lit(hop).alias("hops"), F.col("b.v").alias("via"), F.col("_was").isNotNull().alias("_again")))
+        again, front = front.where("_again").select(*key), front.drop("_again")
+        if not again.isEmpty():
+            best = staged(spark, best.join(again, key, "left_anti"))
+        best = best.unionByName(front)
+        if hop % CUT_HOPS == 0:
+            best = staged(spark, best)
+    return best.select(*key, "confidence", "hops", "via")
 
 
 #: A mapping row: required fields first.

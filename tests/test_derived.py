@@ -47,6 +47,20 @@ def test_chains_with_cycles(spark):
     assert G.derive(spark, spark.createDataFrame([], MAPPING)).count() == 0
 
 
+def test_chains_that_end_are_left_alone(spark, monkeypatch):
+    """Layers: a round writes what it found, once; nothing that is known is written again, and no round runs where no chain can go on."""
+    rows = [(f"n{i % 2}", f"c{i}", "equal", 0.9) for i in range(6)] + [(f"c{i % 6}", f"o{i}", G.RELATIONS[i % 4], 0.5 + i / 100) for i in range(20)]
+    rows += [(f"o{i % 20}", f"p{i % 7}", G.RELATIONS[i % 3], 0.8) for i in range(60)]
+    written, staged = [], G.staged
+    monkeypatch.setattr(G, "staged", lambda s, df: written.append(df.columns) or staged(s, df))
+    for few in (G.FEW_EDGES, 0):
+        written.clear()
+        monkeypatch.setattr(G, "FEW_EDGES", few)
+        got = G.derive(spark, spark.createDataFrame(rows, MAPPING)).collect()
+        assert {(x["src_id"], x["dst_id"], x["relation"], round(x["confidence"], 9), x["hops"], tuple(x["via"])) for x in got} == brute_chains(rows)
+        assert len(written) == 3  # the mappings, chains of two hops and of three
+
+
 def test_four_frameworks(spark):
     """Tables of the shape CRI, CSF, 800-53, ATT&CK: a relation that is known only through two hubs, and what rests on each hub."""
     rows = [("CRI-1", "CSF-1", "equal", 1.0), ("CRI-2", "CSF-1", "subset", 0.8), ("CSF-1", "AC-2", "subset", 0.5), ("CSF-1", "AC-3", "intersects", 1.0), ("AC-2", "T1078", "subset", 0.9), ("AC-3", "T1078", "equal", 0.1)]
