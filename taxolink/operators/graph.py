@@ -103,15 +103,16 @@ def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataF
     """``id, component``: the least id that each of ``nodes(id)`` is connected with, whatever the direction of ``edges(src_id, dst_id)``.
 
     In every round each node takes the least label around it, then its label's label, so a path of length n needs about log n rounds.
+    Joins are merges by hint: ids and labels that are much alike are small where they are compressed, and would pass through the driver to be broadcast.
     """
     shared_folder(spark)
     pair = edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
     both = pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     label = nodes.select("id", F.col("id").alias("component")).distinct()
     while True:
-        around = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
-        near = label.join(around, F.col("id") == F.col("a"), "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        jump = near.join(near.select(F.col("id").alias("_i"), F.col("low").alias("_l")), F.col("low") == F.col("_i"), "left")
+        around = both.join(label.hint("merge"), F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
+        near = label.join(around.hint("merge"), F.col("id") == F.col("a"), "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
+        jump = near.join(near.select(F.col("id").alias("_i"), F.col("low").alias("_l")).hint("merge"), F.col("low") == F.col("_i"), "left")
         after = jump.select("id", F.col("component").alias("was"), F.least("low", F.coalesce("_l", "low")).alias("component")).checkpoint()
         label = after.select("id", "component")
         if after.where("was <> component").isEmpty():

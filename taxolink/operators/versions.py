@@ -105,9 +105,9 @@ def restructured(spark: SparkSession, pairs: DataFrame, moves: DataFrame | None
     nodes = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id")).distinct()
     label = G.components(spark, edges, nodes)
     moved = (moves.select("old_id").distinct() if moves is not None else p.select("old_id").where("false")).withColumn("m", F.lit(1))
-    olds = p.groupBy("old_id").agg(F.count("*").alias("links")).withColumn("id", ids("old")).join(label, "id").join(moved, "old_id", "left")
-    news = p.select("new_id").distinct().withColumn("id", ids("new")).join(label, "id")
-    got = olds.groupBy("component").agg(F.min("old_id").alias("first"), F.count("*").alias("n_old"), F.sum("links").alias("n_links"), F.count("m").alias("n_moved")).join(news.groupBy("component").agg(F.count("*").alias("n_new")), "component")
+    olds = p.groupBy("old_id").agg(F.count("*").alias("links")).withColumn("id", ids("old")).join(label.hint("merge"), "id").join(moved.hint("merge"), "old_id", "left")
+    news = p.select("new_id").distinct().withColumn("id", ids("new")).join(label.hint("merge"), "id")
+    got = olds.groupBy("component").agg(F.min("old_id").alias("first"), F.count("*").alias("n_old"), F.sum("links").alias("n_links"), F.count("m").alias("n_moved")).join(news.groupBy("component").agg(F.count("*").alias("n_new")).hint("merge"), "component")
     shape = F.when((F.col("n_old") > 1) & (F.col("n_new") > 1), "restructure").when(F.col("n_old") > 1, "merge").when(F.col("n_new") > 1, "split").otherwise("rename")
     torn = shape.isin("merge", "split") & (F.col("n_moved") > 0) & (F.col("n_moved") < F.col("n_old"))
     return got.select(F.col("first").alias("component"), F.when(torn, "restructure").otherwise(shape).alias("kind"), "n_old", "n_new", "n_links", "n_moved")

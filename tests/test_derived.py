@@ -102,6 +102,16 @@ def test_restructured(spark):
     assert {x["component"]: tuple(x)[1:] for x in got.collect()} == {"a": ("merge", 2, 1, 2, 0), "c": ("split", 1, 2, 2, 0), "d": ("restructure", 2, 2, 3, 0), "f": ("rename", 1, 1, 1, 1), "g": ("restructure", 2, 1, 2, 1)}
 
 
+def test_parts_do_not_pass_through_the_driver(spark, monkeypatch):
+    """No join of the parts of a graph, nor of any round that finds them, is a broadcast, however small its sides are."""
+    plans, real = [], type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a))
+    got = V.restructured(spark, spark.range(40).selectExpr("id as old_id", "id div 2 as new_id"), spark.range(3).selectExpr("id as old_id"))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+    assert {(r["kind"], r["n_moved"]) for r in got.collect()} == {("merge", 2), ("restructure", 1), ("merge", 0)} and got.count() == 20
+
+
 def test_timers(spark, tmp_path):
     """Without a further record evidence goes fresh, stale, expired as the watermark passes; a newer record starts again, an older one changes nothing."""
     day = lambda n: date(2024, 1, 1) + timedelta(n)
