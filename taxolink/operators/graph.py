@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,6 +170,17 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     return got.select(F.col("left_id").alias("src_id"), "dst_id", _composed(F.col("relation"), F.col("_r")).alias("relation"), (F.col("confidence") * F.col("_c")).alias("confidence"), F.col("right_id").alias("via"), F.least("dated", "_d").alias("dated"))
 
 
+#: Rows that end at one entry, at most, for a join to keep the rows of a partition as a hash table; beyond it rows are sorted, and the entry can be split.
+HOT_ROWS = 100_000
+
+
+def _composed_codes(first: Column, second: Column) -> Column:
+    """``_composed`` of codes: twice the place in ``RELATIONS``, and one more where the end of the (second) mapping has mappings of its own; null for ``unknown``."""
+    place = {r: i for i, r in enumerate(RELATIONS)}
+    codes = [2 * place[COMPOSED[p, q]] + on if (p, q) in COMPOSED else None for p in RELATIONS for _ in (0, 1) for q in RELATIONS for on in (0, 1)]
+    return F.get(F.array(*(F.lit(c).cast("int") for c in codes)), first * (2 * len(RELATIONS)) + second)
+
+
 def derive(spark: SparkSession, mappings: DataFrame, max_hops: int | None = None) -> DataFrame:
     """``src_id, dst_id, relation, confidence, hops, via``: everything that chains of ``mappings(left_id, right_id, relation, confidence)`` of any length say.
 
@@ -179,33 +191,43 @@ def derive(spark: SparkSession, mappings: DataFrame, max_hops: int | None = None
     A fixpoint: each round extends only what the last one found or improved, and of that only what ends at an entry that has mappings of its own.  A confidence never grows along a
     chain, so a cycle improves nothing and the rounds end.  A round keeps one row per start, end and relation, however many chains there are; both sides of its join are written
     tables, so a hub with very many mappings can be split.  What is known is written again only where a round
-    has improved some of it, and where chains of few starts go on only those starts' rows are compared.
+    has improved some of it, and only rows of the round's starts are compared.
+
+    Relation and the mark of ends with mappings of their own are one number ``_k`` (see ``_composed_codes``).  Mappings are dealt by their left entry once a round, for the step and for what is
+    known of the starts; so that Spark shares that shuffle, both read the same columns and filters.
     """
-    key = ["src_id", "dst_id", "relation"]
-    ok = mappings.where(F.col("left_id").isNotNull() & F.col("right_id").isNotNull() & (F.col("left_id") != F.col("right_id")) & F.col("relation").isin(*RELATIONS) & F.col("confidence").between(0, 1))
-    hubs = ok.select(F.col("left_id").alias("dst_id")).distinct().withColumn("_on", F.lit(True))
-    one = ok.groupBy(F.col("left_id").alias("src_id"), F.col("right_id").alias("dst_id"), "relation").agg(F.max("confidence").alias("confidence"))
-    base = staged(spark, one.join(hubs, "dst_id", "left").withColumn("_on", F.col("_on").isNotNull()))
-    step = base.select(F.col("src_id").alias("_hub"), F.col("dst_id").alias("_to"), F.col("relation").alias("_r"), F.col("confidence").alias("_c"), "_on")
+    key = ["dst_id", "src_id", "_k"]  # ends first, as they differ most: rows are sorted by it
+    relations = F.array(*map(F.lit, RELATIONS))
+    ok = mappings.where((F.col("left_id") != F.col("right_id")) & F.col("relation").isin(*RELATIONS) & F.col("confidence").between(0, 1))  # none of them is null then
+    hubs = mappings.select(F.col("left_id").alias("dst_id")).where("dst_id IS NOT NULL").distinct().withColumn("_on", F.lit(1))
+    one = ok.groupBy(F.col("left_id").alias("src_id"), F.col("right_id").alias("dst_id"), (2 * F.array_position(relations, F.col("relation")) - 2).cast("int").alias("_k")).agg(F.max("confidence").alias("confidence"))
+    base = staged(spark, one.join(hubs.hint("shuffle_hash"), "dst_id", "left").select("src_id", "dst_id", (F.col("_k") + F.coalesce("_on", F.lit(0))).alias("_k"), "confidence"))
+    base = base.where("src_id IS NOT NULL AND dst_id IS NOT NULL AND _k IS NOT NULL")
+    known = [base]
     best = front = base.withColumn("hops", F.lit(1)).withColumn("via", F.array().cast(f"array<{base.schema['dst_id'].dataType.simpleString()}>"))
     for hop in count(2) if max_hops is None else range(2, max_hops + 1):
-        front = front.where("_on").drop("_on")
+        front = front.where("_k % 2 = 1")
         if front.isEmpty():
             break
-        longer = front.join(step, F.col("dst_id") == F.col("_hub")).where(F.col("src_id") != F.col("_to")).withColumn("_rel", _composed(F.col("relation"), F.col("_r"))).where("_rel <> 'unknown'")
-        found = longer.groupBy("src_id", F.col("_to").alias("dst_id"), F.col("_rel").alias("relation")).agg(F.min(F.struct((-F.col("confidence") * F.col("_c")).alias("n"), F.array_append("via", F.col("_hub")).alias("v"))).alias("b"), F.first("_on").alias("_on"))
-        known, starts = best.select(*key, F.col("confidence").alias("_was")), front.select("src_id").distinct()
-        if starts.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
-            known = known.join(F.broadcast(starts), "src_id", "left_semi")
-        better = found.join(known, key, "left").where(F.col("_was").isNull() | (-F.col("b.n") > F.col("_was")))
-        front = staged(spark, better.select(*key, (-F.col("b.n")).alias("confidence"), "_on", F.lit(hop).alias("hops"), F.col("b.v").alias("via"), F.col("_was").isNotNull().alias("_again")))
+        chains = front.select(F.col("src_id").alias("_from"), F.col("dst_id").alias("_hub"), F.col("_k").alias("_first"), F.col("confidence").alias("_c"), "via")
+        if front.groupBy("dst_id").count().agg(F.max("count")).first()[0] <= HOT_ROWS:
+            chains = chains.hint("shuffle_hash")
+        longer = base.join(chains, F.col("src_id") == F.col("_hub")).where(F.col("_from") != F.col("dst_id")).select("dst_id", F.col("_from").alias("src_id"), _composed_codes(F.col("_first"), F.col("_k")).alias("_k"), (-F.col("_c") * F.col("confidence")).alias("n"), "via", "_hub")
+        found = longer.where("_k IS NOT NULL").groupBy(*key).agg(F.min(F.struct("n", F.array_append("via", F.col("_hub")).alias("v"))).alias("b"))
+        starts = front.select("src_id").distinct()
+        starts = F.broadcast(starts) if starts.limit(FEW_EDGES + 1).count() <= FEW_EDGES else starts.hint("shuffle_hash")
+        was = reduce(DataFrame.unionByName, (t.join(starts, "src_id", "left_semi").select(*key, F.col("confidence").alias("_was")) for t in known))
+        better = found.join(was, key, "left").where(F.col("_was").isNull() | (-F.col("b.n") > F.col("_was")))
+        front = staged(spark, better.select("src_id", "dst_id", "_k", (-F.col("b.n")).alias("confidence"), F.lit(hop).alias("hops"), F.col("b.v").alias("via"), F.col("_was").isNotNull().alias("_again")))
         again, front = front.where("_again").select(*key), front.drop("_again")
         if not again.isEmpty():
             best = staged(spark, best.join(again, key, "left_anti"))
-        best = best.unionByName(front)
+            known = [best]
+        best, known = best.unionByName(front), [*known, front]
         if hop % CUT_HOPS == 0:
             best = staged(spark, best)
-    return best.select(*key, "confidence", "hops", "via")
+            known = [best]
+    return best.select("src_id", "dst_id", F.get(relations, F.shiftright("_k", 1)).alias("relation"), "confidence", "hops", "via")
 
 
 #: A mapping row: required fields first.
@@ -232,5 +254,5 @@ def valid_mappings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def blast_radius(derived: DataFrame) -> DataFrame:
     """Derived mappings that rest on each hub entry; ``via`` holds one hub (``compose``) or all hubs of a chain (``derive``)."""
     if isinstance(derived.schema["via"].dataType, ArrayType):
-        derived = derived.select(F.explode(F.array_distinct("via")).alias("via"))
+        derived = derived.select(F.explode(F.when(F.size("via") < 2, F.col("via")).otherwise(F.array_distinct("via"))).alias("via"))
     return derived.groupBy("via").agg(F.count("*").alias("n_derived"))

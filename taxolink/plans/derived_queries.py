@@ -40,22 +40,48 @@ best AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY l, r, rel OR
 """
 
 
+#: Layers by the place of their letter.
+_LETTERS = "NCOP"
+#: Digits that a number in an id may have.
+_DIGITS = 15
+
+
+def _shift(digits):
+    """The power of ten that moves a number of so many digits to the left end."""
+    return F.get(F.array(*(F.lit(10**n).cast("long") for n in range(_DIGITS, -1, -1))), digits)
+
+
+def _coded(letter, number):
+    """The id of ``letter`` and ``number`` as one long that sorts as the text of both does: place of the letter, digits moved to the left end, how many they are."""
+    digits = F.octet_length(number.cast("string"))
+    code = _LETTERS.index(letter) * 2**54 + number * _shift(digits) * 16 + digits
+    return F.when(number.between(0, 10**_DIGITS - 1), code).when(number.isNotNull(), F.raise_error(F.lit(f"no number of up to {_DIGITS} digits"))).cast("long")
+
+
+def _text(code):
+    """The id that ``_coded`` made a number of."""
+    rest = code.bitwiseAND(2**54 - 1)
+    return F.concat(F.substring(F.lit(_LETTERS), (F.shiftright(code, 54) + 1).cast("int"), F.lit(1)), F.call_function("div", F.shiftright(rest, 4), _shift(rest.bitwiseAND(15).cast("int"))))
+
+
 def _layers(spark, sf):
+    """The mappings of all layers; ids are coded as longs, as chains deal, compare and sort them in every round."""
     rel = lambda c: F.element_at(F.array(*map(F.lit, ("equal", "subset", "superset", "none"))), (F.col(c) % 4 + 1).cast("int"))
-    side = lambda df, a, x, b, y: table(spark, sf, df).select(F.concat(F.lit(a), x).alias("left_id"), F.concat(F.lit(b), y).alias("right_id"), rel(y).alias("relation"), (1 - (F.col(y) % 10) / 20).alias("confidence"))
+    side = lambda df, a, x, b, y: table(spark, sf, df).select(_coded(a, F.col(x)).alias("left_id"), _coded(b, F.col(y)).alias("right_id"), rel(y).alias("relation"), (1 - (F.col(y) % 10) / 20).alias("confidence"))
     return side("customer", "N", "c_nationkey", "C", "c_custkey").unionByName(side("orders", "C", "o_custkey", "O", "o_orderkey")).unionByName(side("lineitem", "O", "l_orderkey", "P", "l_partkey"))
 
 
 @query(_LAYERS + "SELECT l AS src_id, r AS dst_id, rel AS relation, round(c, 6) AS confidence, hops, array_to_string(via, ' ') AS via FROM best")
 def relation_chains(spark, sf):
     """What chains of any length from nations to parts say, with the most confident way to each."""
-    return G.derive(spark, _layers(spark, sf)).select("src_id", "dst_id", "relation", F.round("confidence", 6).alias("confidence"), "hops", F.array_join("via", " ").alias("via"))
+    got = G.derive(spark, _layers(spark, sf))
+    return got.select(_text(F.col("src_id")).alias("src_id"), _text(F.col("dst_id")).alias("dst_id"), "relation", F.round("confidence", 6).alias("confidence"), "hops", F.array_join(F.transform("via", _text), " ").alias("via"))
 
 
 @query(_LAYERS + "SELECT v AS via, count(*) AS n_derived FROM (SELECT unnest(list_distinct(via)) AS v FROM best) GROUP BY v")
 def chain_radius(spark, sf):
     """How much of what is derived rests on each customer and order."""
-    return G.blast_radius(G.derive(spark, _layers(spark, sf)))
+    return G.blast_radius(G.derive(spark, _layers(spark, sf))).select(_text(F.col("via")).alias("via"), "n_derived")
 
 
 _PAIRED = """

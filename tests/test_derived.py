@@ -3,6 +3,7 @@
 import random
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from taxolink.functions import names as N
@@ -61,6 +62,36 @@ def test_chains_that_end_are_left_alone(spark, monkeypatch):
         assert len(written) == 3  # the mappings, chains of two hops and of three
 
 
+def test_known_rows_of_other_starts_are_not_compared(spark, monkeypatch):
+    """With many starts too, and with ends that are shared by more rows than a hash table may hold."""
+    rows = [(1, 10 + i, "equal", 0.9) for i in range(6)] + [(10 + i % 6, 20 + i, G.RELATIONS[i % 4], 0.5 + i / 100) for i in range(20)] + [(20 + i % 20, 50 + i % 7, G.RELATIONS[i % 3], 0.8) for i in range(60)]
+    plans, staged = [], G.staged
+    monkeypatch.setattr(G, "staged", lambda s, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or staged(s, df))
+    monkeypatch.setattr(G, "FEW_EDGES", 0)
+    for hot in (G.HOT_ROWS, 0):
+        plans.clear()
+        monkeypatch.setattr(G, "HOT_ROWS", hot)
+        got = G.derive(spark, spark.createDataFrame(rows, MAPPING.replace("id string", "id long"))).collect()
+        assert {(x["src_id"], x["dst_id"], x["relation"], round(x["confidence"], 9), x["hops"], tuple(x["via"])) for x in got} == brute_chains(rows)
+        assert len(plans) == 3 and all("LeftSemi" in p for p in plans[1:])
+
+
+def test_coded_ids_sort_as_text(spark):
+    from taxolink.plans import derived_queries as D
+
+    numbers = [0, 1, 10, 100, 12, 120, 2, 19, 9, 99, 999_999, 123_456_789_012, 10**14, 10**15 - 1]
+    df = spark.createDataFrame([(a, n) for a in "NCOP" for n in numbers], "a string, n long")
+    coded = F.coalesce(*(F.when(F.col("a") == a, D._coded(a, F.col("n"))) for a in "NCOP"))
+    got = df.select(F.concat("a", "n").alias("text"), coded.alias("code")).select("*", D._text(F.col("code")).alias("back")).collect()
+    assert all(x["back"] == x["text"] for x in got) and len({x["code"] for x in got}) == len(got)
+    for a in "NCOP":
+        assert [x["text"] for x in sorted(got, key=lambda x: x["code"]) if x["text"][0] == a] == sorted(x["text"] for x in got if x["text"][0] == a)
+    assert spark.range(1).select(D._coded("C", F.lit(None).cast("long")).alias("c")).first()["c"] is None
+    for bad in (-1, 10**15):
+        with pytest.raises(Exception, match="digits"):
+            spark.createDataFrame([(bad,)], "n long").select(D._coded("C", F.col("n"))).collect()
+
+
 def test_four_frameworks(spark):
     """Tables of the shape CRI, CSF, 800-53, ATT&CK: a relation that is known only through two hubs, and what rests on each hub."""
     rows = [("CRI-1", "CSF-1", "equal", 1.0), ("CRI-2", "CSF-1", "subset", 0.8), ("CSF-1", "AC-2", "subset", 0.5), ("CSF-1", "AC-3", "intersects", 1.0), ("AC-2", "T1078", "subset", 0.9), ("AC-3", "T1078", "equal", 0.1)]
